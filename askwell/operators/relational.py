@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +37,9 @@ def global_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     marks = [i / CUTS for i in range(1, CUTS)]
     cuts = counts.agg(F.percentile_approx(F.col(value).cast("double"), marks, ACCURACY).alias("cuts")).first()["cuts"] or []
-    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
-    # the number of edges at or below the value, by where it would stand among them
-    ranged = counts.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col(value))))
+    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    numbered = counts.withColumn("_value", F.col(value).cast("double"))
+    ranged = Bucketizer(splits=splits, inputCol="_value", outputCol="_range").transform(numbered).drop("_value")
     sizes = ranged.groupBy("_range").agg(F.sum("n").alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_range", before.alias("_before"))

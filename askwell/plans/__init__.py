@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relational",)
+MODULES = ("relational", "corpus_queries", "search_queries")
 
 
 def all_queries() -> None:

@@ -89,7 +89,7 @@ def topic_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("v"))
         .select(
             F.col("label").cast("string").alias("question_id"),
-            F.concat(F.lit("What is known about label "), F.col("label"), F.lit("?")).alias("question"),
+            F.concat(F.lit("Is label "), F.col("label"), F.lit(" of a document known, and what is in the text?")).alias("question"),
             F.col("v.m").alias("embedding"),
         )
     )
@@ -106,3 +106,83 @@ def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question")
     )
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of three or four messages: a system text, a pair, and in later turns another system text. The
+    third pair of a conversation has an empty prompt."""
+    def said(role, content):
+        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+    basic = F.array(
+        said("system", F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"))),
+        said("user", F.col("question")), said("assistant", F.col("sql")),
+    )
+    later = F.concat(basic, F.array(said("system", F.concat(F.lit("Turn "), F.col("turn").cast("string")))))
+    chosen = F.when(F.col("turn") == 0, basic).when(F.col("turn") == 4, F.slice(basic, 1, 0)).otherwise(later)
+    return pairs(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), chosen.alias("messages"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model responses: every conversation turn wrapped in SQL, prose and fences, by its number."""
+    turns = table(spark, sf_dir, "conversations")
+    text, fence = F.col("text"), "```"
+    forms = {
+        0: F.concat(text, F.lit(" WITH a AS (SELECT 1) SELECT * FROM a; done")),
+        1: F.concat(F.lit("Sure. SELECT x FROM t WHERE y = 1; and SELECT '"), text, F.lit("';")),
+        2: F.concat(F.lit(f"{fence}sql\nselect a\\_b from t [x]\n{fence}"), text),
+        3: F.concat(F.lit(f"{fence}sql\nselect 1\n{fence}"), text, F.lit(f"{fence}sql\nselect 2\n{fence}")),
+        4: F.concat(F.lit("no query: "), text),
+        5: F.concat(F.lit(fence), text, F.lit(fence)),
+        6: F.concat(text, F.lit("\nselect lower from t\n")),
+    }
+    response = F.concat(F.lit("With x as (select 1) select 2; "), text)
+    for turn, form in forms.items():
+        response = F.when(F.col("turn") == turn, form).otherwise(response)
+    return turns.select("conv_id", "turn", response.alias("response"))
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL and other texts, by the number of the turn."""
+    turns = table(spark, sf_dir, "conversations")
+    quoted = F.concat(F.lit("'"), F.replace("text", F.lit("'"), F.lit("''")), F.lit("'"))
+    forms = {
+        0: F.concat(F.lit("SELECT "), quoted, F.lit(" AS x")),
+        1: F.concat(F.lit("DELETE FROM t WHERE x = "), quoted, F.lit(";")),
+        2: F.concat(F.lit("-- a note; DROP\n/* more; */ select "), quoted),
+        3: F.concat(F.lit("WITH a AS (SELECT "), quoted, F.lit(" AS x) INSERT INTO t SELECT * FROM a")),
+        4: F.concat(F.lit("with a as (select ("), quoted, F.lit(") as x), b as (select 1) select * from a, b")),
+        5: F.concat(F.lit("INSERT INTO t VALUES ("), quoted, F.lit(", '; SELECT 1')")),
+        6: F.concat(F.lit("UPDATE t SET a = "), quoted, F.lit("; SELECT 2")),
+    }
+    sql = F.concat(F.lit("The select statement is: "), quoted)
+    for turn, form in forms.items():
+        sql = F.when(F.col("turn") == turn, form).otherwise(sql)
+    return turns.select("conv_id", "turn", sql.alias("sql"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of runs from events: the kind of event is the outcome, its value the number of rows."""
+    return as_runs(table(spark, sf_dir, "events"))
+
+
+def as_runs(events: DataFrame) -> DataFrame:
+    from askwell import schemas as s
+
+    kind = F.col("event_type")
+    status = (
+        F.when(kind == "signup", s.NO_SQL_GENERATED).when(kind == "error", s.SQL_UNABLE_TO_RUN)
+        .when(kind == "purchase", s.FLAGGED_FOR_REVIEW).otherwise(s.SQL_RAN)
+    )
+    return events.select(
+        F.concat(F.lit("How often did user "), F.col("user_id"), F.lit(" "), kind, F.lit("?")).alias("question"),
+        F.concat(F.lit("SELECT count(*) FROM events WHERE user_id = "), F.col("user_id"), F.lit(" AND event_type = '"), kind, F.lit("'"))
+        .alias("sql"),
+        status.alias("status"), F.floor("value").cast("bigint").alias("row_count"), "ts", "event_id",
+    )
+
+
+def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    """Temporary views for generated SQL to read."""
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(f"askwell_{name}")

@@ -17,7 +17,7 @@ def day(column: str):
 
 
 @query("top_customers", """
-    SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
     FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
     GROUP BY c_custkey, c_name ORDER BY revenue DESC, c_custkey LIMIT 10""")
 def top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_customer = (
         per_order.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-        .groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("r"), 2).alias("revenue"))
+        .groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("r"), 4).alias("revenue"))
     )
     best = per_customer.orderBy(F.desc("revenue"), "c_custkey").limit(10)
     return (
@@ -110,11 +110,11 @@ def group_by_alias(spark, sf_dir):
 
 
 @query("having_filter", """
-    SELECT l_suppkey, round(avg(l_extendedprice), 2) AS mean_price, count(*) AS n FROM lineitem
+    SELECT l_suppkey, round(avg(l_extendedprice), 6) AS mean_price, count(*) AS n FROM lineitem
     GROUP BY l_suppkey HAVING avg(l_discount) > 0.05 AND count(*) > 10 ORDER BY mean_price DESC, l_suppkey""")
 def having_filter(spark, sf_dir):
     groups = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
-        F.round(F.avg("l_extendedprice"), 2).alias("mean_price"), F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("d")
+        F.round(F.avg("l_extendedprice"), 6).alias("mean_price"), F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("d")
     )
     return groups.filter("d > 0.05 and n > 10").drop("d").orderBy(F.desc("mean_price"), "l_suppkey")
 
@@ -144,17 +144,17 @@ def conditional_share(spark, sf_dir):
 @query("case_buckets", """
     SELECT CASE WHEN o_orderstatus = 'F' AND o_totalprice > 300000 THEN 'closed, large'
                 WHEN o_orderstatus = 'F' THEN 'closed' WHEN o_totalprice > 300000 THEN 'large' ELSE 'other' END AS bucket,
-           count(*) AS n, round(avg(o_totalprice), 2) AS mean_price FROM orders GROUP BY 1""")
+           count(*) AS n, round(avg(o_totalprice), 6) AS mean_price FROM orders GROUP BY 1""")
 def case_buckets(spark, sf_dir):
     closed, large = F.col("o_orderstatus") == "F", F.col("o_totalprice") > 300000
     bucket = F.when(closed & large, "closed, large").when(closed, "closed").when(large, "large").otherwise("other")
     return table(spark, sf_dir, "orders").groupBy(bucket.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean_price")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 6).alias("mean_price")
     )
 
 
 @query("join_roles", """
-    SELECT s.n_name AS from_nation, c.n_name AS to_nation, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    SELECT s.n_name AS from_nation, c.n_name AS to_nation, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
     JOIN customer ON o_custkey = c_custkey JOIN nation s ON s_nationkey = s.n_nationkey
     JOIN nation c ON c_nationkey = c.n_nationkey GROUP BY 1, 2""")
@@ -167,7 +167,7 @@ def join_roles(spark, sf_dir):
     sums = (
         items.join(sellers, "l_suppkey").groupBy("l_orderkey", "s_nationkey").agg(F.sum("r").alias("r"))
         .join(orders, "l_orderkey").join(buyers, "c_custkey")
-        .groupBy("s_nationkey", "c_nationkey").agg(F.round(F.sum("r"), 2).alias("revenue"))
+        .groupBy("s_nationkey", "c_nationkey").agg(F.round(F.sum("r"), 4).alias("revenue"))
     )
     nation = table(spark, sf_dir, "nation")
     seller = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("from_nation"))
@@ -247,13 +247,13 @@ def share_of_total(spark, sf_dir):
 @query("cte_top_suppliers", """
     WITH revenue AS (SELECT l_suppkey, sum(l_extendedprice * (1 - l_discount)) AS r FROM lineitem GROUP BY 1),
          good AS (SELECT l_suppkey, r FROM revenue WHERE r > (SELECT avg(r) FROM revenue))
-    SELECT s_suppkey, s_name, round(r, 2) AS revenue FROM good JOIN supplier ON s_suppkey = l_suppkey""")
+    SELECT s_suppkey, s_name, round(r, 4) AS revenue FROM good JOIN supplier ON s_suppkey = l_suppkey""")
 def cte_top_suppliers(spark, sf_dir):
     revenue = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(REVENUE).alias("r"))
     good = revenue.filter(F.col("r") > revenue.agg(F.avg("r")).scalar())
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     return good.join(suppliers, F.col("s_suppkey") == F.col("l_suppkey")).select(
-        "s_suppkey", "s_name", F.round("r", 2).alias("revenue")
+        "s_suppkey", "s_name", F.round("r", 4).alias("revenue")
     )
 
 
@@ -411,12 +411,12 @@ def by_quarter(spark, sf_dir):
 
 @query("by_weekday", """
     SELECT dayofweek(ts) + 1 AS weekday, CASE dayofweek(ts) WHEN 0 THEN 'Sunday' WHEN 6 THEN 'Saturday' ELSE 'working day' END AS name,
-           count(*) AS n, round(avg(value), 4) AS mean_value FROM events GROUP BY 1, 2""")
+           count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2""")
 def by_weekday(spark, sf_dir):
     weekday = F.dayofweek("ts")
     name = F.when(weekday == 1, "Sunday").when(weekday == 7, "Saturday").otherwise("working day")
     return table(spark, sf_dir, "events").groupBy(weekday.alias("weekday"), name.alias("name")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean_value")
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value")
     )
 
 
