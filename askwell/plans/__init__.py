@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relational", "corpus_queries", "search_queries")
+MODULES = ("relational", "corpus_queries", "search_queries", "context_queries", "run_queries")
 
 
 def all_queries() -> None:
