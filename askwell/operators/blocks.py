@@ -4,9 +4,9 @@ Exact search has to look at |questions| x |rows| scores. They are never rows of
 scores one Arrow batch of rows against one bounded block of questions as a matrix and keeps k per
 question. Two ways get the blocks to the rows:
 
-* few questions (checked, at most ``max_broadcast`` rows): the block is broadcast and the corpus is
-  scanned once, with no shuffle of the corpus;
-* else: rows and questions are cut into cells of bounded size (list, row chunk, question block), and
+* few questions (counted first): the block is broadcast and the corpus is scanned once, with no shuffle
+  of the corpus;
+* else: rows and questions are cut into cells of bounded weight (list, row chunk, question block), and
   cells are co-grouped. A hot list only means more cells.
 
 Both give the same rows; a window over the survivors makes the final cut.
@@ -19,15 +19,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askwell.operators.ranking import bounded_rows, top_k
+from askwell.operators.ranking import top_k
 
-MAX_BROADCAST = 4096      # questions sent to every task
-CELL_ROWS = 20_000        # corpus rows of a cell
-CELL_QUESTIONS = 2_048    # questions of a cell
-MATRIX_ENTRIES = 4_000_000  # scores held at once
+MAX_BROADCAST = 4096            # questions sent to every task
+MAX_BROADCAST_WEIGHT = 2**22    # array entries of all those questions
+MAX_HITS_BROADCAST = 500_000    # hits that joins may broadcast
+CELL_WEIGHT = 2**22             # array entries of a cell's rows, and of its questions
+MATRIX_ENTRIES = 4_000_000      # scores held at once
 
 # scorer(questions: pa.Table, rows: pa.Table, k) -> (question index, row index, distance) candidates that
 # hold, for each question and scope, at least its k nearest rows. Rows of one scope rank together.
@@ -53,7 +54,7 @@ def best(hits: pd.DataFrame, k: dict | int) -> pd.DataFrame:
 
 def _hits(scorer: Scorer, questions: pa.Table, rows: pa.Table, k: dict | int) -> pd.DataFrame:
     """Local winners of one batch of rows, worked off in slices so that the score matrix stays bounded."""
-    question_ids = questions["question_id"].to_pandas()
+    question_ids = questions["question_id"].to_pandas().to_numpy()
     step = max(1, MATRIX_ENTRIES // max(1, questions.num_rows))
     found = []
     for start in range(0, rows.num_rows, step):
@@ -62,7 +63,7 @@ def _hits(scorer: Scorer, questions: pa.Table, rows: pa.Table, k: dict | int) ->
         if len(q) == 0:
             continue
         hits = pd.DataFrame({
-            "question_id": question_ids.to_numpy()[q],
+            "question_id": question_ids[q],
             **{c: part[c].to_pandas().to_numpy()[r] for c in ("scope", "training_data_type", "id")},
             "distance": distance,
         })
@@ -70,6 +71,10 @@ def _hits(scorer: Scorer, questions: pa.Table, rows: pa.Table, k: dict | int) ->
     return best(pd.concat(found, ignore_index=True), k) if found else HIT_SCHEMA.empty_table().to_pandas()
 
 
+def _as_batch(hits: pd.DataFrame) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(hits, schema=HIT_SCHEMA, preserve_index=False)
+
+
 def _scan(scorer: Scorer, questions: pa.Table, corpus: DataFrame, k: dict | int) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast(questions)
 
@@ -84,26 +89,20 @@ def _scan(scorer: Scorer, questions: pa.Table, corpus: DataFrame, k: dict | int)
     return corpus.mapInArrow(run, HIT)
 
 
-def _as_batch(hits: pd.DataFrame) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pandas(hits, schema=HIT_SCHEMA, preserve_index=False)
-
-
-def _cells(scorer: Scorer, questions: DataFrame, corpus: DataFrame, k: dict | int,
-           lists: list[str], cell_rows: int, cell_questions: int) -> DataFrame:
-    def parts(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy(*lists).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(size))).cast("int").alias(name))
+def _cells(scorer: Scorer, questions: DataFrame, corpus: DataFrame, k: dict | int, lists: list[str],
+           weights: tuple[Column, Column], cell_weight: int) -> DataFrame:
+    def parts(df: DataFrame, weight: Column, name: str) -> DataFrame:
+        needed = F.ceil(F.sum(weight) / F.lit(float(cell_weight))).cast("int")
+        return df.groupBy(*lists).agg(F.greatest(F.lit(1), needed).alias(name))
 
+    per_row, per_question = parts(corpus, weights[0], "_nc"), parts(questions, weights[1], "_nq")
     if lists:
-        plan = parts(corpus, cell_rows, "_nc").join(parts(questions, cell_questions, "_nq"), lists)
+        plan = per_row.join(per_question, lists)
         with_plan = lambda df: df.join(plan, lists)
     else:
-        counts = {
-            "_nc": parts(corpus, cell_rows, "_nc").first()[0],
-            "_nq": parts(questions, cell_questions, "_nq").first()[0],
-        }
-        with_plan = lambda df: df.withColumns({n: F.lit(max(1, c)) for n, c in counts.items()})
+        with_plan = lambda df: df.withColumns({"_nc": per_row.scalar(), "_nq": per_question.scalar()})
 
-    def every(n: str):
+    def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     rows = (
@@ -127,26 +126,37 @@ def _cells(scorer: Scorer, questions: DataFrame, corpus: DataFrame, k: dict | in
 
 
 def block_search(
-    scorer: Scorer, questions: DataFrame, corpus: DataFrame, k: dict | int, *, lists: list[str] | None = None,
-    max_broadcast: int = MAX_BROADCAST, cell_rows: int = CELL_ROWS, cell_questions: int = CELL_QUESTIONS,
+    scorer: Scorer, questions: DataFrame, corpus: DataFrame, k: dict | int, weights: tuple[Column, Column], *,
+    lists: list[str] | None = None, scopes: int = 1, max_broadcast: int = MAX_BROADCAST,
+    cell_weight: int = CELL_WEIGHT,
 ) -> DataFrame:
     """The ``k`` nearest rows per question and scope: question_id, training_data_type, id, distance, rank.
 
     ``corpus`` needs id, training_data_type and scope, ``questions`` question_id, both what the scorer reads.
-    With ``lists`` a question only meets the rows of its own lists.
+    ``weights`` says how many array entries a row and a question have, ``scopes`` how many scopes there are. With ``lists`` a question only meets
+    the rows of its own lists. Hits of few questions are marked small, so that joins send them around and
+    not the corpus.
     """
     lists = lists or []
-    small = bounded_rows(questions, max_broadcast) if not lists else None
-    if small is not None:
-        found = _scan(scorer, small, corpus, k)
+    count = None
+    if not lists:
+        size = questions.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(weights[1]), F.lit(0)).alias("w")).first()
+        if size["n"] <= max_broadcast and size["w"] <= MAX_BROADCAST_WEIGHT:
+            count = size["n"]
+    if count is not None:
+        found = _scan(scorer, questions.toArrow(), corpus, k)
     else:
-        found = _cells(scorer, questions, corpus, k, lists, cell_rows, cell_questions)
+        found = _cells(scorer, questions, corpus, k, lists, weights, cell_weight)
     order = [F.asc("distance"), F.asc("id")]
     keys = ["question_id", "scope"]
     if isinstance(k, dict):
         pairs = [F.lit(x) for scope_k in k.items() for x in scope_k]
         limit = F.coalesce(F.create_map(*pairs)[F.col("scope")], F.lit(0))
-        hits = top_k(found, keys, order, max(k.values(), default=0)).filter(F.col("rank") <= limit)
+        most = max(k.values(), default=0)
+        hits = top_k(found, keys, order, most).filter(F.col("rank") <= limit)
     else:
+        most = k
         hits = top_k(found, keys, order, k)
-    return hits.drop("scope")
+    hits = hits.drop("scope")
+    few = count is not None and count * most * scopes <= MAX_HITS_BROADCAST
+    return F.broadcast(hits) if few else hits

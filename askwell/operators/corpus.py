@@ -52,22 +52,28 @@ def split_empty(df: DataFrame, column: str = "content") -> tuple[DataFrame, Data
 
 
 def merge(corpus: DataFrame, new: DataFrame, policy: str = "skip") -> DataFrame:
-    """``new`` into ``corpus`` by id. ``skip`` keeps what is there, ``upsert`` lets the newer row win."""
+    """``new`` into ``corpus`` by id. ``skip`` keeps what is there, ``upsert`` lets new rows win, the
+    newest of them if an id comes more than once."""
     if policy == "skip":
         return corpus.unionByName(not_yet(corpus, new))
     if policy == "upsert":
-        ranked = corpus.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-        return latest(ranked, ["id"], F.struct("created_at", "_new")).drop("_new").select(*corpus.columns)
+        newest = latest(new, ["id"], F.col("created_at")).select(*corpus.columns)
+        return remove(corpus, newest).unionByName(newest)
     raise ValueError(f"unknown merge policy {policy!r}; skip or upsert")
 
 
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """The oldest row of every id; repeats combine on the map side."""
+    return rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), F.col("created_at")).alias("r")).select("r.*")
+
+
 def not_yet(corpus: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of ``new`` whose id ``corpus`` lacks, one per id.
 
     First the ids found on both sides are picked out of the corpus (only its id column is read, and the
     usually small new side is what gets sent around); the anti join then meets just those.
     """
-    once = new.groupBy("id").agg(F.min_by(F.struct(*new.columns), F.col("created_at")).alias("r")).select("r.*")
+    once = one_per_id(new)
     known = corpus.select("id").join(once.select("id"), "id", "left_semi")
     return once.join(known, "id", "left_anti")
 
@@ -151,14 +157,21 @@ def route_training(rows: DataFrame) -> DataFrame:
     })
 
 
+PLAN_KIND = {"ddl": "ddl", "is": "documentation", "sql": "sql"}  # item type -> kind
+
+
 def apply_plan(plan: DataFrame) -> DataFrame:
     """Plan items as corpus rows: ddl as ddl, information schema as documentation, sql as a pair."""
-    value = plan.filter(F.col("item_type") == "ddl").select(F.col("item_value").alias("ddl"))
-    docs = plan.filter(F.col("item_type") == "is").select(F.col("item_value").alias("documentation"))
-    pairs = plan.filter(F.col("item_type") == "sql").select(
-        F.col("item_name").alias("question"), F.col("item_value").alias("sql")
-    )
-    return add_ddl(value).unionByName(add_documentation(docs)).unionByName(add_pairs(pairs))
+    kind, item_id = F.lit(None).cast("string"), F.lit(None).cast("string")
+    name, value, is_pair = F.col("item_name"), F.col("item_value"), F.col("item_type") == "sql"
+    text = F.when(is_pair, pair_json(name, value)).otherwise(value)
+    for item_type, kind_name in PLAN_KIND.items():
+        kind = F.when(F.col("item_type") == item_type, kind_name).otherwise(kind)
+        item_id = F.when(F.col("item_type") == item_type, content_id(F.col("embed_text"), kind_name)).otherwise(item_id)
+    return plan.withColumn("embed_text", text).select(
+        item_id.alias("id"), kind.alias("training_data_type"), F.when(is_pair, name).alias("question"),
+        value.alias("content"), "embed_text", F.when(is_pair, DEFAULT_TAG).alias("tag"), F.current_timestamp().alias("created_at"),
+    ).filter("training_data_type is not null")
 
 
 # Wording of plan summaries (fixed values)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ from askwell.functions.text import one_line
 ModelFactory = Callable[[], Callable[[list[str], str], list]]
 
 DIM = 64
-GRAM = 3
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # spreads trigrams over the dimensions
 
 
 def hashed_grams(dim: int = DIM) -> ModelFactory:
@@ -25,9 +24,10 @@ def hashed_grams(dim: int = DIM) -> ModelFactory:
         def embed(texts: list[str], task: str) -> list:
             out = np.zeros((len(texts), dim), dtype=np.float32)
             for i, text in enumerate(texts):
-                data = f"  {text.lower()} ".encode()
-                for j in range(len(data) - GRAM + 1):
-                    out[i, zlib.crc32(data[j:j + GRAM]) % dim] += 1.0
+                data = np.frombuffer(f"  {text.lower()} ".encode(), dtype=np.uint8).astype(np.uint64)
+                grams = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]
+                places = (grams * MULTIPLIER >> np.uint64(20)) % np.uint64(dim)
+                out[i] = np.bincount(places.astype(np.int64), minlength=dim)
             lengths = np.linalg.norm(out, axis=1, keepdims=True)
             return list(out / np.where(lengths > 0, lengths, 1))
 

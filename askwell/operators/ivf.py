@@ -16,14 +16,14 @@ from askwell.operators.ranking import bounded_rows
 
 
 def fit_centres(corpus: DataFrame, n_lists: int, seed: int = 7, iterations: int = 10) -> DataFrame:
-    """K-means centres of the vectors: id, training_data_type, embedding."""
+    """K-means centres of the vectors: id, embedding."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     features = corpus.select(array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     model = KMeans(k=n_lists, seed=seed, maxIter=iterations).fit(features)
-    rows = [(str(i), "centre", [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return corpus.sparkSession.createDataFrame(rows, "id string, training_data_type string, embedding array<double>")
+    rows = [(str(i), [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    return corpus.sparkSession.createDataFrame(rows, "id string, embedding array<double>")
 
 
 def nearest_lists(rows: DataFrame, centres: DataFrame, n: int) -> DataFrame:

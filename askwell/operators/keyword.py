@@ -114,5 +114,5 @@ def bm25(
         statistics = corpus.sparkSession.read.parquet(path)
     weighted, mean = term_weights(questions, statistics, question_col)
     texts = corpus.select("id", "training_data_type", F.lit("all").alias("scope"), words(F.col(text_col)).alias("tokens"))
-    hits = block_search(partial(_score, mean), weighted, texts, k, **sizes)
+    hits = block_search(partial(_score, mean), weighted, texts, k, (F.size("tokens"), F.size("terms")), **sizes)
     return hits.select("question_id", "training_data_type", "id", (-F.col("distance")).alias("score"), "rank")

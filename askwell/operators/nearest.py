@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askwell.operators.blocks import block_search, limit_of
+from askwell.schemas import KINDS
 
 METRICS = ("l2", "cosine", "dot")
 DIGITS = 6
@@ -100,10 +101,14 @@ def knn(
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {METRICS}")
     lists = lists or []
-    scope = F.col("training_data_type") if per_kind or isinstance(k, dict) else F.lit(EACH)
+    by_kind = per_kind or isinstance(k, dict)
+    scope = F.col("training_data_type") if by_kind else F.lit(EACH)
     asked = questions.select(F.col("question_id").cast("string").alias("question_id"), "embedding", *lists)
     stored = corpus.select("id", "training_data_type", scope.alias("scope"), "embedding", *lists)
-    return block_search(partial(_score, metric), asked, stored, k, lists=lists, **sizes)
+    entries = F.size("embedding")
+    return block_search(
+        partial(_score, metric), asked, stored, k, (entries, entries), lists=lists, scopes=len(KINDS) if by_kind else 1, **sizes
+    )
 
 
 def search(
@@ -134,7 +139,8 @@ def score_passed(
 
 
 def with_content(hits: DataFrame, corpus: DataFrame, *columns: str) -> DataFrame:
-    """Corpus columns joined to hits by id; vectors come from the corpus, nothing is embedded again."""
+    """Corpus columns joined to hits by id; nothing is embedded again. Hits of few questions are marked
+    small by the search, so the corpus is scanned where it lies."""
     return hits.join(corpus.select("id", *columns), "id")
 
 

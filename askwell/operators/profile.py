@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +48,23 @@ def should_chart(df: DataFrame) -> DataFrame:
     return df.limit(2).agg(((F.count(F.lit(1)) > 1) & F.lit(numeric)).alias("should_chart"))
 
 
+def some_distinct(df: DataFrame, column: str, n: int) -> DataFrame:
+    """Distinct values of a text column, all of them if there are fewer than ``n``, else at least ``n``.
+
+    Every task stops reading at its ``n``-th value, so a column of many values is not shuffled to find out.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            seen.update(v for v in pc.unique(batch.column(0)).to_pylist()[: n + 1] if v is not None)
+            if len(seen) >= n:
+                break
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen)[:n], pa.string())], names=["value"])
+
+    return df.select(column).mapInArrow(run, "value string").distinct()
+
+
 def chart_spec(df: DataFrame) -> DataFrame:
     """Kind of chart and its columns: one row kind, x, y."""
     numbers, texts = numeric_columns(df), text_columns(df)
@@ -58,8 +79,7 @@ def chart_spec(df: DataFrame) -> DataFrame:
         return one.select(*spec(F.lit("bar"), F.lit(texts[0]), F.lit(numbers[0])))
     if texts:
         few = F.count(F.lit(1)) < PIE_VALUES
-        distinct = df.select(texts[0]).filter(F.col(texts[0]).isNotNull()).distinct().limit(PIE_VALUES)
-        pie = distinct.agg(few.alias("few"))
+        pie = some_distinct(df, texts[0], PIE_VALUES).agg(few.alias("few"))
         return pie.select(*spec(F.when(F.col("few"), "pie").otherwise("line"), F.when(F.col("few"), texts[0]), F.lit(None)))
     return one.select(*spec(F.lit("line"), F.lit(None), F.lit(None)))
 

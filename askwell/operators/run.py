@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
 from pyspark.errors import PySparkException
@@ -26,35 +26,41 @@ def _file_names(columns: list[str]) -> list[str]:
     return [p if seen.count(p.lower()) == 1 else f"{p}_{i}" for i, p in enumerate(plain)]
 
 
-def _run_one(spark: SparkSession, sql: str, folder: str, number: int) -> tuple:
-    path = f"{folder}/result-{number}"
+def _run_one(spark: SparkSession, sql: str, path: str, preview_rows: int) -> tuple:
     try:
         result = run_sql(spark, sql)
         result.toDF(*_file_names(result.columns)).write.parquet(path)
-        return (sql, SQL_RAN, spark.read.parquet(path).count(), None, path)
+        stored = spark.read.parquet(path)
+        preview = markdown(stored, stored.columns, preview_rows).first()["markdown"] if preview_rows else None
+        return (sql, SQL_RAN, stored.count(), None, path, preview)
     except PySparkException as exc:
-        return (sql, SQL_UNABLE_TO_RUN, None, str(exc).split("\n")[0], None)
+        return (sql, SQL_UNABLE_TO_RUN, None, str(exc).split("\n")[0], None, None)
 
 
-def run_statements(spark: SparkSession, statements: DataFrame, folder: str | None = None) -> DataFrame:
+def run_statements(
+    spark: SparkSession, statements: DataFrame, folder: str | None = None, *, preview_rows: int = 0, at_once: int = 8
+) -> DataFrame:
     """Every distinct valid statement (sql, is_valid), run as a Spark job of its own: sql, status,
-    row_count, error, result_path.
+    row_count, error, result_path, preview.
 
-    Statements come to the driver one by one, since only it can submit jobs; results are written, never
-    collected. Only statements that read data are run.
+    Statements come to the driver a few at a time, since only it can submit jobs, and ``at_once`` run side
+    by side. Results are written, never collected, but for the ``preview_rows`` first rows as text. Only
+    statements that read data are run.
     """
     folder = folder or shared_folder(spark, "results")
     wanted = statements.filter("is_valid").select("sql").distinct()
     wanted.write.parquet(f"{folder}/statements")
-    todo: Iterator = spark.read.parquet(f"{folder}/statements").toLocalIterator()
-    number = 0
-    while chunk := list(islice(todo, STATUS_BATCH)):
-        rows = []
-        for row in chunk:
-            rows.append(_run_one(spark, row["sql"], folder, number))
-            number += 1
-        spark.createDataFrame(rows, RUN_RESULT).coalesce(1).write.mode("append").parquet(f"{folder}/status")
-    if number == 0:
+    todo = enumerate(spark.read.parquet(f"{folder}/statements").toLocalIterator())
+    ran = False
+    with ThreadPoolExecutor(at_once) as pool:
+        while chunk := list(islice(todo, STATUS_BATCH)):
+            jobs = [
+                pool.submit(_run_one, spark, row["sql"], f"{folder}/result-{number}", preview_rows) for number, row in chunk
+            ]
+            rows = [job.result() for job in jobs]
+            spark.createDataFrame(rows, RUN_RESULT).coalesce(1).write.mode("append").parquet(f"{folder}/status")
+            ran = True
+    if not ran:
         return spark.createDataFrame([], RUN_RESULT)
     return spark.read.schema(RUN_RESULT).parquet(f"{folder}/status")
 
@@ -68,16 +74,10 @@ def run_results(extracted: DataFrame, statuses: DataFrame) -> DataFrame:
 
 def previews(spark: SparkSession, statements: DataFrame, n: int = FOLLOWUP_ROWS) -> DataFrame:
     """Distinct statements (sql) with their first rows as markdown: sql, preview, error."""
-    statuses = run_statements(spark, statements.withColumn("is_valid", is_select(F.col("sql"))))
-    texts = []
-    for row in statuses.filter("result_path is not null").select("sql", "result_path").toLocalIterator():
-        result = spark.read.parquet(row["result_path"])
-        texts.append((row["sql"], markdown(result, result.columns, n).first()["markdown"]))
-    seen = spark.createDataFrame(texts, "sql string, preview string")
-    return statements.join(statuses.select("sql", "error"), "sql", "left").join(seen, "sql", "left").select(
-        "sql", "preview",
-        F.when(F.col("preview").isNull(), F.coalesce("error", F.lit("not a statement that reads data"))).alias("error"),
-    )
+    checked = statements.withColumn("is_valid", is_select(F.col("sql")))
+    seen = run_statements(spark, checked, preview_rows=n).select("sql", "preview", "error")
+    no_reader = F.when(F.col("preview").isNull(), F.coalesce("error", F.lit("not a statement that reads data")))
+    return statements.join(seen, "sql", "left").select("sql", "preview", no_reader.alias("error"))
 
 
 def successful(runs: DataFrame) -> DataFrame:

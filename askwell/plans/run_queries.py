@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from askwell import schemas
 from askwell.operators import evaluation, profile
 from askwell.operators import run as r
-from askwell.operators.corpus import add_ddl, add_documentation, add_pairs
-from askwell.operators.corpus import not_yet
+from askwell.operators.corpus import add_ddl, add_documentation, add_pairs, one_per_id
 from askwell.operators.embedding import embed
 from askwell.plans import ask, inputs
 from askwell.plans.oracle_parts import sql_id, sql_pair
@@ -102,8 +101,7 @@ _TRAINED = f"""WITH {_RUNS} SELECT DISTINCT {sql_id(_PAIR, 'sql')} AS id, questi
 @query("auto_train", _TRAINED)
 def auto_train(spark, sf_dir):
     """The log holds most pairs many times; each is learnt once."""
-    learnt = r.auto_train(inputs.run_log(spark, sf_dir))
-    return not_yet(learnt.limit(0), learnt).select("id", "question", "content")
+    return one_per_id(r.auto_train(inputs.run_log(spark, sf_dir))).select("id", "question", "content")
 
 
 def _event_stream(spark, sf_dir):

@@ -52,9 +52,9 @@ def knn_postfilter(spark, sf_dir):
     return nearest.search(*_both(spark, sf_dir), 5, kind="ddl", prefilter=False)
 
 
-@query("knn_threshold", f"WITH {VECTORS}, {knn(L2)} SELECT {HITS} FROM hits WHERE distance < 0.98")
+@query("knn_threshold", f"WITH {VECTORS}, {knn(L2)} SELECT {HITS} FROM hits WHERE distance < 0.965")
 def knn_threshold(spark, sf_dir):
-    return nearest.within(nearest.knn(*_both(spark, sf_dir), 10), 0.98)
+    return nearest.within(nearest.knn(*_both(spark, sf_dir), 10), 0.965)
 
 
 @query("score_passed", f"""
@@ -96,9 +96,8 @@ def rerank_wide(spark, sf_dir):
 def merge_duplicates(spark, sf_dir):
     """Two searches find partly the same; each document counts once, with its mean score."""
     asked, corpus = inputs.topic_questions(spark, sf_dir), inputs.embedded_corpus(spark, sf_dir)
-    hits = nearest.knn(asked, corpus, 10, "l2").unionByName(nearest.knn(asked, corpus, 10, "cosine"))
-    scored = nearest.with_content(hits.withColumn("score", 1 - F.col("distance")), corpus, "content")
-    merged = nearest.merge_duplicates(scored)
+    found = [nearest.with_content(nearest.knn(asked, corpus, 10, metric), corpus, "content") for metric in ("l2", "cosine")]
+    merged = nearest.merge_duplicates(found[0].unionByName(found[1]).withColumn("score", 1 - F.col("distance")))
     return merged.select("question_id", "id", F.round("score", 6).alias("score"), "content")
 
 
@@ -119,13 +118,13 @@ asked AS (SELECT t.question_id AS topic, i, t.question_id || '#' || i AS questio
 
 @query("multi_query", f"""
     WITH {_HINTS}, {knn(L2, '5', rows='corpus', asked='asked')},
-    cut AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, id) - 1 AS j FROM hits WHERE distance < 0.99),
+    cut AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, id) - 1 AS j FROM hits WHERE distance < 0.96),
     seen AS (SELECT a.topic AS question_id, a.i, h.j, h.id, h.distance AS score, c.content,
       row_number() OVER (PARTITION BY a.topic, c.content ORDER BY a.i, h.j) AS n
       FROM cut h JOIN asked a ON a.question_id = h.question_id JOIN corpus c ON c.id = h.id)
     SELECT question_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, id, score, i || '.' || j || '.' || content AS chunk FROM seen WHERE n = 1""")
 def multi_query(spark, sf_dir):
-    return retrieval.multi_query(_hints(spark, sf_dir), inputs.embedded_corpus(spark, sf_dir), 5, retrieval_threshold=0.99)
+    return retrieval.multi_query(_hints(spark, sf_dir), inputs.embedded_corpus(spark, sf_dir), 5, retrieval_threshold=0.96)
 
 
 @query("multi_query_reranked", f"""

@@ -49,6 +49,7 @@ RUN_RESULT = T.StructType([
     T.StructField("row_count", T.LongType()),
     T.StructField("error", T.StringType()),
     T.StructField("result_path", T.StringType()),
+    T.StructField("preview", T.StringType()),
 ])
 
 # Outcome categories of an asked question (fixed values)
