@@ -55,7 +55,7 @@ def merge(corpus: DataFrame, new: DataFrame, policy: str = "skip") -> DataFrame:
     """``new`` into ``corpus`` by id. ``skip`` keeps what is there, ``upsert`` lets new rows win, the
     newest of them if an id comes more than once."""
     if policy == "skip":
-        return corpus.unionByName(not_yet(corpus, new))
+        return corpus.unionByName(not_yet(corpus, one_per_id(new)))
     if policy == "upsert":
         newest = latest(new, ["id"], F.col("created_at")).select(*corpus.columns)
         return remove(corpus, newest).unionByName(newest)
@@ -68,14 +68,13 @@ def one_per_id(rows: DataFrame) -> DataFrame:
 
 
 def not_yet(corpus: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` whose id ``corpus`` lacks, one per id.
+    """Rows of ``new``, one per id, whose id ``corpus`` lacks.
 
     First the ids found on both sides are picked out of the corpus (only its id column is read, and the
     usually small new side is what gets sent around); the anti join then meets just those.
     """
-    once = one_per_id(new)
-    known = corpus.select("id").join(once.select("id"), "id", "left_semi")
-    return once.join(known, "id", "left_anti")
+    known = corpus.select("id").join(new.select("id"), "id", "left_semi")
+    return new.join(known, "id", "left_anti")
 
 
 def training_data(corpus: DataFrame) -> DataFrame:

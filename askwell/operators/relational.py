@@ -6,8 +6,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ONE_TASK = 100_000
 CUTS = 1000
 ACCURACY = 10_000
+SMALL_KEY = 10 * ACCURACY
 
 
 def not_in(df: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
@@ -28,13 +30,17 @@ def in_top(df: DataFrame, column: str, order: list[Column], n: int) -> DataFrame
     return df.join(best.select(column), column, "left_semi")
 
 
-def global_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+def global_rank(df: DataFrame, value: str, out: str, one_task: int = ONE_TASK) -> DataFrame:
     """``value`` (a number) with its rank over all rows, one row per distinct value: ``value``, ``out``, n.
 
-    Distinct values are cut into ranges at approximate quantiles; each range is ranked by itself on top of
-    the row count of the ranges before. No task sees more than about one range.
+    Up to ``ONE_TASK`` distinct values are ranked in one window. More are cut into ranges at approximate
+    quantiles; each range is ranked by itself on top of the row count of the ranges before, so no task sees
+    more than about one range.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    if counts.count() <= one_task:
+        before = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+        return counts.select(value, (F.coalesce(before, F.lit(0)) + 1).alias(out), "n")
     marks = [i / CUTS for i in range(1, CUTS)]
     cuts = counts.agg(F.percentile_approx(F.col(value).cast("double"), marks, ACCURACY).alias("cuts")).first()["cuts"] or []
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
@@ -64,11 +70,12 @@ def percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str,
         F.percentile_approx("_v", low, ACCURACY).alias("_low"),
         F.percentile_approx("_v", high, ACCURACY).alias("_high"),
     )
+    few = F.col("_n") <= SMALL_KEY  # here the sketch's margin could be less than one row
     targets = F.array(*[
         F.struct(
             F.lit(name).alias("name"), (F.lit(f) * (F.col("_n") - 1)).alias("place"),
-            (F.col("_min") if f <= margin else F.col("_low")[i]).alias("a"),
-            (F.col("_max") if f >= 1 - margin else F.col("_high")[i]).alias("b"),
+            F.when(few | F.lit(f <= margin), F.col("_min")).otherwise(F.col("_low")[i]).alias("a"),
+            F.when(few | F.lit(f >= 1 - margin), F.col("_max")).otherwise(F.col("_high")[i]).alias("b"),
         )
         for i, (name, f) in enumerate(fractions.items())
     ])

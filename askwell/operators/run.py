@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,12 @@ def _run_one(spark: SparkSession, sql: str, path: str, preview_rows: int) -> tup
         return (sql, SQL_UNABLE_TO_RUN, None, str(exc).split("\n")[0], None, None)
 
 
+def _table(rows: list[tuple]) -> pa.Table:
+    types = {"row_count": pa.int64()}
+    fields = [pa.field(name, types.get(name, pa.string())) for name in RUN_RESULT.names]
+    return pa.Table.from_pylist([dict(zip(RUN_RESULT.names, row)) for row in rows], pa.schema(fields))
+
+
 def run_statements(
     spark: SparkSession, statements: DataFrame, folder: str | None = None, *, preview_rows: int = 0, at_once: int = 8
 ) -> DataFrame:
@@ -58,7 +65,7 @@ def run_statements(
                 pool.submit(_run_one, spark, row["sql"], f"{folder}/result-{number}", preview_rows) for number, row in chunk
             ]
             rows = [job.result() for job in jobs]
-            spark.createDataFrame(rows, RUN_RESULT).coalesce(1).write.mode("append").parquet(f"{folder}/status")
+            spark.createDataFrame(_table(rows)).coalesce(1).write.mode("append").parquet(f"{folder}/status")
             ran = True
     if not ran:
         return spark.createDataFrame([], RUN_RESULT)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askwell import schemas
+from askwell.functions.sqltext import is_select
 from askwell.operators import evaluation, profile
 from askwell.operators import run as r
 from askwell.operators.corpus import add_ddl, add_documentation, add_pairs, one_per_id
@@ -29,7 +30,8 @@ def run_sql_query(spark, sf_dir):
 
 
 def _generated(spark, sf_dir):
-    """A generated statement per flag and status of the line items; some do not run, some may not."""
+    """A generated statement per flag and status of the line items; some do not run, some may not. Like
+    responses of a model they are written first."""
     flags = inputs.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus").distinct()
     flag = F.col("l_returnflag")
     sql = (
@@ -37,12 +39,12 @@ def _generated(spark, sf_dir):
         .when(flag == "N", "SELECT no_such_column FROM askwell_lineitem")
         .otherwise(F.concat(F.lit("SELECT l_suppkey, sum(l_quantity) FROM askwell_lineitem WHERE l_returnflag = '"), flag, F.lit("' GROUP BY l_suppkey;")))
     )
-    from askwell.functions.sqltext import is_select
-
     made = flags.select(
         F.concat("l_returnflag", "l_linestatus").alias("question_id"), F.concat(F.lit("Quantity for "), flag, F.lit("?")).alias("question"), sql.alias("sql")
     )
-    return made.withColumn("is_valid", is_select(F.col("sql")))
+    path = shared_folder(spark, "generated")
+    made.write.parquet(path)
+    return spark.read.parquet(path).withColumn("is_valid", is_select(F.col("sql")))
 
 
 @query("run_generated", """

@@ -68,7 +68,7 @@ def score_passed(spark, sf_dir):
 
 
 def _reranked(k: int, fetch: int, cut: str = "true") -> str:
-    return f"""WITH {VECTORS}, {knn(L2, str(fetch))},
+    return f"""WITH {VECTORS}, {knn(L2, str(fetch), rows='corpus')},
     scored AS (SELECT h.question_id, h.id, h.distance, h.rank, {overlap('t.question', 'c.content')} AS score
       FROM hits h JOIN corpus c ON c.id = h.id JOIN topics t ON t.question_id = h.question_id WHERE {cut})
     SELECT question_id, id, distance, score, CAST(place AS INT) AS rank FROM (
@@ -90,15 +90,15 @@ def rerank_wide(spark, sf_dir):
 
 
 @query("merge_duplicates", f"""
-    WITH {VECTORS}, {knn(L2, name='a')}, {knn(COSINE, name='b')}
-    SELECT m.question_id, m.id, round(avg(1 - m.distance), 6) AS score, any_value(c.content) AS content
+    WITH {VECTORS}, {knn(L2, name='a', rows='corpus')}, {knn(COSINE, name='b', rows='corpus')}
+    SELECT m.question_id, m.id, round(avg(1 - m.distance), 8) AS score, any_value(c.content) AS content
     FROM (SELECT * FROM a UNION ALL SELECT * FROM b) m JOIN corpus c ON c.id = m.id GROUP BY m.question_id, m.id""")
 def merge_duplicates(spark, sf_dir):
     """Two searches find partly the same; each document counts once, with its mean score."""
     asked, corpus = inputs.topic_questions(spark, sf_dir), inputs.embedded_corpus(spark, sf_dir)
     found = [nearest.with_content(nearest.knn(asked, corpus, 10, metric), corpus, "content") for metric in ("l2", "cosine")]
     merged = nearest.merge_duplicates(found[0].unionByName(found[1]).withColumn("score", 1 - F.col("distance")))
-    return merged.select("question_id", "id", F.round("score", 6).alias("score"), "content")
+    return merged.select("question_id", "id", F.round("score", 8).alias("score"), "content")
 
 
 def _hints(spark, sf_dir):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askwell.operators.corpus import merge, not_yet
+from askwell.operators.corpus import merge, not_yet, one_per_id
 
 LOG = T.StructType([
     T.StructField("version", T.LongType()),
@@ -29,40 +29,49 @@ class CorpusStore:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def _log(self) -> list:
-        """Log rows since the corpus was last written anew; one short row per write since then."""
+        """Log rows since the corpus was last written anew; the log has one short row per write."""
         try:
-            log = self.spark.read.schema(LOG).json(f"{self.path}/log")
-            start = log.filter("starts_over").agg(F.max("version")).first()[0] or 0
+            rows = self.spark.read.schema(LOG).json(f"{self.path}/log").collect()
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" in str(exc):
                 return []
             raise
-        return log.filter(F.col("version") >= start).orderBy("version").collect()
+        start = max((row["version"] for row in rows if row["starts_over"]), default=0)
+        return sorted((row for row in rows if row["version"] >= start), key=lambda row: row["version"])
 
     def read(self) -> DataFrame:
-        segments = [f"{self.path}/segments/segment={row['segment']}" for row in self._log()]
+        return self._read(self._log())
+
+    def _read(self, log: list) -> DataFrame:
+        segments = [f"{self.path}/segments/segment={row['segment']}" for row in log]
         if not segments:
             return self.spark.createDataFrame([], self.schema)
         reader = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/segments")
         return reader.parquet(*segments).select(*self.schema.names)
 
-    def _commit(self, rows: DataFrame, starts_over: bool) -> int:
-        log = self._log()
+    def _commit(self, rows: DataFrame, log: list, starts_over: bool) -> int:
         version = (log[-1]["version"] if log else 0) + 1
         segment = f"{version}-{uuid.uuid4().hex}"
         written = rows.select(*self.schema.names).write.partitionBy("training_data_type")
         written.parquet(f"{self.path}/segments/segment={segment}")
-        entry = self.spark.createDataFrame([(version, segment, starts_over)], LOG)
+        entry = self.spark.range(1).select(
+            F.lit(version).alias("version"), F.lit(segment).alias("segment"), F.lit(starts_over).alias("starts_over")
+        )
         entry.coalesce(1).write.mode("append").json(f"{self.path}/log")
         return version
 
     def append_new(self, rows: DataFrame) -> int:
         """Rows whose id is not stored yet. Doing it twice adds nothing."""
-        return self._commit(not_yet(self.read(), rows.select(*self.schema.names)), starts_over=False)
+        once = one_per_id(rows.select(*self.schema.names)).persist()
+        try:
+            log = self._log()
+            return self._commit(not_yet(self._read(log), once), log, starts_over=False)
+        finally:
+            once.unpersist()
 
     def replace(self, rows: DataFrame) -> int:
         """The whole corpus anew."""
-        return self._commit(rows, starts_over=True)
+        return self._commit(rows, self._log(), starts_over=True)
 
     def compact(self) -> int:
         """Many small segments as one."""
