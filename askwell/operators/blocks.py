@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askwell.operators.ranking import top_k
+from askwell.session import shared_folder
 
 MAX_BROADCAST = 4096            # questions sent to every task
 MAX_BROADCAST_WEIGHT = 2**22    # array entries of all those questions
@@ -92,15 +93,19 @@ def _scan(scorer: Scorer, questions: pa.Table, corpus: DataFrame, k: dict | int)
 def _cells(scorer: Scorer, questions: DataFrame, corpus: DataFrame, k: dict | int, lists: list[str],
            weights: tuple[Column, Column], cell_weight: int) -> DataFrame:
     def parts(df: DataFrame, weight: Column, name: str) -> DataFrame:
-        needed = F.ceil(F.sum(weight) / F.lit(float(cell_weight))).cast("int")
+        needed = F.ceil(F.coalesce(F.sum(weight), F.lit(0)) / F.lit(float(cell_weight))).cast("int")
         return df.groupBy(*lists).agg(F.greatest(F.lit(1), needed).alias(name))
 
     per_row, per_question = parts(corpus, weights[0], "_nc"), parts(questions, weights[1], "_nq")
     if lists:
-        plan = per_row.join(per_question, lists)
+        # one short row per list, written since both sides need it
+        path = shared_folder(corpus.sparkSession, "cells")
+        per_row.join(per_question, lists).write.parquet(path)
+        plan = corpus.sparkSession.read.parquet(path)
         with_plan = lambda df: df.join(plan, lists)
     else:
-        with_plan = lambda df: df.withColumns({"_nc": per_row.scalar(), "_nq": per_question.scalar()})
+        counts = {"_nc": F.lit(per_row.first()[0]), "_nq": F.lit(per_question.first()[0])}
+        with_plan = lambda df: df.withColumns(counts)
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -125,6 +130,16 @@ def _cells(scorer: Scorer, questions: DataFrame, corpus: DataFrame, k: dict | in
     return rows.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(run, HIT)
 
 
+def _few(questions: DataFrame, weight: Column, most: int) -> pa.Table | None:
+    """The questions, if they are few and small enough to be sent to every task."""
+    kept = questions.persist()  # counted, then fetched
+    try:
+        size = kept.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(weight), F.lit(0)).alias("w")).first()
+        return kept.toArrow() if size["n"] <= most and size["w"] <= MAX_BROADCAST_WEIGHT else None
+    finally:
+        kept.unpersist()
+
+
 def block_search(
     scorer: Scorer, questions: DataFrame, corpus: DataFrame, k: dict | int, weights: tuple[Column, Column], *,
     lists: list[str] | None = None, scopes: int = 1, max_broadcast: int = MAX_BROADCAST,
@@ -138,13 +153,9 @@ def block_search(
     not the corpus.
     """
     lists = lists or []
-    count = None
-    if not lists:
-        size = questions.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(weights[1]), F.lit(0)).alias("w")).first()
-        if size["n"] <= max_broadcast and size["w"] <= MAX_BROADCAST_WEIGHT:
-            count = size["n"]
-    if count is not None:
-        found = _scan(scorer, questions.toArrow(), corpus, k)
+    small = None if lists else _few(questions, weights[1], max_broadcast)
+    if small is not None:
+        found = _scan(scorer, small, corpus, k)
     else:
         found = _cells(scorer, questions, corpus, k, lists, weights, cell_weight)
     order = [F.asc("distance"), F.asc("id")]
@@ -158,5 +169,5 @@ def block_search(
         most = k
         hits = top_k(found, keys, order, k)
     hits = hits.drop("scope")
-    few = count is not None and count * most * scopes <= MAX_HITS_BROADCAST
+    few = small is not None and small.num_rows * most * scopes <= MAX_HITS_BROADCAST
     return F.broadcast(hits) if few else hits

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askwell.operators.blocks import MAX_BROADCAST
-from askwell.operators.nearest import DIGITS, knn, matrix
+from askwell.operators.blocks import MATRIX_ENTRIES, MAX_BROADCAST
+from askwell.operators.nearest import candidates, knn
 from askwell.operators.ranking import bounded_rows
 
 
@@ -34,19 +34,23 @@ def nearest_lists(rows: DataFrame, centres: DataFrame, n: int) -> DataFrame:
     table = bounded_rows(centres.select("id", "embedding").orderBy("id"), MAX_BROADCAST)
     if table is None:
         raise ValueError(f"more than {MAX_BROADCAST} centres")
-    shared = rows.sparkSession.sparkContext.broadcast((np.array(table["id"].to_pylist(), dtype=object), matrix(table)))
+    # in order of their ids, so that the smaller index wins a tie
+    centre_table = table.append_column("scope", pa.array([""] * table.num_rows))
+    shared = rows.sparkSession.sparkContext.broadcast(centre_table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, points = shared.value
+        points = shared.value
+        names = np.array(points["id"].to_pylist(), dtype=object)
+        step = max(1, MATRIX_ENTRIES // max(1, len(names)))
         for batch in batches:
-            vectors = matrix(pa.Table.from_batches([batch]))
-            picks = []
-            step = max(1, 2_000_000 // max(1, points.size))
-            for start in range(0, len(vectors), step):
-                part = vectors[start:start + step]
-                gap = np.round(np.sqrt(((part[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)), DIGITS)
-                # names are in order, so the stable sort settles ties by name
-                picks.extend(names[np.argsort(gap, axis=1, kind="stable")[:, :n]].tolist())
+            picks: list = []
+            for start in range(0, batch.num_rows, step):
+                part = pa.Table.from_batches([batch.slice(start, step)])
+                row, centre, distance = candidates("l2", part, points, n)
+                order = np.lexsort((centre, distance, row))
+                row, centre = row[order], centre[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                picks.extend(names[centre[place < n]].reshape(part.num_rows, -1).tolist())
             lists = pa.array(picks, type=pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "lists"])
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from askwell.functions.text import words
 from askwell.operators.blocks import block_search
+from askwell.operators.ranking import spread
 from askwell.session import shared_folder
 
 K1 = 1.2   # fixed value
@@ -108,6 +109,7 @@ def bm25(
 
     ``statistics`` is the corpus' :func:`term_statistics`; without it they are computed once and written
     to the shared folder."""
+    corpus = spread(corpus.select("id", "training_data_type", text_col))
     if statistics is None:
         path = shared_folder(corpus.sparkSession, "term-statistics")
         term_statistics(corpus, text_col).write.parquet(path)

@@ -20,9 +20,12 @@ INTERMEDIATE = "intermediate_sql"  # fixed value
 NO_DATA_ACCESS = "The model may not see data; allow it to answer questions that need a look into the tables."
 
 
-def generate_responses(prompts: DataFrame, model: ModelFactory, key: str = "question_id") -> DataFrame:
+def generate_responses(
+    prompts: DataFrame, model: ModelFactory, key: str = "question_id", tasks: int | None = None
+) -> DataFrame:
     """A response per prompt: ``key``, response, error. One client per partition; a failing call only
-    marks its row."""
+    marks its row. Prompts are dealt out evenly to ``tasks`` (default: all cores), since a call costs far
+    more than moving its prompt."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = model()
         for batch in batches:
@@ -42,6 +45,7 @@ def generate_responses(prompts: DataFrame, model: ModelFactory, key: str = "ques
             )
 
     plain = prompts.select(F.col(key).cast("string").alias(key), "messages")
+    plain = plain.repartition(tasks or prompts.sparkSession.sparkContext.defaultParallelism)
     return plain.mapInArrow(run, f"{key} string, response string, error string")
 
 

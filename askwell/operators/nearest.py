@@ -42,7 +42,7 @@ def _exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(lengths > 0, 1.0 - inner / np.where(lengths > 0, lengths, 1.0), 1.0)
 
 
-def _score(metric: str, questions: pa.Table, rows: pa.Table, k: dict | int):
+def candidates(metric: str, questions: pa.Table, rows: pa.Table, k: dict | int):
     """Candidates by one matrix product per batch, then their exact distances.
 
     The product picks every row within rounding error of the k-th best, so the exact distance, rounded
@@ -107,7 +107,7 @@ def knn(
     stored = corpus.select("id", "training_data_type", scope.alias("scope"), "embedding", *lists)
     entries = F.size("embedding")
     return block_search(
-        partial(_score, metric), asked, stored, k, (entries, entries), lists=lists, scopes=len(KINDS) if by_kind else 1, **sizes
+        partial(candidates, metric), asked, stored, k, (entries, entries), lists=lists, scopes=len(KINDS) if by_kind else 1, **sizes
     )
 
 

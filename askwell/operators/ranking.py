@@ -59,6 +59,16 @@ def previous(df: DataFrame, key: str, position: str, value: str, out: str, stret
     return joined.withColumn(out, F.coalesce("_before", "_carried")["v"]).select(*df.columns, out)
 
 
+def spread(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A table of few rows over all cores, for heavy work per row; a large one stays as it lies.
+
+    Counting a stored table reads file footers only, and a large table has splits enough.
+    """
+    if df.count() > most_rows:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def bounded_rows(df: DataFrame, limit: int):
     """``df`` as an Arrow table if it has at most ``limit`` rows, else None. At most ``limit`` + 1 rows
     reach the driver."""

@@ -6,10 +6,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from askwell.session import shared_folder
+
 ONE_TASK = 100_000
 CUTS = 1000
 ACCURACY = 10_000
 SMALL_KEY = 10 * ACCURACY
+FEW_KEYS = 50_000
 
 
 def not_in(df: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
@@ -79,8 +82,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str,
         )
         for i, (name, f) in enumerate(fractions.items())
     ])
-    brackets = sketch.select(*keys, targets.alias("_targets"))
-    joined = _on_keys(rows, brackets, keys)
+    joined = _on_keys(rows, sketch.select(*keys, targets.alias("_targets")), keys)
     # each row goes to the brackets it lies in, and as a count to those above it
     spread = joined.select(*keys, "_v", F.explode("_targets").alias("t")).filter(F.col("_v") <= F.col("t.b"))
     below = F.col("_v") < F.col("t.a")
@@ -104,6 +106,11 @@ def percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str,
 
 
 def _on_keys(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    if keys:
-        return rows.join(brackets, keys)
-    return rows.withColumn("_targets", brackets.select("_targets").scalar())
+    """Rows with the brackets of their key. The brackets, one row per key, are written first: then they are
+    counted cheaply, and few of them are broadcast so that the rows stay where they are."""
+    path = shared_folder(rows.sparkSession, "brackets")
+    brackets.write.parquet(path)
+    stored = rows.sparkSession.read.parquet(path)
+    if not keys:
+        return rows.withColumn("_targets", stored.select("_targets").scalar())
+    return rows.join(F.broadcast(stored) if stored.count() <= FEW_KEYS else stored, keys)

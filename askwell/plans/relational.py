@@ -33,7 +33,7 @@ def top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = per_customer.orderBy(F.desc("revenue"), "c_custkey").limit(10)
     return (
         customers.select("c_custkey", "c_name").join(best, "c_custkey")
-        .select("c_custkey", "c_name", "revenue").orderBy(F.desc("revenue"), "c_custkey")
+        .select("c_custkey", "c_name", "revenue").orderBy(F.desc("revenue"), "c_custkey").limit(10)
     )
 
 

@@ -11,6 +11,7 @@ from askwell.operators.keyword import bm25
 from askwell.plans import inputs
 from askwell.plans.oracle_parts import COSINE, DOT, HITS, L2, VECTORS, knn, overlap, words
 from askwell.plans.registry import query
+from askwell.session import shared_folder
 
 
 def _both(spark, sf_dir):
@@ -156,6 +157,14 @@ def bm25_query(spark, sf_dir):
     return bm25(inputs.benchmark_questions(spark, sf_dir), inputs.text_corpus(spark, sf_dir), 10)
 
 
+def _index(corpus, centres):
+    """The lists, written as one would keep them."""
+    path = shared_folder(corpus.sparkSession, "lists")
+    ivf.build_lists(corpus, centres).write.partitionBy("list_id").parquet(path)
+    fields = "id string, training_data_type string, embedding array<float>, label int, list_id string"
+    return corpus.sparkSession.read.schema(fields).parquet(path)
+
+
 @query("ivf_knn", f"""
     WITH {VECTORS},
     near AS (SELECT c.id, t.question_id AS list_id, row_number() OVER (PARTITION BY c.id
@@ -168,7 +177,7 @@ def ivf_query(spark, sf_dir):
     topics, corpus = _both(spark, sf_dir)
     centres = topics.select(F.col("question_id").alias("id"), "embedding")
     asked = corpus.select(F.col("id").alias("question_id"), "embedding")
-    return ivf.ivf_knn(asked, ivf.build_lists(corpus, centres), centres, 10, 3)
+    return ivf.ivf_knn(asked, _index(corpus, centres), centres, 10, 3)
 
 
 @query("ivf_kmeans")
@@ -176,7 +185,7 @@ def ivf_kmeans(spark, sf_dir):
     """The same with centres fitted to the corpus."""
     topics, corpus = _both(spark, sf_dir)
     centres = ivf.fit_centres(corpus, 16)
-    return ivf.ivf_knn(topics, ivf.build_lists(corpus, centres), centres, 10, 4)
+    return ivf.ivf_knn(topics, _index(corpus, centres), centres, 10, 4)
 
 
 @query("starter_questions", f"""

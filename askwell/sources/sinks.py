@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """The whole result as CSV with a header, one file per task."""
-    df.write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
+    """The whole result as CSV with a header, one file per task; white space in values is kept."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(header=True, escape='"', **kept).mode("errorifexists").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

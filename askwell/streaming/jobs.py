@@ -10,11 +10,18 @@ from askwell.operators.run import auto_train
 from askwell.sources.store import CorpusStore
 
 
+SALTS = 16
+
+
 def training_stream(runs: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Pairs that gave rows, once per id as long as the watermark remembers it. The merge of the sink makes
-    it once for good."""
+    """Pairs that gave rows, with few repeats of an id as long as the watermark remembers it.
+
+    Repeats of an id are spread over ``SALTS`` keys, so that a pair asked all the time is not one task's
+    work; the merge of the sink leaves one row per id, for good.
+    """
     timed = runs.withColumn("created_at", F.col("ts").cast("timestamp"))
-    return auto_train(timed).withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
+    salted = auto_train(timed).withColumn("_salt", F.pmod(F.xxhash64("created_at"), F.lit(SALTS)))
+    return salted.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id", "_salt"]).drop("_salt")
 
 
 def start_auto_train(runs: DataFrame, store: CorpusStore, checkpoint: str, delay: str = "1 hour", once: bool = True) -> StreamingQuery:
