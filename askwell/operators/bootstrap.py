@@ -144,6 +144,21 @@ def catalog_ddl(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, ddl string")
 
 
+def info_schema(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """Information schema rows of the catalog's tables and views."""
+    catalog, rows = spark.catalog.currentCatalog(), []
+    for found in spark.catalog.listTables(database):
+        schema = found.namespace[-1] if found.namespace else ""
+        name = f"`{schema}`.`{found.name}`" if schema and not found.isTemporary else f"`{found.name}`"
+        for i, field in enumerate(spark.table(name).schema):
+            comment = field.metadata.get("comment")
+            rows.append((catalog, schema, found.name, field.name, field.dataType.simpleString(), comment, i + 1))
+    return spark.createDataFrame(
+        rows, "TABLE_CATALOG string, TABLE_SCHEMA string, TABLE_NAME string, COLUMN_NAME string, DATA_TYPE string, "
+              "COMMENT string, ORDINAL_POSITION int"
+    )
+
+
 def column_catalog(spark: SparkSession, tables: dict[str, DataFrame], catalog: str = "spark", schema: str = "default") -> DataFrame:
     """Information schema rows of the given tables, with the tables' row counts and the columns' nulls.
 

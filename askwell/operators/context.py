@@ -122,7 +122,7 @@ def build_prompts(
 
 
 def task_prompt(df: DataFrame, task: str, content: Column, language: str | None = None) -> DataFrame:
-    """Two-message prompts for ``summary``, ``chart``, ``question``, ``rewrite`` and ``fix``."""
+    """Two-message prompts for ``summary``, ``followup``, ``chart``, ``question`` and ``fix``."""
     if task == "question":
         messages = F.array(message("system", F.lit(TEMPLATES[task])), message("user", content))
     else:

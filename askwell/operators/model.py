@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askwell.functions.sqltext import extract_code, extract_sql, is_select, without_numbers
-from askwell.operators.context import TEMPLATES, message, task_prompt
+from askwell.operators.context import TEMPLATES, fix_inputs, message, rewrite_inputs, task_prompt
 from askwell.operators.retrieval import suggestions
 from askwell.session import shared_folder
 
@@ -111,8 +111,52 @@ def followup_lines(responses: DataFrame, n: int = 5) -> DataFrame:
     return responses.select("question_id", F.posexplode(lines).alias("position", "followup"))
 
 
-def chart_code(responses: DataFrame) -> DataFrame:
-    return responses.withColumn("code", extract_code(F.col("response")))
+def _about(runs: DataFrame) -> Column:
+    """What a model is told of a run (question, sql, preview)."""
+    return F.concat(
+        F.lit("Question: "), F.col("question"), F.lit("\nSQL: "), F.col("sql"), F.lit("\nResult:\n"), F.col("preview")
+    )
+
+
+def followup_questions(runs: DataFrame, model: ModelFactory, n: int = 5, language: str | None = None) -> DataFrame:
+    """Questions a model would ask next about runs (question_id, question, sql, preview), at most ``n`` each."""
+    prompts = task_prompt(runs, "followup", _about(runs), language)
+    return followup_lines(generate_responses(prompts, model).filter("response is not null"), n)
+
+
+def summarize(runs: DataFrame, model: ModelFactory, language: str | None = None) -> DataFrame:
+    """A model's summary of each run's result: question_id, summary, error."""
+    prompts = task_prompt(runs, "summary", _about(runs), language)
+    return generate_responses(prompts, model).withColumnRenamed("response", "summary")
+
+
+def chart_code(runs: DataFrame, model: ModelFactory) -> DataFrame:
+    """A model's plotting code for runs (question_id, question, sql, schema): question_id, code, error. The
+    code is never run here; :func:`askwell.operators.profile.chart_spec` says what to draw."""
+    about = F.concat(
+        F.lit("Question: "), F.col("question"), F.lit("\nSQL: "), F.col("sql"), F.lit("\nColumns of df:\n"), F.col("schema")
+    )
+    answered = generate_responses(task_prompt(runs, "chart", about), model)
+    return answered.select("question_id", extract_code(F.col("response")).alias("code"), "error")
+
+
+def rewrite_questions(turns: DataFrame, model: ModelFactory) -> DataFrame:
+    """User turns (conv_id, turn, question) with the question asked for good: the first of a conversation as
+    it is, later ones combined with the one before by the model."""
+    made = rewrite_inputs(turns).withColumn("question_id", F.to_json(F.struct("conv_id", "turn")))
+    ask = F.array(message("system", F.lit(TEMPLATES["rewrite"])), message("user", F.col("text")))
+    answered = generate_responses(made.filter("needs_model").select("question_id", ask.alias("messages")), model)
+    rewritten = F.when(F.col("needs_model"), F.col("response")).otherwise(F.col("question"))
+    return made.join(answered, "question_id", "left").select(
+        "conv_id", "turn", "question", rewritten.alias("rewritten"), "error"
+    )
+
+
+def fix_sql(runs: DataFrame, model: ModelFactory, mode: str = "last") -> DataFrame:
+    """A model's correction of failed runs (question_id, question, sql, error, attempts): question_id,
+    attempts, response, error, sql, is_valid."""
+    failed = fix_inputs(runs).select(F.col("question_id").cast("string").alias("question_id"), "attempts", "messages")
+    return failed.drop("messages").join(extracted(generate_responses(failed, model), mode), "question_id")
 
 
 def clean_corpus(answers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -336,3 +336,70 @@ def extract_code_query(spark, sf_dir):
 def strip_query(spark, sf_dir):
     ending = F.when(F.col("turn") % 3 == 0, ";\n").when(F.col("turn") % 3 == 1, ";;  ").otherwise(" ")
     return inputs.table(spark, sf_dir, "conversations").select("conv_id", "turn", strip_semicolon(F.concat("text", ending)).alias("sql"))
+
+
+_SHOWN = "'Question: ' || question || chr(10) || 'SQL: ' || sql || chr(10) || 'Result:' || chr(10) || '| n |'"
+
+
+def _shown_runs(spark, sf_dir):
+    return inputs.pairs(spark, sf_dir).select(
+        F.concat_ws("-", "conv_id", "turn").alias("question_id"), "question", "sql", F.lit("| n |").alias("preview"),
+        F.lit("n int").alias("schema"),
+    )
+
+
+def numbering_model():
+    """A stand-in model: numbered lines about the length of what it was told."""
+    def call(messages):
+        size = len(messages[0]["content"])
+        return "\n".join(f"{i}. Why {size + i}?" for i in range(1, 8))
+
+    return call
+
+
+@query("followup_questions", f"""
+    WITH {PAIRS}, t AS (SELECT conv_id || '-' || turn AS question_id, length({_SHOWN}) AS n FROM pairs)
+    SELECT question_id, CAST(i AS INT) AS position, 'Why ' || (n + i + 1) || '?' AS followup FROM t, range(0, 5) r(i)""")
+def followup_questions(spark, sf_dir):
+    return m.followup_questions(_shown_runs(spark, sf_dir), numbering_model)
+
+
+@query("summaries", f"""
+    WITH {PAIRS} SELECT conv_id || '-' || turn AS question_id,
+      '2 messages, ' || (length({_SHOWN}) + length({text(ctx.TEMPLATES['summary'])})) || ' characters' AS summary, CAST(NULL AS VARCHAR) AS error FROM pairs""")
+def summaries(spark, sf_dir):
+    return m.summarize(_shown_runs(spark, sf_dir), counting_model)
+
+
+def plotting_model():
+    """A stand-in model: fenced code naming the length of what it was told."""
+    return lambda messages: f"Sure:\n```python\nfig = {len(messages[0]['content'])}\nfig.show()\n```"
+
+
+@query("chart_code", f"""
+    WITH {PAIRS} SELECT conv_id || '-' || turn AS question_id, 'fig = ' || length('Question: ' || question || chr(10) || 'SQL: ' || sql || chr(10)
+      || 'Columns of df:' || chr(10) || 'n int') || chr(10) AS code, CAST(NULL AS VARCHAR) AS error FROM pairs""")
+def chart_code(spark, sf_dir):
+    return m.chart_code(_shown_runs(spark, sf_dir), plotting_model)
+
+
+@query("rewrite_questions", f"""
+    WITH u AS (SELECT conv_id, turn, text AS question, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM conversations WHERE role = 'user')
+    SELECT conv_id, turn, question, CASE WHEN last IS NULL THEN question ELSE '2 messages, ' || (length({text(ctx.TEMPLATES['rewrite'])})
+      + length('First question: ' || last || chr(10) || 'Second question: ' || question)) || ' characters' END AS rewritten, CAST(NULL AS VARCHAR) AS error FROM u""")
+def rewrite_questions(spark, sf_dir):
+    turns = inputs.table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    return m.rewrite_questions(turns, counting_model)
+
+
+def correcting_model():
+    """A stand-in model: selects the column it was told is missing."""
+    return lambda messages: f"```sql\nselect '{messages[0]['content'].split('column: ')[-1]}'\n```"
+
+
+@query("fix_sql", f"""
+    WITH {PAIRS} SELECT conv_id || '-' || turn AS question_id, CASE WHEN conv_id % 2 = 0 THEN 2 ELSE 1 END AS attempts,
+      'select ''c' || conv_id || '''' || chr(10) AS sql, true AS is_valid FROM pairs WHERE turn = 0""")
+def fix_sql(spark, sf_dir):
+    runs = _runs(spark, sf_dir).withColumn("question_id", F.concat_ws("-", "conv_id", "turn"))
+    return m.fix_sql(runs, correcting_model).select("question_id", "attempts", "sql", "is_valid")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from askwell import schemas
 from askwell.functions.sqltext import is_select
-from askwell.operators import evaluation, profile
+from askwell.operators import bootstrap, evaluation, profile
 from askwell.operators import run as r
 from askwell.operators.corpus import add_ddl, add_documentation, add_pairs, one_per_id
 from askwell.operators.embedding import embed
@@ -90,6 +90,26 @@ def ask_batch(spark, sf_dir):
     return runs.join(learnt, "question", "left_semi").select("question_id", "status", "row_count")
 
 
+def words_model():
+    """A stand-in model: suggests the question's first four words, one per line."""
+    return lambda messages: "\n".join(messages[-1]["content"].split("Question: ")[1].split()[:4])
+
+
+@query("suggested_context")
+def suggested_context(spark, sf_dir):
+    """Context of benchmark questions: DDL by suggested columns, pairs and documents by the question."""
+    ddl = add_ddl(bootstrap.create_ddl(inputs.column_descriptions(spark, sf_dir)))
+    docs = add_documentation(inputs.text_corpus(spark, sf_dir).withColumnRenamed("content", "documentation"))
+    pairs = add_pairs(inputs.pairs(spark, sf_dir))
+    corpus = embed(pairs.unionByName(ddl).unionByName(docs), "embed_text")
+    asked = embed(inputs.benchmark_questions(spark, sf_dir), "question", task="question")
+    context = ask.suggested_context(asked, corpus, words_model, k=3)
+    return context.select(
+        "question_id", F.size("pairs").alias("pairs"), F.size("documentation").alias("documents"), F.size("ddl").alias("tables"),
+        F.substring(F.col("ddl")[0]["content"], 1, 4).alias("first_label"),
+    )
+
+
 _PAIR = sql_pair("question", "sql")
 _RUNS = f"""
 runs AS (SELECT 'How often did user ' || user_id || ' ' || event_type || '?' AS question,

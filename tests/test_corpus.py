@@ -191,6 +191,15 @@ def test_catalog_and_sinks(spark, tmp_path):
     assert json.loads(spark.read.text(f"{tmp_path}/json").first()[0]) == {"n": 1, "t": 'a "b"\n', "x": None}
 
 
+def test_catalog_as_information_schema(spark):
+    spark.createDataFrame([(1, "a")], "n int, t string").createOrReplaceTempView("listed_view")
+    rows = bootstrap.info_schema(spark)
+    found = [(r["COLUMN_NAME"], r["DATA_TYPE"], r["ORDINAL_POSITION"]) for r in rows.filter("TABLE_NAME = 'listed_view'").collect()]
+    assert sorted(found) == [("n", "int", 1), ("t", "string", 2)]
+    docs = bootstrap.table_docs(rows).filter("item_name = 'listed_view'").first()["item_value"]
+    assert "| listed_view | n | int |" in docs
+
+
 def test_ordered_text_and_previous_rows(spark):
     rows = [("hot", i, f"v{i}") for i in range(0, 5000, 3)] + [("cold", 7, "x"), ("cold", 9000, None), ("cold", 9001, "z")]
     df = spark.createDataFrame(rows, "k string, p long, v string").repartition(6)
