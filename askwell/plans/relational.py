@@ -9,7 +9,9 @@ from askwell.operators.relational import global_rank, in_top, not_in, percentile
 from askwell.plans.inputs import table
 from askwell.plans.registry import query
 
-REVENUE = F.expr("l_extendedprice * (1 - l_discount)")
+
+def revenue():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def day(column: str):
@@ -24,7 +26,7 @@ def top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten customers with the most revenue. Revenue is summed per order, then per customer key, and names
     join the ten rows left."""
     items, orders, customers = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
-    per_order = items.groupBy("l_orderkey").agg(F.sum(REVENUE).alias("r"))
+    per_order = items.groupBy("l_orderkey").agg(F.sum(revenue()).alias("r"))
     per_customer = (
         per_order.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
@@ -160,7 +162,7 @@ def case_buckets(spark, sf_dir):
     JOIN nation c ON c_nationkey = c.n_nationkey GROUP BY 1, 2""")
 def join_roles(spark, sf_dir):
     """Revenue by selling and buying nation: summed by the nations' keys, names joined last."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", REVENUE.alias("r"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", revenue().alias("r"))
     sellers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     buyers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -249,8 +251,8 @@ def share_of_total(spark, sf_dir):
          good AS (SELECT l_suppkey, r FROM revenue WHERE r > (SELECT avg(r) FROM revenue))
     SELECT s_suppkey, s_name, round(r, 4) AS revenue FROM good JOIN supplier ON s_suppkey = l_suppkey""")
 def cte_top_suppliers(spark, sf_dir):
-    revenue = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(REVENUE).alias("r"))
-    good = revenue.filter(F.col("r") > revenue.agg(F.avg("r")).scalar())
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(revenue()).alias("r"))
+    good = sums.filter(F.col("r") > sums.agg(F.avg("r")).scalar())
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     return good.join(suppliers, F.col("s_suppkey") == F.col("l_suppkey")).select(
         "s_suppkey", "s_name", F.round("r", 4).alias("revenue")
