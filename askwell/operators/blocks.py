@@ -55,6 +55,8 @@ def best(hits: pd.DataFrame, k: dict | int) -> pd.DataFrame:
 
 def _hits(scorer: Scorer, questions: pa.Table, rows: pa.Table, k: dict | int) -> pd.DataFrame:
     """Local winners of one batch of rows, worked off in slices so that the score matrix stays bounded."""
+    if not questions.num_rows or not rows.num_rows:
+        return HIT_SCHEMA.empty_table().to_pandas()
     question_ids = questions["question_id"].to_pandas().to_numpy()
     step = max(1, MATRIX_ENTRIES // max(1, questions.num_rows))
     found = []
@@ -123,8 +125,6 @@ def _cells(scorer: Scorer, questions: DataFrame, corpus: DataFrame, k: dict | in
     cell = [*lists, "_chunk", "_block"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return HIT_SCHEMA.empty_table()
         return pa.Table.from_batches([_as_batch(_hits(scorer, right, left, k))])
 
     return rows.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(run, HIT)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from askwell.operators.blocks import block_search, limit_of
 from askwell.schemas import KINDS
 
-METRICS = ("l2", "cosine", "dot")
+METRICS = ("l2", "l2sq", "cosine", "dot")
 DIGITS = 6
-RETRIEVAL_THRESHOLD = 1.5   # fixed value: default distance cut
+RETRIEVAL_THRESHOLD = 1.5   # fixed value: default distance cut, on squared distances
 RERANK_THRESHOLD = 0.1      # fixed value: default rerank score cut
 EACH = "all"                # kind used where hits are ranked over all kinds together
 
@@ -33,8 +33,9 @@ def matrix(table: pa.Table) -> np.ndarray:
 
 
 def _exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if metric == "l2":
-        return np.sqrt(((a - b) ** 2).sum(axis=1))
+    if metric in ("l2", "l2sq"):
+        squared = ((a - b) ** 2).sum(axis=1)
+        return squared if metric == "l2sq" else np.sqrt(squared)
     inner = (a * b).sum(axis=1)
     if metric == "dot":
         return -inner
@@ -56,8 +57,9 @@ def candidates(metric: str, questions: pa.Table, rows: pa.Table, k: dict | int):
         rough = -inner
     else:
         q2, r2 = (asked * asked).sum(axis=1), (stored * stored).sum(axis=1)
-        if metric == "l2":
-            rough = np.sqrt(np.maximum(q2[:, None] + r2[None, :] - 2 * inner, 0.0))
+        if metric in ("l2", "l2sq"):
+            rough = np.maximum(q2[:, None] + r2[None, :] - 2 * inner, 0.0)
+            rough = rough if metric == "l2sq" else np.sqrt(rough)
         else:
             lengths = np.sqrt(q2)[:, None] * np.sqrt(r2)[None, :]
             rough = np.where(lengths > 0, 1.0 - inner / np.where(lengths > 0, lengths, 1.0), 1.0)
@@ -95,8 +97,8 @@ def knn(
     """The ``k`` nearest corpus rows of every question: question_id, training_data_type, id, distance, rank.
 
     ``per_kind`` (implied by a dict of kind -> k) ranks within each kind, else all kinds rank together.
-    Distances are rounded to six digits; ties go to the smaller id. Dot products count as negative
-    distances. ``lists`` names columns on both sides that must agree (see :mod:`askwell.operators.ivf`).
+    Distances are rounded to six digits; ties go to the smaller id. ``l2sq`` is the square of ``l2``; dot
+    products count as negative distances. ``lists`` names columns on both sides that must agree (see :mod:`askwell.operators.ivf`).
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {METRICS}")

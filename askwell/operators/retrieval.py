@@ -19,6 +19,7 @@ from askwell.operators.nearest import (
     within,
 )
 
+THRESHOLD_METRIC = "l2sq"  # fixed value: what the default distance cut is meant for
 OVERFETCH = 3       # fixed value: candidates per wanted row when reranking
 WIDE_FETCH = 50     # fixed value: candidates of the wide rerank
 N_RESULTS = 10      # fixed value
@@ -52,10 +53,10 @@ def rerank(hits: DataFrame, k: int, scorer: Callable[[Column, Column], Column] =
 
 def search_with_score(
     questions: DataFrame, corpus: DataFrame, k: int = N_RESULTS, *, reranked: bool = False, overfetch: int = OVERFETCH,
-    threshold: float | None = RETRIEVAL_THRESHOLD, scorer=overlap, **sizes,
+    threshold: float | None = RETRIEVAL_THRESHOLD, scorer=overlap, metric: str = THRESHOLD_METRIC, **sizes,
 ) -> DataFrame:
-    """Hits with their content. With ``reranked`` more are fetched, cut by distance, scored and cut to ``k``."""
-    hits = knn(questions, corpus, k * (overfetch if reranked else 1), **sizes)
+    """Hits with their content, nearer than ``threshold``. With ``reranked`` more are fetched, cut by distance, scored and cut to ``k``."""
+    hits = knn(questions, corpus, k * (overfetch if reranked else 1), metric, **sizes)
     if threshold is not None:
         hits = within(hits, threshold)
     hits = with_content(hits, corpus, "content")
@@ -67,7 +68,7 @@ def search_with_score(
 
 def rerank_wide(questions: DataFrame, corpus: DataFrame, k: int = N_RESULTS, scorer=overlap, **sizes) -> DataFrame:
     """Fifty candidates whatever their distance, scored and cut to ``k``."""
-    hits = with_content(knn(questions, corpus, WIDE_FETCH, **sizes), corpus, "content")
+    hits = with_content(knn(questions, corpus, WIDE_FETCH, THRESHOLD_METRIC, **sizes), corpus, "content")
     asked = questions.select(F.col("question_id").cast("string").alias("question_id"), "question")
     return rerank(hits.join(asked, "question_id"), k, scorer)
 

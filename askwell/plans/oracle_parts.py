@@ -82,6 +82,7 @@ def knn(distance: str, k: str = "10", partition: str = "question_id", where: str
 
 
 L2 = "list_distance(q.v, c.v)"
+L2SQ = "pow(list_distance(q.v, c.v), 2)"
 COSINE = "1 - list_cosine_similarity(q.v, c.v)"
 DOT = "-list_inner_product(q.v, c.v)"
 HITS = "question_id, training_data_type, id, distance, CAST(rank AS INT) AS rank"

@@ -9,7 +9,7 @@ from askwell.operators import ivf, nearest, retrieval
 from askwell.operators.embedding import embed, hashed_grams, projection_2d
 from askwell.operators.keyword import bm25
 from askwell.plans import inputs
-from askwell.plans.oracle_parts import COSINE, DOT, HITS, L2, VECTORS, knn, overlap, words
+from askwell.plans.oracle_parts import COSINE, DOT, HITS, L2, L2SQ, VECTORS, knn, overlap, words
 from askwell.plans.registry import query
 from askwell.session import shared_folder
 
@@ -53,9 +53,9 @@ def knn_postfilter(spark, sf_dir):
     return nearest.search(*_both(spark, sf_dir), 5, kind="ddl", prefilter=False)
 
 
-@query("knn_threshold", f"WITH {VECTORS}, {knn(L2)} SELECT {HITS} FROM hits WHERE distance < 0.965")
+@query("knn_threshold", f"WITH {VECTORS}, {knn(L2SQ)} SELECT {HITS} FROM hits WHERE distance < 0.93")
 def knn_threshold(spark, sf_dir):
-    return nearest.within(nearest.knn(*_both(spark, sf_dir), 10), 0.965)
+    return nearest.within(nearest.knn(*_both(spark, sf_dir), 10, "l2sq"), 0.93)
 
 
 @query("score_passed", f"""
@@ -69,7 +69,7 @@ def score_passed(spark, sf_dir):
 
 
 def _reranked(k: int, fetch: int, cut: str = "true") -> str:
-    return f"""WITH {VECTORS}, {knn(L2, str(fetch), rows='corpus')},
+    return f"""WITH {VECTORS}, {knn(L2SQ, str(fetch), rows='corpus')},
     scored AS (SELECT h.question_id, h.id, h.distance, h.rank, {overlap('t.question', 'c.content')} AS score
       FROM hits h JOIN corpus c ON c.id = h.id JOIN topics t ON t.question_id = h.question_id WHERE {cut})
     SELECT question_id, id, distance, score, CAST(place AS INT) AS rank FROM (
@@ -118,18 +118,18 @@ asked AS (SELECT t.question_id AS topic, i, t.question_id || '#' || i AS questio
 
 
 @query("multi_query", f"""
-    WITH {_HINTS}, {knn(L2, '5', rows='corpus', asked='asked')},
-    cut AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, id) - 1 AS j FROM hits WHERE distance < 0.96),
+    WITH {_HINTS}, {knn(L2SQ, '5', rows='corpus', asked='asked')},
+    cut AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, id) - 1 AS j FROM hits WHERE distance < 0.92),
     seen AS (SELECT a.topic AS question_id, a.i, h.j, h.id, h.distance AS score, c.content,
       row_number() OVER (PARTITION BY a.topic, c.content ORDER BY a.i, h.j) AS n
       FROM cut h JOIN asked a ON a.question_id = h.question_id JOIN corpus c ON c.id = h.id)
     SELECT question_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, id, score, i || '.' || j || '.' || content AS chunk FROM seen WHERE n = 1""")
 def multi_query(spark, sf_dir):
-    return retrieval.multi_query(_hints(spark, sf_dir), inputs.embedded_corpus(spark, sf_dir), 5, retrieval_threshold=0.96)
+    return retrieval.multi_query(_hints(spark, sf_dir), inputs.embedded_corpus(spark, sf_dir), 5, retrieval_threshold=0.92)
 
 
 @query("multi_query_reranked", f"""
-    WITH {_HINTS}, {knn(L2, '15', rows='corpus', asked='asked')},
+    WITH {_HINTS}, {knn(L2SQ, '15', rows='corpus', asked='asked')},
     scored AS (SELECT h.*, c.content, {overlap('a.hint', 'c.content')} AS score FROM hits h JOIN asked a ON a.question_id = h.question_id
       JOIN corpus c ON c.id = h.id WHERE h.distance < 1.5),
     cut AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) - 1 AS j FROM scored),

@@ -28,34 +28,34 @@ class Source:
     drop_semicolon: bool = False
 
 
-# What each database needs (fixed values: option names, drivers, ports)
+# What each database needs (fixed values: option names, drivers, environment variables)
 SOURCES = {
     "snowflake": Source(("account", "user", "password", "database"), format="snowflake", env=(
         ("account", "SNOWFLAKE_ACCOUNT"), ("user", "SNOWFLAKE_USERNAME"), ("password", "SNOWFLAKE_PASSWORD"),
         ("database", "SNOWFLAKE_DATABASE"))),
     "sqlite": Source(("path",), "jdbc:sqlite:{path}", "org.sqlite.JDBC"),
-    "postgres": Source(("host", "database", "user", "password"), "jdbc:postgresql://{host}:{port}/{database}",
+    "postgres": Source(("host", "database", "user", "password", "port"), "jdbc:postgresql://{host}:{port}/{database}",
                        "org.postgresql.Driver", env=(("host", "HOST"), ("database", "DATABASE"), ("user", "PG_USER"),
-                                                     ("password", "PASSWORD"), ("port", "PORT")), defaults=(("port", "5432"),)),
-    "mysql": Source(("host", "database", "user", "password"), "jdbc:mysql://{host}:{port}/{database}",
+                                                     ("password", "PASSWORD"), ("port", "PORT"))),
+    "mysql": Source(("host", "database", "user", "password", "port"), "jdbc:mysql://{host}:{port}/{database}",
                     "com.mysql.cj.jdbc.Driver", env=(("host", "HOST"), ("database", "DATABASE"), ("user", "USER"),
-                                                     ("password", "PASSWORD"), ("port", "PORT")), defaults=(("port", "3306"),)),
-    "clickhouse": Source(("host", "database", "user", "password"), "jdbc:clickhouse://{host}:{port}/{database}",
+                                                     ("password", "PASSWORD"), ("port", "PORT"))),
+    "clickhouse": Source(("host", "database", "user", "password", "port"), "jdbc:clickhouse://{host}:{port}/{database}",
                          "com.clickhouse.jdbc.ClickHouseDriver", env=(("host", "HOST"), ("database", "DATABASE"),
                                                                       ("user", "USER"), ("password", "PASSWORD"),
-                                                                      ("port", "PORT")), defaults=(("port", "8123"),)),
+                                                                      ("port", "PORT"))),
     "oracle": Source(("dsn", "user", "password"), "jdbc:oracle:thin:@{dsn}", "oracle.jdbc.OracleDriver",
                      env=(("dsn", "DSN"), ("user", "USER"), ("password", "PASSWORD")), drop_semicolon=True),
     "bigquery": Source(("project",), format="bigquery", env=(("project", "PROJECT_ID"),
                                                             ("credentials", "GOOGLE_APPLICATION_CREDENTIALS"))),
     "duckdb": Source(("path",), "jdbc:duckdb:{path}", "org.duckdb.DuckDBDriver"),
-    "mssql": Source(("host", "database"), "jdbc:sqlserver://{host}:{port};databaseName={database}",
-                    "com.microsoft.sqlserver.jdbc.SQLServerDriver", defaults=(("port", "1433"),)),
-    "presto": Source(("host", "catalog", "schema", "user"), "jdbc:presto://{host}:{port}/{catalog}/{schema}",
+    "mssql": Source(("host", "database", "port"), "jdbc:sqlserver://{host}:{port};databaseName={database}",
+                    "com.microsoft.sqlserver.jdbc.SQLServerDriver"),
+    "presto": Source(("host", "catalog", "schema", "user", "port"), "jdbc:presto://{host}:{port}/{catalog}/{schema}",
                      "com.facebook.presto.jdbc.PrestoDriver", env=(("host", "PRESTO_HOST"), ("catalog", "PRESTO_CATALOG"),
                                                                    ("schema", "PRESTO_SCHEMA"), ("user", "PRESTO_USER"),
                                                                    ("password", "PRESTO_PASSWORD"), ("port", "PRESTO_PORT")),
-                     defaults=(("port", "443"), ("catalog", "hive"), ("schema", "default")), drop_semicolon=True),
+                     defaults=(("catalog", "hive"), ("schema", "default")), drop_semicolon=True),
     "hive": Source((), format="catalog"),
 }
 
@@ -69,14 +69,15 @@ def clean_query(query: str, drop_semicolon: bool) -> str:
 
 
 def source_options(kind: str, settings: dict, query: str) -> tuple[str, dict]:
-    """Format and options that read ``query``; a setting not given is taken from its environment variable."""
+    """Format and options that read ``query``; a setting not given is taken from its environment variable.
+    A JDBC ``url`` may be given whole."""
     if kind not in SOURCES:
         raise NotConfigured(f"unknown source {kind!r}; one of {sorted(SOURCES)}")
     source = SOURCES[kind]
     values = dict(source.defaults)
     values.update({name: os.environ[var] for name, var in source.env if os.environ.get(var)})
     values.update({k: v for k, v in settings.items() if v is not None})
-    missing = [name for name in source.needs if not values.get(name)]
+    missing = [] if values.get("url") else [name for name in source.needs if not values.get(name)]
     if missing:
         raise NotConfigured(f"{kind}: please set {', '.join(missing)}")
     text = clean_query(query, source.drop_semicolon)
@@ -96,7 +97,7 @@ def source_options(kind: str, settings: dict, query: str) -> tuple[str, dict]:
         return source.format, options
     if source.format == "catalog":
         return source.format, {"query": text}
-    options = {"url": source.url.format(**values), "driver": source.driver}
+    options = {"url": values.get("url") or source.url.format(**values), "driver": source.driver}
     for name in ("user", "password"):
         if values.get(name):
             options[name] = values[name]

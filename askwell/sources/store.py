@@ -23,21 +23,22 @@ LOG = T.StructType([
 
 
 class CorpusStore:
-    """A corpus below ``path``, a folder every executor can reach."""
+    """A corpus below ``path``, a folder every executor can reach. After ``max_segments`` additions it is
+    written anew as one segment."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, max_segments: int = 500):
+        self.spark, self.path, self.schema, self.max_segments = spark, path.rstrip("/"), schema, max_segments
 
     def _log(self) -> list:
-        """Log rows since the corpus was last written anew; the log has one short row per write."""
+        """Log rows since the corpus was last written anew, at most ``max_segments`` short ones."""
         try:
-            rows = self.spark.read.schema(LOG).json(f"{self.path}/log").collect()
+            log = self.spark.read.schema(LOG).json(f"{self.path}/log")
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" in str(exc):
                 return []
             raise
-        start = max((row["version"] for row in rows if row["starts_over"]), default=0)
-        return sorted((row for row in rows if row["version"] >= start), key=lambda row: row["version"])
+        start = log.filter("starts_over").agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).scalar()
+        return sorted(log.filter(F.col("version") >= start).collect(), key=lambda row: row["version"])
 
     def read(self) -> DataFrame:
         return self._read(self._log())
@@ -52,8 +53,10 @@ class CorpusStore:
     def _commit(self, rows: DataFrame, log: list, starts_over: bool) -> int:
         version = (log[-1]["version"] if log else 0) + 1
         segment = f"{version}-{uuid.uuid4().hex}"
-        written = rows.select(*self.schema.names).write.partitionBy("training_data_type")
-        written.parquet(f"{self.path}/segments/segment={segment}")
+        folder = f"{self.path}/segments/segment={segment}"
+        rows.select(*self.schema.names).write.partitionBy("training_data_type").parquet(folder)
+        if not starts_over and self.spark.read.schema(self.schema).parquet(folder).isEmpty():
+            return version - 1  # nothing new: the empty segment is not logged
         entry = self.spark.range(1).select(
             F.lit(version).alias("version"), F.lit(segment).alias("segment"), F.lit(starts_over).alias("starts_over")
         )
@@ -65,9 +68,10 @@ class CorpusStore:
         once = one_per_id(rows.select(*self.schema.names)).persist()
         try:
             log = self._log()
-            return self._commit(not_yet(self._read(log), once), log, starts_over=False)
+            version = self._commit(not_yet(self._read(log), once), log, starts_over=False)
         finally:
             once.unpersist()
+        return self.compact() if len(log) >= self.max_segments else version
 
     def replace(self, rows: DataFrame) -> int:
         """The whole corpus anew."""

@@ -86,7 +86,7 @@ def test_store(spark, tmp_path):
     assert store.read().count() == 0
     first = store.append_new(docs(spark, "a", "b"))
     assert store.append_new(docs(spark, "b", "c")) == first + 1
-    assert store.append_new(docs(spark, "a", "b", "c")) == first + 2
+    assert store.append_new(docs(spark, "a", "b", "c")) == first + 1  # nothing new, nothing written down
     assert contents(store.read()) == ["a", "b", "c"]
     # a segment that was written but not logged, as after a failure, is not read
     docs(spark, "lost").write.partitionBy("training_data_type").parquet(f"{tmp_path}/c/segments/segment=9-lost")
@@ -96,7 +96,11 @@ def test_store(spark, tmp_path):
     store.upsert(docs(spark, "c", "d", day=3))
     store.compact()
     assert contents(store.read()) == ["b", "c", "d"]
-    again = CorpusStore(spark, f"{tmp_path}/c", schemas.CORPUS)
+    again = CorpusStore(spark, f"{tmp_path}/c", schemas.CORPUS, max_segments=2)
+    for text in ("e", "f", "g"):
+        again.append_new(docs(spark, text))
+    assert len(again._log()) <= 2 and contents(again.read()) == ["b", "c", "d", "e", "f", "g"]
+    again.replace(again.read().filter("content in ('b', 'c', 'd')"))
     assert contents(again.read().filter("training_data_type = 'documentation'")) == ["b", "c", "d"]
 
 
@@ -158,9 +162,14 @@ def test_history(spark):
 
 
 def test_source_options(monkeypatch):
-    fmt, options = readers.source_options("postgres", {"host": "h", "database": "d", "user": "u", "password": "p"}, "SELECT 1")
-    assert (fmt, options["url"], options["query"]) == ("jdbc", "jdbc:postgresql://h:5432/d", "SELECT 1")
-    _, split = readers.source_options("mysql", {"host": "h", "database": "d", "user": "u", "password": "p", "partitionColumn": "id",
+    access = {"host": "h", "database": "d", "user": "u", "password": "p", "port": 1234}
+    fmt, options = readers.source_options("postgres", access, "SELECT 1")
+    assert (fmt, options["url"], options["query"]) == ("jdbc", "jdbc:postgresql://h:1234/d", "SELECT 1")
+    assert readers.source_options("mssql", {"url": "jdbc:sqlserver://x"}, "SELECT 1")[1]["url"] == "jdbc:sqlserver://x"
+    monkeypatch.delenv("PORT", raising=False)
+    with pytest.raises(readers.NotConfigured, match="port"):
+        readers.source_options("postgres", {**access, "port": None}, "SELECT 1")
+    _, split = readers.source_options("mysql", {**access, "partitionColumn": "id",
                                                "lowerBound": 0, "upperBound": 9, "numPartitions": 3}, "SELECT * FROM t")
     assert split["dbtable"] == "(SELECT * FROM t) q" and split["numPartitions"] == "3" and "query" not in split
     _, oracle = readers.source_options("oracle", {"dsn": "h/x", "user": "u", "password": "p"}, "SELECT 1 FROM dual; ")

@@ -30,8 +30,8 @@ def tables(spark):
 
 
 def distance(metric, a, b):
-    if metric == "l2":
-        return np.sqrt(((a - b) ** 2).sum())
+    if metric in ("l2", "l2sq"):
+        return ((a - b) ** 2).sum() ** (0.5 if metric == "l2" else 1)
     if metric == "dot":
         return -(a @ b)
     return 1 - (a @ b) / np.sqrt((a @ a) * (b @ b))
@@ -73,6 +73,16 @@ def test_more_wanted_than_there_is(tables):
     assert len(got(nearest.knn(*tables, 1000))) == 40 * 300
 
 
+@pytest.mark.parametrize("sizes", [{}, {"max_broadcast": -1}], ids=["scan", "cells"])
+def test_nothing_to_ask_or_to_find(tables, sizes):
+    asked, corpus = tables
+    texts = corpus.withColumn("content", F.col("id"))
+    questions = asked.withColumn("question", F.col("question_id"))
+    for some, stored in ((questions.limit(0), texts), (questions, texts.limit(0))):
+        assert nearest.knn(some, stored, 3, **sizes).count() == 0
+        assert bm25(some, stored, 3, **sizes).count() == 0
+
+
 def test_filters(tables):
     assert got(nearest.search(*tables, 3, kind="ddl")) == brute("l2", 3, keep=lambda i: KINDS[i] == "ddl")
     after = [r for r in brute("l2", 5) if KINDS[int(r[1][1:])] == "ddl"]
