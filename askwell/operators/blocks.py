@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,20 @@ def best(hits: pd.DataFrame, k: dict | int) -> pd.DataFrame:
     return hits[place < limit_of(k, hits["scope"])]
 
 
+def _cut(rows: pa.Table, k: dict | int, q: np.ndarray, r: np.ndarray, distance: np.ndarray):
+    """The candidates that stay, chosen by numbers alone: many copies of a row can tie at the k-th place."""
+    codes, scopes = pd.factorize(rows["scope"].to_pandas(), use_na_sentinel=False)
+    place_of_id = np.empty(rows.num_rows, dtype=np.int64)
+    place_of_id[pc.sort_indices(rows["id"]).to_numpy()] = np.arange(rows.num_rows)
+    limits = limit_of(k, pd.Series(scopes)).to_numpy()
+    group = q * len(scopes) + codes[r]
+    order = np.lexsort((place_of_id[r], distance, group))
+    group = group[order]
+    place = np.arange(len(group)) - np.searchsorted(group, group)
+    order = order[place < limits[group % max(1, len(scopes))]]
+    return q[order], r[order], distance[order]
+
+
 def _hits(scorer: Scorer, questions: pa.Table, rows: pa.Table, k: dict | int) -> pd.DataFrame:
     """Local winners of one batch of rows, worked off in slices so that the score matrix stays bounded."""
     if not questions.num_rows or not rows.num_rows:
@@ -62,15 +77,14 @@ def _hits(scorer: Scorer, questions: pa.Table, rows: pa.Table, k: dict | int) ->
     found = []
     for start in range(0, rows.num_rows, step):
         part = rows.slice(start, step)
-        q, r, distance = scorer(questions, part, k)
+        q, r, distance = _cut(part, k, *scorer(questions, part, k))
         if len(q) == 0:
             continue
-        hits = pd.DataFrame({
+        found.append(pd.DataFrame({
             "question_id": question_ids[q],
             **{c: part[c].to_pandas().to_numpy()[r] for c in ("scope", "training_data_type", "id")},
             "distance": distance,
-        })
-        found.append(best(hits, k))
+        }))
     return best(pd.concat(found, ignore_index=True), k) if found else HIT_SCHEMA.empty_table().to_pandas()
 
 

@@ -56,8 +56,8 @@ def term_weights(questions: DataFrame, statistics: DataFrame, question_col: str)
     return weighted, float(mean) or 1.0
 
 
-def _score(mean_words: float, questions: pa.Table, rows: pa.Table, k):
-    """BM25 of a batch of texts for a block of questions, from the words both have."""
+def _score(mean_words: float, questions: pa.Table, rows: pa.Table, k: int):
+    """BM25 of a batch of texts for a block of questions, from the words both have; all texts are one scope."""
     lists = questions["terms"].combine_chunks()
     flat = lists.flatten()
     vocabulary = pc.unique(flat)
@@ -95,9 +95,13 @@ def _score(mean_words: float, questions: pa.Table, rows: pa.Table, k):
             minlength=len(total),
         )
         start = stop
-    hit = np.flatnonzero(total)
-    r, q = np.divmod(hit, max(1, n_questions))
-    return q, r, -np.round(total[hit], DIGITS)
+    # texts without a shared word are no hits, however few others there are
+    distance = np.where(total > 0, -np.round(total, DIGITS), np.inf).reshape(n_rows, n_questions)
+    near = np.isfinite(distance)
+    if k < n_rows:
+        near &= distance <= np.partition(distance, k - 1, axis=0)[k - 1]
+    r, q = np.nonzero(near)
+    return q, r, distance[r, q]
 
 
 def bm25(

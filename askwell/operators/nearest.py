@@ -98,7 +98,8 @@ def knn(
 
     ``per_kind`` (implied by a dict of kind -> k) ranks within each kind, else all kinds rank together.
     Distances are rounded to six digits; ties go to the smaller id. ``l2sq`` is the square of ``l2``; dot
-    products count as negative distances. ``lists`` names columns on both sides that must agree (see :mod:`askwell.operators.ivf`).
+    products count as negative distances. ``lists`` names columns on both sides that must agree (see
+    :mod:`askwell.operators.ivf`).
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {METRICS}")

@@ -106,14 +106,14 @@ def _hints(spark, sf_dir):
     """Each topic's suggestions: itself and the next two labels; a suggestion's vector is that topic's."""
     topics = inputs.topic_questions(spark, sf_dir)
     label = F.col("question_id").cast("int")
-    name = lambda n: F.concat(F.lit("label "), ((label + n) % 10).cast("string"))
+    name = lambda n: F.concat(F.lit("of the label "), ((label + n) % 10).cast("string"))
     said = topics.select("question_id", F.concat_ws("\n", name(0), name(1), name(2)).alias("response"))
-    vectors = topics.select(F.concat(F.lit("label "), "question_id").alias("hint"), "embedding")
+    vectors = topics.select(F.concat(F.lit("of the label "), "question_id").alias("hint"), "embedding")
     return retrieval.suggestions(said).join(vectors, "hint")
 
 
 _HINTS = f"""{VECTORS},
-asked AS (SELECT t.question_id AS topic, i, t.question_id || '#' || i AS question_id, o.v, 'label ' || o.question_id AS hint
+asked AS (SELECT t.question_id AS topic, i, t.question_id || '#' || i AS question_id, o.v, 'of the label ' || o.question_id AS hint
   FROM topics t, range(0, 3) r(i) JOIN topics o ON o.question_id = CAST((CAST(t.question_id AS INT) + i) % 10 AS VARCHAR))"""
 
 
@@ -135,11 +135,11 @@ def multi_query(spark, sf_dir):
     cut AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) - 1 AS j FROM scored),
     seen AS (SELECT a.topic AS question_id, a.i, h.j, h.id, h.score, h.content,
       row_number() OVER (PARTITION BY a.topic, h.content ORDER BY a.i, h.j) AS n
-      FROM cut h JOIN asked a ON a.question_id = h.question_id WHERE h.j < 5 AND h.score > -1)
+      FROM cut h JOIN asked a ON a.question_id = h.question_id WHERE h.j < 5 AND h.score > 0.03)
     SELECT question_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j, id, score, i || '.' || j || '.' || content AS chunk FROM seen WHERE n = 1""")
 def multi_query_reranked(spark, sf_dir):
     return retrieval.multi_query(
-        _hints(spark, sf_dir), inputs.embedded_corpus(spark, sf_dir), 5, reranked=True, rerank_threshold=-1.0
+        _hints(spark, sf_dir), inputs.embedded_corpus(spark, sf_dir), 5, reranked=True, rerank_threshold=0.03
     )
 
 
