@@ -22,7 +22,7 @@ def not_in(df: DataFrame, column: str, values: DataFrame, value: str) -> DataFra
         F.count_if(F.col(value).isNull()).alias("nulls"), F.count(F.lit(1)).alias("rows")
     )
     nulls, rows = facts.select("nulls").scalar(), facts.select("rows").scalar()
-    listed = values.select(F.col(value).alias("_value"))
+    listed = values.select(F.col(value).alias("_value")).distinct()  # a hot value counts once
     kept = df.join(listed, F.col(column) == F.col("_value"), "left_anti")
     return kept.filter((nulls == 0) & (F.col(column).isNotNull() | (rows == 0)))
 

@@ -110,8 +110,8 @@ def followup_prompts(spark, sf_dir):
     WITH {_CONTEXT}, crossed AS (SELECT question_id, 'schema' AS strategy, ddl, [] AS pq, [] AS docs FROM context
       UNION ALL SELECT question_id, 'static', ddl, [{{'q': 'How many?', 's': 'SELECT count(*) FROM t'}}], [] FROM context
       UNION ALL SELECT question_id, 'retrieved', ddl, pq, docs FROM context)
-    SELECT question_id, strategy, coalesce(len(ddl), 0) AS tables, coalesce(len(pq), 0) AS examples, coalesce(len(docs), 0) AS documents,
-      2 * coalesce(len(pq), 0) + 1 AS messages FROM crossed""")
+    SELECT question_id, strategy, CAST(coalesce(len(ddl), 0) AS INT) AS tables, CAST(coalesce(len(pq), 0) AS INT) AS examples,
+      CAST(coalesce(len(docs), 0) AS INT) AS documents, CAST(2 * coalesce(len(pq), 0) + 1 AS INT) AS messages FROM crossed""")
 def strategies(spark, sf_dir):
     crossed = context_strategies(_context(spark, sf_dir), [("How many?", "SELECT count(*) FROM t")])
     keyed = crossed.withColumn("question_id", F.concat_ws("/", "question_id", "strategy"))

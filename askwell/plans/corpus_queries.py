@@ -262,7 +262,7 @@ def question_sample(spark, sf_dir):
 
 @query("all_embeddings", """
     SELECT CAST(vec_id AS VARCHAR) AS id, CASE label % 3 WHEN 0 THEN 'sql' WHEN 1 THEN 'ddl' ELSE 'documentation' END AS training_data_type,
-      len(embedding) AS dim, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length FROM embeddings""")
+      CAST(len(embedding) AS INT) AS dim, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS length FROM embeddings""")
 def all_embeddings(spark, sf_dir):
     from askwell.functions.vectors import norm
 
@@ -345,7 +345,7 @@ _STAR = ("customer", "supplier", "part", "orders", "lineitem")
     SELECT 'spark' AS "TABLE_CATALOG", 'default' AS "TABLE_SCHEMA", c.table_name AS "TABLE_NAME", c.column_name AS "COLUMN_NAME",
       CASE c.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
         ELSE 'timestamp_ntz' END AS "DATA_TYPE",
-      c.column_index AS "ORDINAL_POSITION", 0 AS "NULL_COUNT", t.row_count AS "ROW_COUNT"
+      c.column_index AS "ORDINAL_POSITION", CAST(0 AS BIGINT) AS "NULL_COUNT", t.row_count AS "ROW_COUNT"
     FROM duckdb_columns() c JOIN t ON c.table_name = t.table_name""")
 def info_schema(spark, sf_dir):
     return bootstrap.column_catalog(spark, {t: inputs.table(spark, sf_dir, t) for t in _STAR})

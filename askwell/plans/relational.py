@@ -104,7 +104,7 @@ def global_totals(spark, sf_dir):
 
 
 @query("group_by_alias", """
-    SELECT CASE WHEN o_totalprice >= 250000 THEN 'large' ELSE 'small' END AS size, year(o_orderdate) AS year,
+    SELECT CASE WHEN o_totalprice >= 250000 THEN 'large' ELSE 'small' END AS size, CAST(year(o_orderdate) AS INT) AS year,
            count(*) AS n FROM orders GROUP BY 1, 2""")
 def group_by_alias(spark, sf_dir):
     size = F.when(F.col("o_totalprice") >= 250000, "large").otherwise("small").alias("size")
@@ -167,8 +167,7 @@ def join_roles(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     buyers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     sums = (
-        items.join(sellers, "l_suppkey").groupBy("l_orderkey", "s_nationkey").agg(F.sum("r").alias("r"))
-        .join(orders, "l_orderkey").join(buyers, "c_custkey")
+        items.join(sellers, "l_suppkey").join(orders.join(buyers, "c_custkey"), "l_orderkey")
         .groupBy("s_nationkey", "c_nationkey").agg(F.round(F.sum("r"), 4).alias("revenue"))
     )
     nation = table(spark, sf_dir, "nation")
@@ -294,7 +293,7 @@ def union_then_agg(spark, sf_dir):
 
 
 @query("yoy_growth", """
-    WITH y AS (SELECT year(o_orderdate) AS year, sum(o_totalprice) AS s FROM orders GROUP BY 1)
+    WITH y AS (SELECT CAST(year(o_orderdate) AS INT) AS year, sum(o_totalprice) AS s FROM orders GROUP BY 1)
     SELECT year, round(s, 2) AS total, round((s - lag(s) OVER (ORDER BY year)) / lag(s) OVER (ORDER BY year) * 100, 4) AS growth_pct
     FROM y""")
 def yoy_growth(spark, sf_dir):
@@ -323,7 +322,7 @@ def spearman(spark, sf_dir):
 
 
 @query("top3_per_group", """
-    SELECT * FROM (SELECT p_brand, p_partkey, p_retailprice,
+    SELECT * REPLACE (CAST(place AS INT) AS place) FROM (SELECT p_brand, p_partkey, p_retailprice,
       rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS place FROM part) WHERE place <= 3""")
 def top3_per_group(spark, sf_dir):
     place = F.rank().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice")))
@@ -392,7 +391,7 @@ def substr_flags(spark, sf_dir):
 
 
 @query("by_year", """
-    SELECT year(l_shipdate) AS year, date_part('month', l_shipdate) AS month, count(*) AS n
+    SELECT CAST(year(l_shipdate) AS INT) AS year, date_part('month', l_shipdate) AS month, count(*) AS n
     FROM lineitem GROUP BY 1, 2""")
 def by_year(spark, sf_dir):
     month = F.date_part(F.lit("month"), "l_shipdate")
@@ -402,7 +401,7 @@ def by_year(spark, sf_dir):
 
 
 @query("by_quarter", """
-    SELECT strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS quarter_start, quarter(o_orderdate) AS quarter,
+    SELECT strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS quarter_start, CAST(quarter(o_orderdate) AS INT) AS quarter,
            round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2""")
 def by_quarter(spark, sf_dir):
     start = F.date_format(F.date_trunc("quarter", "o_orderdate"), "yyyy-MM-dd")
@@ -412,7 +411,7 @@ def by_quarter(spark, sf_dir):
 
 
 @query("by_weekday", """
-    SELECT dayofweek(ts) + 1 AS weekday, CASE dayofweek(ts) WHEN 0 THEN 'Sunday' WHEN 6 THEN 'Saturday' ELSE 'working day' END AS name,
+    SELECT CAST(dayofweek(ts) + 1 AS INT) AS weekday, CASE dayofweek(ts) WHEN 0 THEN 'Sunday' WHEN 6 THEN 'Saturday' ELSE 'working day' END AS name,
            count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2""")
 def by_weekday(spark, sf_dir):
     weekday = F.dayofweek("ts")

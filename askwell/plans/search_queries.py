@@ -211,7 +211,7 @@ def retrieve_context(spark, sf_dir):
 
 
 @query("hit_vectors", f"""
-    WITH {VECTORS}, {knn(L2)} SELECT h.question_id, CAST(h.rank AS INT) AS rank, h.id, len(c.v) AS dim,
+    WITH {VECTORS}, {knn(L2)} SELECT h.question_id, CAST(h.rank AS INT) AS rank, h.id, CAST(len(c.v) AS INT) AS dim,
       round(sqrt(list_inner_product(c.v, c.v)), 6) AS length FROM hits h JOIN vectors c ON c.id = h.id""")
 def hit_vectors(spark, sf_dir):
     asked, corpus = _both(spark, sf_dir)
@@ -219,7 +219,7 @@ def hit_vectors(spark, sf_dir):
     return rows.select("question_id", "rank", "id", F.size("embedding").alias("dim"), F.round(norm(F.col("embedding")), 6).alias("length"))
 
 
-@query("embed_docs", "SELECT doc_id, 64 AS dim, 1.0 AS length FROM documents")
+@query("embed_docs", "SELECT doc_id, 64 AS dim, CAST(1 AS DOUBLE) AS length FROM documents")
 def embed_docs(spark, sf_dir):
     """Every document's vector has the model's dimension and length 1."""
     rows = embed(inputs.table(spark, sf_dir, "documents"), "text", hashed_grams(64))
