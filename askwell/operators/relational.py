@@ -70,15 +70,14 @@ def percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str,
     high = [min(1.0, f + margin) for f in fractions.values()]
     sketch = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", low, ACCURACY).alias("_low"),
-        F.percentile_approx("_v", high, ACCURACY).alias("_high"),
+        F.percentile_approx("_v", low + high, ACCURACY).alias("_marks"),
     )
     few = F.col("_n") <= SMALL_KEY  # here the sketch's margin could be less than one row
     targets = F.array(*[
         F.struct(
             F.lit(name).alias("name"), (F.lit(f) * (F.col("_n") - 1)).alias("place"),
-            F.when(few | F.lit(f <= margin), F.col("_min")).otherwise(F.col("_low")[i]).alias("a"),
-            F.when(few | F.lit(f >= 1 - margin), F.col("_max")).otherwise(F.col("_high")[i]).alias("b"),
+            F.when(few | F.lit(f <= margin), F.col("_min")).otherwise(F.col("_marks")[i]).alias("a"),
+            F.when(few | F.lit(f >= 1 - margin), F.col("_max")).otherwise(F.col("_marks")[len(low) + i]).alias("b"),
         )
         for i, (name, f) in enumerate(fractions.items())
     ])

@@ -106,7 +106,7 @@ def suggested_context(spark, sf_dir):
     context = ask.suggested_context(asked, corpus, words_model, k=3)
     return context.select(
         "question_id", F.size("pairs").alias("pairs"), F.size("documentation").alias("documents"), F.size("ddl").alias("tables"),
-        F.substring(F.col("ddl")[0]["content"], 1, 4).alias("first_label"),
+        F.substring(F.get("ddl", F.lit(0))["content"], 1, 4).alias("first_label"),
     )
 
 
