@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from askwell.llm import oracles
+from askwell.llm.language import languages
+from askwell.llm.line_dedup import line_dedup
 from askwell.plans.inputs import table
 from askwell.plans.registry import query
 
 
 @query("op9_language_mixture")
 def op9_language_mixture(spark, sf_dir):
-    from askwell.llm.language import languages
-
     return languages(table(spark, sf_dir, "documents"))
+
+
+@query("op7_line_chunks", oracles.OP7)
+def op7_line_chunks(spark, sf_dir):
+    return line_dedup(table(spark, sf_dir, "documents"))
