@@ -5,6 +5,7 @@ from __future__ import annotations
 from askwell.llm import oracles
 from askwell.llm.language import languages
 from askwell.llm.line_dedup import line_dedup
+from askwell.llm.packing import packed
 from askwell.plans.inputs import table
 from askwell.plans.registry import query
 
@@ -17,3 +18,8 @@ def op9_language_mixture(spark, sf_dir):
 @query("op7_line_chunks", oracles.OP7)
 def op7_line_chunks(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op5_hilbert_packing")
+def op5_hilbert_packing(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents"))
