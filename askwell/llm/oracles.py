@@ -18,3 +18,19 @@ SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(n_removed_lines,
   CASE WHEN coalesce(n_removed, 0) > 0 THEN done.text ELSE d.text END AS text
 FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id AND md5(d.text) = done.version
 """
+
+OP8 = r"""
+WITH RECURSIVE split AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS s
+  FROM split WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common c JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM way UNION SELECT r.a, way.b FROM reach r JOIN way ON r.b = way.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(l.b, d.doc_id)) AS kept
+FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from askwell.llm import oracles
 from askwell.llm.language import languages
 from askwell.llm.line_dedup import line_dedup
+from askwell.llm.minhash import near_duplicates
 from askwell.llm.packing import packed
 from askwell.plans.inputs import table
 from askwell.plans.registry import query
@@ -23,3 +24,8 @@ def op7_line_chunks(spark, sf_dir):
 @query("op5_hilbert_packing")
 def op5_hilbert_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query("op8_fast_minhash", oracles.OP8)
+def op8_fast_minhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
