@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from askwell.llm import oracles
+from askwell.llm.decontaminate import contaminations
 from askwell.llm.language import languages
 from askwell.llm.line_dedup import line_dedup
 from askwell.llm.minhash import near_duplicates
@@ -29,3 +30,8 @@ def op5_hilbert_packing(spark, sf_dir):
 @query("op8_fast_minhash", oracles.OP8)
 def op8_fast_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+@query("op2_template_decontamination")
+def op2_template_decontamination(spark, sf_dir):
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
