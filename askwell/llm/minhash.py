@@ -230,3 +230,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         final = rows.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with the smallest id of their group; columns as given. Of rows that repeat an id one stays; rows
+    without an id all stay."""
+    found = written(near_duplicates(docs, words, percent).where("doc_id IS NOT NULL"), "near")
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    few = gone.count() <= MOST_SENT
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    twice = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    if not twice.take(1):
+        return left
+    return left.join(twice, "doc_id", "left_anti").unionByName(left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
