@@ -15,14 +15,14 @@ WITH_WORD = r"[^\x20\x09-\x0D]"
 
 
 def with_chunks(docs: DataFrame, text: str) -> DataFrame:
-    """Adds ``n_lines`` and ``chunks``: the texts of the row's chunks in order, which joined by line breaks give the text.
+    """Adds ``chunks``: the texts of the row's chunks in order, which joined by line breaks give the text.
 
     No lambda looks at a whole array of the row, so the work is linear in the text: each line is marked B where a
     chunk begins and C elsewhere, the marked lines are joined, cut before each B, and the marks taken off again.
     """
     none = F.array(F.lit(None).cast("string"))
     lined = docs.withColumn("lines", F.split(text, BREAK, -1))
-    hashed = lined.withColumn("n_lines", F.size("lines").cast("bigint")).withColumn("hashes", F.transform("lines", F.md5))
+    hashed = lined.withColumn("hashes", F.transform("lines", F.md5))
     less = F.greatest(F.size("hashes") - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice("hashes", F.lit(1), less).alias("a"), F.slice("hashes", F.lit(2), less).alias("b"))
     rolled = hashed.withColumn("rolled", F.transform(pairs, lambda p: F.md5(F.concat(p["a"], p["b"]))))
@@ -40,8 +40,10 @@ def with_chunks(docs: DataFrame, text: str) -> DataFrame:
 def occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
     """Every chunk that may be removed: ``doc_id, version, no, digest, chunk``. ``version`` tells apart rows of one id."""
     rows = docs.select("doc_id", F.md5("text").alias("version"), "text").where(F.col("text").isNotNull())
-    exploded = with_chunks(rows, "text").where("n_lines > 1").select("doc_id", "version", F.posexplode("chunks").alias("no", "chunk"))
-    return exploded.where((F.length("chunk") >= least_chars) & F.col("chunk").rlike(WITH_WORD)).withColumn("digest", F.unhex(F.sha2("chunk", 256)))
+    # the outer form: for the inner one the optimizer tests that there are chunks, by making them once more at the scan
+    exploded = with_chunks(rows, "text").select("doc_id", "version", F.posexplode_outer("chunks").alias("no", "chunk"))
+    fit = F.contains("chunk", F.lit(BREAK)) & (F.length("chunk") >= least_chars) & F.col("chunk").rlike(WITH_WORD)
+    return exploded.where(fit).withColumn("digest", F.unhex(F.sha2("chunk", 256)))
 
 
 def repeated(docs: DataFrame, least_chars: int = 32) -> DataFrame:
