@@ -34,3 +34,40 @@ SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b
   d.doc_id = least(d.doc_id, coalesce(l.b, d.doc_id)) AS kept
 FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id
 """
+
+OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, [x FOR x IN string_split_regex(t, '[\x20\x09-\x0D]+') IF x <> ''] AS ws,
+  [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
+win AS (SELECT rid, i, [ws[i], ws[i + 1], ws[i + 2]] AS v FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, v) AS n FROM win),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep WHERE n > 1) GROUP BY rid),
+base AS (SELECT w.rid, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+  coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines, (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_capitals
+  FROM w LEFT JOIN covered c ON c.rid = w.rid),
+rated AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbols, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines,
+  CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats, CASE WHEN word_chars > 0 THEN 1000 * n_capitals // word_chars ELSE 0 END AS capitals,
+  CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length FROM base),
+long AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'word_length']) AS metric,
+  unnest([symbols, dup_lines, repeats, capitals, word_length]) AS v FROM rated),
+bins AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS edge, count(*) AS n FROM long GROUP BY ALL),
+levels AS (SELECT 0 AS g, lang AS l, source AS s, metric, edge, n FROM bins
+  UNION ALL SELECT 1, lang, NULL, metric, edge, n FROM bins UNION ALL SELECT 2, NULL, NULL, metric, edge, n FROM bins),
+merged AS (SELECT g, l, s, metric, edge, sum(n)::BIGINT AS n FROM levels GROUP BY ALL),
+running AS (SELECT *, sum(n) OVER (PARTITION BY g, l, s, metric ORDER BY edge) AS seen, sum(n) OVER (PARTITION BY g, l, s, metric) AS total FROM merged),
+cut AS (SELECT g, l, s, metric, min(edge) FILTER (2 * seen >= total) AS half, min(edge) FILTER (4 * seen >= 3 * total) AS most
+  FROM running WHERE total >= 100 GROUP BY ALL),
+limits AS (SELECT g, l, s, metric, greatest(CASE metric WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 500 WHEN 'repeats' THEN 400 WHEN 'capitals' THEN 200 ELSE 9000 END,
+  most + 6 * (most - half)) AS cutoff FROM cut),
+chosen AS (SELECT rid, x.metric, x.v, x.place, coalesce(a.cutoff, b.cutoff, c.cutoff) AS cutoff
+  FROM (SELECT rid, lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'word_length']) AS metric,
+    unnest([symbols, dup_lines, repeats, capitals, word_length]) AS v, unnest([1, 2, 3, 4, 5]) AS place FROM rated) x
+  LEFT JOIN limits a ON a.g = 0 AND a.metric = x.metric AND a.l IS NOT DISTINCT FROM x.lang AND a.s IS NOT DISTINCT FROM x.source
+  LEFT JOIN limits b ON b.g = 1 AND b.metric = x.metric AND b.l IS NOT DISTINCT FROM x.lang
+  LEFT JOIN limits c ON c.g = 2 AND c.metric = x.metric),
+broken AS (SELECT rid, arg_min(metric, place) AS rule FROM chosen WHERE v > cutoff GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rule IS NULL AS kept, rule
+FROM rated LEFT JOIN broken ON broken.rid = rated.rid
+"""

@@ -8,6 +8,7 @@ from askwell.llm.language import languages
 from askwell.llm.line_dedup import line_dedup
 from askwell.llm.minhash import near_duplicates
 from askwell.llm.packing import packed
+from askwell.llm.quality_rules import quality_rules
 from askwell.plans.inputs import table
 from askwell.plans.registry import query
 
@@ -35,3 +36,8 @@ def op8_fast_minhash(spark, sf_dir):
 @query("op2_template_decontamination")
 def op2_template_decontamination(spark, sf_dir):
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_quality_rules", oracles.OP1)
+def op1_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
