@@ -9,6 +9,7 @@ from askwell.llm.line_dedup import line_dedup
 from askwell.llm.minhash import near_duplicates
 from askwell.llm.packing import packed
 from askwell.llm.quality_rules import quality_rules
+from askwell.llm.secret_scan import secrets
 from askwell.plans.inputs import table
 from askwell.plans.registry import query
 
@@ -41,3 +42,8 @@ def op2_template_decontamination(spark, sf_dir):
 @query("op1_quality_rules", oracles.OP1)
 def op1_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark, sf_dir):
+    return secrets(table(spark, sf_dir, "documents"))
