@@ -8,6 +8,7 @@ from askwell.llm.language import languages
 from askwell.llm.line_dedup import line_dedup
 from askwell.llm.minhash import near_duplicates
 from askwell.llm.packing import packed
+from askwell.llm.quality_model import quality_scores
 from askwell.llm.quality_rules import quality_rules
 from askwell.llm.secret_scan import secrets
 from askwell.plans.inputs import table
@@ -47,3 +48,8 @@ def op1_quality_rules(spark, sf_dir):
 @query("op4_secret_scan")
 def op4_secret_scan(spark, sf_dir):
     return secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
