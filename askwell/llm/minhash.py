@@ -5,9 +5,9 @@ round, until each bin holds one; a bin keeps its smallest. Two sketches agree in
 similarity, concentrated as for as many independent hash functions.
 
 Links are found in two steps. Texts with equal sets are one class. Classes that agree in a band are a bucket; each
-bucket's classes are compared with its smallest only. Then the classes of a bucket that this left in different components
-are compared with each other. Every comparison is made on the full sets; what is the same component already is
-not compared, so large groups of near copies cost a comparison or a few for each member.
+bucket's classes are compared with its smallest only. Then the classes of buckets that this left in different components
+are compared with each other, in blocks of bounded size. Every comparison is made on the full sets, and of the second
+kind only links that join components are given out.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ BIN_BITS = BINS.bit_length() - 1
 MOST_SENT = 1_000_000
 #: Words whose hashes a task keeps.
 MOST_WORDS = 500_000
+#: Classes of a block, and elements of a matrix, in comparisons between components.
+BLOCK, COLUMNS = 256, 4096
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -189,6 +191,75 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 
 
+def linked_across(members: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between different components among ``(id, component, elements)``, as many as join what can be joined.
+
+    Sizes of all intersections come from products of 0/1 matrices, some thousand elements at a time.
+    """
+    n = len(members)
+    sizes = np.array([len(m[2]) for m in members])
+    owner = np.repeat(np.arange(n), sizes)
+    _, place, often = np.unique(np.concatenate([m[2] for m in members]), return_inverse=True, return_counts=True)
+    shared = often[place] > 1
+    owner, place = owner[shared], np.unique(place[shared], return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    common = np.zeros((n, n), dtype=np.float32)
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        low, high = np.searchsorted(place, [start, start + COLUMNS])
+        part = np.zeros((n, COLUMNS), dtype=np.float32)
+        part[owner[low:high], place[low:high] - start] = 1
+        common += part @ part.T
+    common = common.astype(np.int64)
+    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    root = {c: c for _, c, _ in members}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+        x, y = find(members[i][1]), find(members[j][1])
+        if x != y:
+            root[y] = x
+            out.append((members[i][0], members[j][0]))
+    return out
+
+
+def across(docs: DataFrame, open_rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between components that share buckets, from ``leader, rep, component`` of those buckets.
+
+    Classes connected through such buckets are a family. Its largest component, where members need no comparison among
+    themselves, and all other members are each dealt into blocks of about ``BLOCK``; a task compares the members of two
+    blocks, the second of which may be the first itself. So a task is bounded, and only links that join components go out.
+    """
+    edges = open_rows.select(F.col("leader").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    family = components(edges).select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    people = open_rows.select("rep", "component").distinct().join(family, "rep")
+    counted = people.groupBy("family", "component").agg(F.count("*").alias("n"))
+    main = counted.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    main = main.select("family", F.col("top.component").alias("main"), F.ceil(F.col("top.n") / BLOCK).alias("main_blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks"))
+    dealt = people.join(main, "family").withColumn("is_main", F.col("component") == F.col("main"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("blocks"))))
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    meetings = F.when(F.col("is_main"), F.transform(every(F.col("blocks")), lambda s: F.struct(s.alias("one"), (-1 - F.col("block")).alias("two")))).otherwise(F.concat(
+        F.transform(every(F.col("blocks")), lambda s: F.struct(F.least(s, F.col("block")).alias("one"), F.greatest(s, F.col("block")).alias("two"))),
+        F.transform(every(F.col("main_blocks")), lambda u: F.struct(F.col("block").alias("one"), (-1 - u).alias("two"))),
+    ))
+    groups = dealt.select("family", F.col("rep").alias("id"), "component", F.explode(meetings).alias("m")).select("family", "m.one", "m.two", "id", "component")
+    sets = written(sets_of(docs, people.join(main.select("family"), "family").select(F.col("rep").alias("id")).distinct(), words).distinct(), "sets")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, of = table["id"].to_pylist(), table["component"].to_pylist()
+        members = [(i, c, np.frombuffer(e, dtype=np.uint64)) for i, c, e in zip(ids, of, table["elements"].to_pylist())]
+        found = linked_across(members, percent)
+        return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return written(groups.join(sets, "id").groupBy("family", "one", "two").applyInArrow(compare, "a bigint, b bigint").distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every document.
 
@@ -212,13 +283,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     held = shared.where("n > 2").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     held = held.select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_rows = written(held.join(mixed, "key"), "open")
-    one, two = open_rows.toDF("key", "a", "ca"), open_rows.toDF("key", "b", "cb")
-    # a pair of the wanted similarity agrees in 13 bands of 32 on the mean, and in one only once in a million
-    crossing = one.join(two, "key").where("ca <> cb AND a < b").groupBy("a", "b").count().where("count > 1").select("a", "b")
-    rest = written(crossing.join(star, ["a", "b"], "left_anti"), "pairs")
-    links = first.unionByName(verified(docs, rest, words, percent)) if rest.take(1) else first
+    mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("leader")).where("low < high")
+    open_rows = written(held.join(mixed.select("key", "leader"), "key").select("leader", "rep", "component").distinct(), "open")
+    links = first.unionByName(across(docs, open_rows, words, percent)) if open_rows.take(1) else first
 
     same_id = copies.where("a <> b")
     merged = components(links.unionByName(same_id)) if same_id.groupBy("b").count().where("count > 1").take(1) else None
