@@ -11,6 +11,7 @@ from askwell.llm.packing import packed
 from askwell.llm.quality_model import quality_scores
 from askwell.llm.quality_rules import quality_rules
 from askwell.llm.secret_scan import secrets
+from askwell.llm.token_counts import token_counts
 from askwell.plans.inputs import table
 from askwell.plans.registry import query
 
@@ -53,3 +54,8 @@ def op4_secret_scan(spark, sf_dir):
 @query("op6_quality_classifier")
 def op6_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"))
