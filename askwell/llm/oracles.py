@@ -71,3 +71,37 @@ broken AS (SELECT rid, arg_min(metric, place) AS rule FROM chosen WHERE v > cuto
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rule IS NULL AS kept, rule
 FROM rated LEFT JOIN broken ON broken.rid = rated.rid
 """
+
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+
+OP10 = rf"""
+WITH p AS (SELECT page_id, url, html, 1700000000 + (page_id * 7919) % 1000000 AS t, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag FROM pages),
+rec AS (
+  SELECT page_id * 4 AS record_id, url, t AS ts, 200 AS status, CASE WHEN page_id % 5 <> 0 THEN tag END AS etag, 't' || page_id AS lm,
+    [['content-length', length(html)::VARCHAR], ['content-type', 'text/html'], ['date', 't' || t],
+     CASE WHEN page_id % 5 <> 0 THEN ['etag', tag] ELSE ['x-age', tag] END, ['last-modified', 't' || page_id]] AS h FROM p
+  UNION ALL SELECT page_id * 4 + 1, regexp_replace(url, '^http', 'HTTP') || CASE WHEN contains(url, '#') THEN '' ELSE '#later' END, t + 1 + page_id % 50000, 304,
+    CASE WHEN page_id % 7 = 0 THEN '"x' || tag ELSE tag END, 't' || page_id,
+    [['content-length', '0'], ['date', 't' || (t + 9)], ['cache-control', 'max-age=60'], ['etag', CASE WHEN page_id % 7 = 0 THEN '"x' || tag ELSE 'W/' || tag END],
+     ['last-modified', 't' || page_id]] FROM p
+  UNION ALL SELECT page_id * 4 + 2, url, t - 500, 304, NULL, NULL, [['date', 't' || t], ['server', 's' || (page_id % 3)]] FROM p
+  UNION ALL SELECT page_id * 4 + 3, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/', t, CASE WHEN page_id % 10 = 0 THEN 200 ELSE 304 END, NULL, NULL,
+    [['date', 't' || t], ['server', 's' || (page_id % 3)]] FROM p),
+cut AS (SELECT *, lower(regexp_extract(trim(url), '{_URL}', 1)) AS scheme, regexp_replace(lower(regexp_extract(trim(url), '{_URL}', 2)), '^www[0-9]*\.', '') AS host,
+  regexp_extract(trim(url), '{_URL}', 3) AS port, regexp_replace(regexp_extract(trim(url), '{_URL}', 4), '/+$', '') AS path,
+  list_aggregate(list_sort(string_split(regexp_extract(trim(url), '{_URL}', 5), '&')), 'string_agg', '&') AS q FROM rec),
+keyed AS (SELECT *, host || CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END
+  || path || '/' || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url_key FROM cut),
+found AS (SELECT *, last_value(CASE WHEN status = 200 THEN record_id END IGNORE NULLS) OVER (PARTITION BY url_key
+  ORDER BY ts, CASE WHEN status = 200 THEN 1 ELSE 0 END, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS refers_to FROM keyed),
+judged AS (SELECT f.record_id, f.url_key, f.refers_to, f.h, o.h AS oh, CASE WHEN f.refers_to IS NULL THEN 'missing'
+  WHEN f.etag IS NOT NULL AND o.etag IS NOT NULL THEN CASE WHEN f.etag = o.etag THEN 'resolved' ELSE 'mismatch' END
+  WHEN f.lm IS NOT NULL AND o.lm IS NOT NULL THEN CASE WHEN f.lm = o.lm THEN 'resolved' ELSE 'mismatch' END ELSE 'unchecked' END AS outcome
+  FROM found f LEFT JOIN rec o ON o.record_id = f.refers_to WHERE f.status = 304),
+entries AS (SELECT record_id, e, 1 AS fresh FROM (SELECT record_id, unnest(h) AS e FROM judged) WHERE e[1] NOT IN ('content-length', 'content-type')
+  UNION ALL SELECT record_id, e, 0 FROM (SELECT record_id, unnest(oh) AS e FROM judged)),
+chosen AS (SELECT record_id, e[1] AS k, arg_max(e[2], fresh) AS v FROM entries GROUP BY ALL),
+merged AS (SELECT record_id, string_agg(k || ': ' || v, chr(10) ORDER BY k) AS headers FROM chosen GROUP BY record_id)
+SELECT j.record_id, url_key, refers_to, outcome, CASE WHEN outcome IN ('resolved', 'unchecked') THEN headers END AS headers
+FROM judged j LEFT JOIN merged m ON m.record_id = j.record_id
+"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from askwell.llm import oracles
 from askwell.llm.decontaminate import contaminations
 from askwell.llm.language import languages
@@ -10,6 +12,7 @@ from askwell.llm.minhash import near_duplicates
 from askwell.llm.packing import packed
 from askwell.llm.quality_model import quality_scores
 from askwell.llm.quality_rules import quality_rules
+from askwell.llm.revisits import captures, resolved
 from askwell.llm.secret_scan import secrets
 from askwell.llm.token_counts import token_counts
 from askwell.plans.inputs import table
@@ -59,3 +62,10 @@ def op6_quality_classifier(spark, sf_dir):
 @query("op3_token_counts")
 def op3_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op10_revisits", oracles.OP10)
+def op10_revisits(spark, sf_dir):
+    found = resolved(captures(table(spark, sf_dir, "pages")))
+    lines = F.transform("headers", lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.withColumn("headers", F.array_join(lines, "\n"))
