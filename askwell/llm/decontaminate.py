@@ -198,4 +198,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """The documents without any benchmark passage; columns as given. Rows of one id stay or go together, null ids are one id."""
     bad = written(contaminations(docs, benchmark, window, least_windows).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
     few = bad.count() <= MOST_SENT
-    return docs.join(F.broadcast(bad) if few else bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
