@@ -75,7 +75,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             for part in cut(batch.column("text")):
                 ids, counts = encode_texts(part.to_pylist())
                 of = np.repeat(np.arange(len(counts)), counts)
-                sums = np.stack([np.bincount(of, weights=vectors[ids, d], minlength=len(counts)) for d in range(DIMS)], axis=1)
+                sums = np.stack([np.bincount(of, weights=vectors[ids, d], minlength=len(counts)) for d in range(DIMS)], axis=1).astype(np.float64)
                 ends = np.r_[0, np.cumsum(counts)].astype(np.int64) * 2
                 packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u2"))])
                 doc_ids = batch.column("doc_id").slice(done, len(part))
