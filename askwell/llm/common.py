@@ -15,7 +15,7 @@ from askwell.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

@@ -24,7 +24,7 @@ from askwell.llm.common import Codes, cut, mix, ragged, written
 WINDOW = 8
 #: A window must have so many words that are no placeholders.
 LEAST_WORDS = 4
-MOST_WORDS = 500_000
+MOST_WORDS = 250_000
 #: Units that follow a number.
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd mile miles g kg mg lb lbs oz ton tons ml l litre litres liter liters s sec secs second seconds "

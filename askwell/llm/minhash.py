@@ -29,7 +29,7 @@ BIN_BITS = BINS.bit_length() - 1
 #: Ids of up to so many candidates are sent to all tasks (16 MB); beyond, the texts are shuffled.
 MOST_SENT = 1_000_000
 #: Words whose hashes a task keeps.
-MOST_WORDS = 500_000
+MOST_WORDS = 250_000
 #: Classes of a block, and elements of a matrix, in comparisons between components.
 BLOCK, COLUMNS = 256, 4096
 STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -21,7 +21,7 @@ from askwell.llm.common import Codes, cut, each_slice, held_out, mix, ragged
 
 BITS, DIMS = 16, 12
 SHORTEST, LONGEST = 2, 4
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MASK = np.uint64((1 << BITS) - 1)
 

@@ -21,7 +21,7 @@ from askwell.llm.common import Codes, each_slice
 from askwell.llm.tokens import byte_ranks, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MOST_WORDS = 800_000
+MOST_WORDS = 250_000
 
 
 @dataclass

@@ -14,7 +14,7 @@ import tiktoken
 from askwell.llm.common import Codes, ragged
 
 #: Words kept by a worker before it starts anew.
-MOST_WORDS = 800_000
+MOST_WORDS = 250_000
 #: White space beside a space.
 BESIDE = re.compile(r" \s|\s ")
 
