@@ -77,18 +77,20 @@ def filtered_schema(
 
 def mine_history(
     history: DataFrame, databases: list[str] | None = None, schemas: list[str] | None = None,
-    sample: int = HISTORY_SAMPLE, seed: str = "0",
+    sample: int | None = None, seed: str = "0",
 ) -> DataFrame:
     """Queries worth training on: more than one row produced, naming a wanted database and schema.
 
-    More than ``sample`` are cut to a seeded draw; the same text counts once.
+    With ``sample`` they are cut to a seeded draw of so many; without, all count. The same text counts once.
     """
     kept = history.filter(F.col("ROWS_PRODUCED") > 1)
     for needles in (databases, schemas):
         if needles is not None:
             kept = kept.filter(contains_any(F.col("QUERY_TEXT"), needles))
     draw = F.md5(F.concat(F.col("QUERY_ID").cast("string"), F.lit(seed)))
-    return kept.orderBy(draw, "QUERY_ID").limit(sample).select("QUERY_TEXT").distinct()
+    if sample is not None:
+        kept = kept.orderBy(draw, "QUERY_ID").limit(sample)
+    return kept.select("QUERY_TEXT").distinct()
 
 
 def history_plan(queries: DataFrame, question: Column | None = None) -> DataFrame:
@@ -102,18 +104,18 @@ def history_plan(queries: DataFrame, question: Column | None = None) -> DataFram
 
 def training_plan(
     info_schema: DataFrame, history: DataFrame | None = None, databases: list[str] | None = None,
-    schemas: list[str] | None = None, include_information_schema: bool = False,
+    schemas: list[str] | None = None, include_information_schema: bool = False, sample: int | None = None,
 ) -> DataFrame:
-    """Plan from query history and information schema."""
+    """Plan from query history, all of it or a draw of ``sample`` queries, and information schema."""
     plan = table_docs(filtered_schema(info_schema, databases, schemas, include_information_schema))
     if history is None:
         return plan
-    return history_plan(mine_history(history, databases, schemas)).unionByName(plan)
+    return history_plan(mine_history(history, databases, schemas, sample)).unionByName(plan)
 
 
 def _column_text() -> Column:
     def labelled(label: str, column: str) -> Column:
-        return F.when(F.col(column) != "nan", F.concat(F.lit(label), F.col(column))).otherwise("")
+        return F.when(F.col(column) != "nan", F.concat(F.lit(label), F.col(column))).otherwise("")  # null: as missing
 
     return F.concat(
         F.col("column_name"), F.lit(" "), strip_brackets(F.col("data_type")), F.lit(" COMMENT '"),
@@ -121,15 +123,29 @@ def _column_text() -> Column:
     )
 
 
+def described(descriptions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Descriptions that name a table, a column and its type, and the rejects."""
+    good = F.col("table_name").isNotNull() & F.col("column_name").isNotNull() & F.col("data_type").isNotNull()
+    return descriptions.filter(good), descriptions.filter(~good)
+
+
 def alter_ddl(descriptions: DataFrame) -> DataFrame:
-    """One ALTER TABLE statement per described column."""
+    """One ALTER TABLE statement per described column; see :func:`described` for what is left out."""
+    descriptions, _ = described(descriptions)
     text = F.concat(F.lit("ALTER TABLE "), F.col("table_name"), F.lit(" ADD COLUMN "), _column_text(), F.lit(";"))
     return descriptions.select("table_name", "column_name", text.alias("ddl"))
 
 
 def create_ddl(descriptions: DataFrame, ordinal: str = "ordinal") -> DataFrame:
-    """One CREATE TABLE statement per described table, columns in order."""
-    lines = descriptions.withColumn("_line", _column_text())
+    """One CREATE TABLE statement per described table, columns in order (by name where there is no ``ordinal``).
+
+    A table with a column that lacks its name or type gets no statement, since the column would be missing in it;
+    :func:`described` gives those rows.
+    """
+    good, rejects = described(descriptions)
+    if ordinal not in descriptions.columns:
+        good = good.withColumn(ordinal, F.lit(0))
+    lines = good.join(rejects.select("table_name").distinct(), "table_name", "left_anti").withColumn("_line", _column_text())
     tables = joined_text(lines, ["table_name"], ordinal, "_line", ",\n  ", "_columns")
     text = F.concat(F.lit("CREATE TABLE "), F.col("table_name"), F.lit(" (\n  "), F.col("_columns"), F.lit("\n);"))
     return tables.select("table_name", text.alias("ddl"))

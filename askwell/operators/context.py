@@ -81,7 +81,7 @@ def message(role: str, content: Column) -> Column:
 def _with_language(text: Column, language: Column | None) -> Column:
     if language is None:
         return text
-    suffix = F.when(language.isNotNull(), F.concat(F.lit("Respond in the "), language, F.lit(" language."))).otherwise("")
+    suffix = F.when(language.isNotNull(), F.concat(F.lit("\nWrite the answer in "), language, F.lit("."))).otherwise("")
     return F.concat(text, suffix)
 
 
@@ -135,7 +135,7 @@ def rewrite_inputs(turns: DataFrame) -> DataFrame:
     """User turns (conv_id, turn, question) with the question before; the first one needs no model call."""
     joined = previous(turns, "conv_id", "turn", "question", "last_question")
     combined = F.concat(
-        F.lit("First question: "), F.col("last_question"), F.lit("\nSecond question: "), F.col("question")
+        F.lit("Asked before: "), F.col("last_question"), F.lit("\nAsked now: "), F.col("question")
     )
     return joined.select(
         "conv_id", "turn", "question", "last_question", F.col("last_question").isNotNull().alias("needs_model"),

@@ -63,8 +63,10 @@ def merge(corpus: DataFrame, new: DataFrame, policy: str = "skip") -> DataFrame:
 
 
 def one_per_id(rows: DataFrame) -> DataFrame:
-    """The oldest row of every id; repeats combine on the map side."""
-    return rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), F.col("created_at")).alias("r")).select("r.*")
+    """The oldest row of every id; repeats combine on the map side. A row without a time counts as the newest; of
+    rows of one time a hash decides, so the same rows always give the same one."""
+    order = F.struct(F.col("created_at").isNull(), F.col("created_at"), F.xxhash64(*rows.columns))
+    return rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
 
 
 def not_yet(corpus: DataFrame, new: DataFrame) -> DataFrame:
@@ -124,16 +126,25 @@ def remove_kind(corpus: DataFrame, kind: str) -> DataFrame:
 
 def update(corpus: DataFrame, changes: DataFrame) -> DataFrame:
     """Field by field, the changed value where one is given. ``needs_embedding`` marks rows whose text to
-    embed changed; only those have to go through the model again."""
+    embed changed; only those have to go through the model again.
+
+    ``embed_text`` follows a changed question or content by the row's kind, unless the change brings its own. Several
+    changes of one id are put together: of each field the greatest value given counts.
+    """
     fields = [c for c in changes.columns if c != "id" and c in corpus.columns]
-    new = changes.select("id", *[F.col(c).alias(f"_new_{c}") for c in fields])
+    new = changes.groupBy("id").agg(*[F.max(c).alias(f"_new_{c}") for c in fields])
     joined = corpus.join(new, "id", "left")
     text_fields = [c for c in ("question", "content", "embed_text") if c in fields]
     changed = F.lit(False)
     for c in text_fields:
         changed = changed | (F.col(f"_new_{c}").isNotNull() & ~F.col(f"_new_{c}").eqNullSafe(F.col(c)))
-    merged = [F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in corpus.columns]
-    return joined.select(*merged, changed.alias("needs_embedding"))
+    now = {c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) if c in fields else F.col(c) for c in corpus.columns}
+    if {"embed_text", "question", "content", "training_data_type"} <= set(now) and {"question", "content"} & set(fields):
+        pair = F.col("training_data_type") == "sql"
+        text = F.when(pair, pair_text(now["question"], now["content"], "json")).otherwise(now["content"])
+        own = F.col("_new_embed_text") if "embed_text" in fields else F.lit(None).cast("string")
+        now["embed_text"] = F.coalesce(own, F.when(changed, text).otherwise(F.col("embed_text")))
+    return joined.select(*(column.alias(c) for c, column in now.items()), changed.alias("needs_embedding"))
 
 
 def route_training(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from askwell.operators.blocks import MATRIX_ENTRIES, MAX_BROADCAST
 from askwell.operators.nearest import candidates, knn
 from askwell.operators.ranking import bounded_rows
+from askwell.schemas import KINDS
+
+
+MOST_PROBED = 1000
 
 
 def fit_centres(corpus: DataFrame, n_lists: int, seed: int = 7, iterations: int = 10) -> DataFrame:
@@ -29,11 +33,12 @@ def fit_centres(corpus: DataFrame, n_lists: int, seed: int = 7, iterations: int
 def nearest_lists(rows: DataFrame, centres: DataFrame, n: int) -> DataFrame:
     """``rows`` with ``lists``, the ids of the ``n`` nearest centres (ties by id).
 
-    The centres, checked to be few, go to every task; the rows are scanned once and not shuffled.
+    Up to ``MAX_BROADCAST`` centres go to every task; the rows are scanned once and not shuffled. More centres are searched
+    like any corpus; rows are told apart by ``question_id`` or ``id`` then. Both ways give the same lists.
     """
     table = bounded_rows(centres.select("id", "embedding").orderBy("id"), MAX_BROADCAST)
     if table is None:
-        raise ValueError(f"more than {MAX_BROADCAST} centres")
+        return _searched_lists(rows, centres, n)
     # in order of their ids, so that the smaller index wins a tie
     centre_table = table.append_column("scope", pa.array([""] * table.num_rows))
     shared = rows.sparkSession.sparkContext.broadcast(centre_table)
@@ -58,6 +63,15 @@ def nearest_lists(rows: DataFrame, centres: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _searched_lists(rows: DataFrame, centres: DataFrame, n: int) -> DataFrame:
+    key = "question_id" if "question_id" in rows.columns else "id"
+    asked = rows.select(F.col(key).alias("question_id"), "embedding").dropDuplicates(["question_id"])
+    found = knn(asked, centres.withColumn("training_data_type", F.lit(KINDS[0])), n)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"])
+    lists = found.groupBy("question_id").agg(ordered.alias("lists")).withColumnRenamed("question_id", "_key")
+    return rows.join(lists, rows[key].cast("string") == lists["_key"]).select(*rows.columns, "lists")
+
+
 def build_lists(corpus: DataFrame, centres: DataFrame) -> DataFrame:
     """The corpus with the list of its nearest centre; written with ``partitionBy("list_id")`` it is the index."""
     return nearest_lists(corpus, centres, 1).withColumn("list_id", F.col("lists")[0]).drop("lists")
@@ -67,7 +81,11 @@ def ivf_knn(
     questions: DataFrame, indexed: DataFrame, centres: DataFrame, k: int = 10, n_probe: int = 3, metric: str = "l2", **sizes
 ) -> DataFrame:
     """The ``k`` nearest rows found in each question's ``n_probe`` nearest lists. With all lists probed the
-    result is exact. Hot lists are cut into cells of bounded size."""
+    result is exact. Hot lists are cut into cells of bounded size. If few lists are probed, only their partitions of a
+    stored index are read."""
     asked = nearest_lists(questions.select("question_id", "embedding"), centres, n_probe)
     probes = asked.withColumn("list_id", F.explode("lists")).drop("lists")
+    probed = bounded_rows(probes.select("list_id").distinct(), MOST_PROBED)
+    if probed is not None:
+        indexed = indexed.filter(F.col("list_id").isin(probed["list_id"].to_pylist()))
     return knn(probes, indexed, k, metric, lists=["list_id"], **sizes)

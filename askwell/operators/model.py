@@ -91,7 +91,7 @@ def two_step(
     wanted = asking.select("question_id", extract_sql(F.col("response")).alias("sql"))
     seen = wanted.join(previews(wanted.select("sql").distinct()), "sql", "left")
     failed = seen.filter("error is not null").select(
-        "question_id", F.concat(F.lit("Error running intermediate SQL: "), F.col("error")).alias("response"),
+        "question_id", F.concat(F.lit("The look into the data failed: "), F.col("error")).alias("response"),
         F.lit(None).cast("string").alias("error"),
     )
     look = F.concat(F.lit("Result of the intermediate query "), F.col("sql"), F.lit(":\n"), F.col("preview"))

@@ -99,15 +99,15 @@ def knn(
     ``per_kind`` (implied by a dict of kind -> k) ranks within each kind, else all kinds rank together.
     Distances are rounded to six digits; ties go to the smaller id. ``l2sq`` is the square of ``l2``; dot
     products count as negative distances. ``lists`` names columns on both sides that must agree (see
-    :mod:`askwell.operators.ivf`).
+    :mod:`askwell.operators.ivf`). Rows and questions without a vector take no part; ``corpus.dim_check`` lists them.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; one of {METRICS}")
     lists = lists or []
     by_kind = per_kind or isinstance(k, dict)
     scope = F.col("training_data_type") if by_kind else F.lit(EACH)
-    asked = questions.select(F.col("question_id").cast("string").alias("question_id"), "embedding", *lists)
-    stored = corpus.select("id", "training_data_type", scope.alias("scope"), "embedding", *lists)
+    asked = questions.select(F.col("question_id").cast("string").alias("question_id"), "embedding", *lists).filter("embedding is not null")
+    stored = corpus.select("id", "training_data_type", scope.alias("scope"), "embedding", *lists).filter("embedding is not null")
     entries = F.size("embedding")
     return block_search(
         partial(candidates, metric), asked, stored, k, (entries, entries), lists=lists, scopes=len(KINDS) if by_kind else 1, **sizes

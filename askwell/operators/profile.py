@@ -25,13 +25,14 @@ def preview_json(df: DataFrame, keys: list[str], n: int = PREVIEW_ROWS) -> DataF
     return df.orderBy(*keys).limit(n).select(F.to_json(F.struct(*df.columns), options).alias("record"))
 
 
-def markdown(df: DataFrame, keys: list[str], n: int | None = FOLLOWUP_ROWS) -> DataFrame:
-    """The first ``n`` rows by ``keys`` as one markdown text. A text is one value, so ``n`` is None only for
-    results known to be small."""
+def markdown(df: DataFrame, keys: list[str], n: int | None = FOLLOWUP_ROWS, columns: list[str] | None = None) -> DataFrame:
+    """The first ``n`` rows by ``keys`` as one markdown text of ``columns`` (all by default). A text is one value, so
+    ``n`` is None only for results known to be small."""
     rows = df if n is None else df.orderBy(*keys).limit(n)
-    line = F.struct(*keys, markdown_line([F.col(c) for c in df.columns]).alias("_line"))
+    columns = columns or df.columns
+    line = F.struct(*keys, markdown_line([F.col(c) for c in columns]).alias("_line"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["_line"]), "\n")
-    return rows.agg(F.concat(F.lit(markdown_header(df.columns)), text).alias("markdown"))
+    return rows.agg(F.concat(F.lit(markdown_header(columns)), text).alias("markdown"))
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -17,9 +17,14 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | Column,
 
 
 def latest(df: DataFrame, keys: list[str], by: Column) -> DataFrame:
-    """One row per key, the one with the greatest ``by``; combined on the map side, so no key is sorted whole."""
+    """One row per key, the one with the greatest ``by``; combined on the map side, so no key is sorted whole.
+
+    A row without ``by`` comes before all others; equal ones are told apart by a hash of the row, so the same rows
+    always give the same one.
+    """
     others = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*others), by).alias("_best"))
+    order = F.struct(by.isNotNull(), by, F.xxhash64(*others))
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("_best"))
     return best.select(*keys, *[F.col("_best")[c].alias(c) for c in others])
 
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askwell.session import shared_folder
 
-ONE_TASK = 100_000
-CUTS = 1000
 ACCURACY = 10_000
 SMALL_KEY = 10 * ACCURACY
 FEW_KEYS = 50_000
@@ -33,22 +30,17 @@ def in_top(df: DataFrame, column: str, order: list[Column], n: int) -> DataFrame
     return df.join(best.select(column), column, "left_semi")
 
 
-def global_rank(df: DataFrame, value: str, out: str, one_task: int = ONE_TASK) -> DataFrame:
+def global_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """``value`` (a number) with its rank over all rows, one row per distinct value: ``value``, ``out``, n.
 
-    Up to ``ONE_TASK`` distinct values are ranked in one window. More are cut into ranges at approximate
-    quantiles; each range is ranked by itself on top of the row count of the ranges before, so no task sees
-    more than about one range.
+    Distinct values are counted and range-sorted, one range to a task; each range is ranked by itself on top of the row
+    count of the ranges before. NaN is one value, larger than all others; nulls have no rank.
     """
+    spark = df.sparkSession
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    if counts.count() <= one_task:
-        before = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-        return counts.select(value, (F.coalesce(before, F.lit(0)) + 1).alias(out), "n")
-    marks = [i / CUTS for i in range(1, CUTS)]
-    cuts = counts.agg(F.percentile_approx(F.col(value).cast("double"), marks, ACCURACY).alias("cuts")).first()["cuts"] or []
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    numbered = counts.withColumn("_value", F.col(value).cast("double"))
-    ranged = Bucketizer(splits=splits, inputCol="_value", outputCol="_range").transform(numbered).drop("_value")
+    path = shared_folder(spark, "ranks")  # written, since a range must be the same rows in both uses below
+    counts.repartitionByRange(value).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
     sizes = ranged.groupBy("_range").agg(F.sum("n").alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_range", before.alias("_before"))

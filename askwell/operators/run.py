@@ -18,6 +18,8 @@ from askwell.session import shared_folder
 from askwell.sources.readers import run_sql
 
 STATUS_BATCH = 500
+#: Column of stored results: the row's place in the result.
+POSITION = "_position"
 
 
 def _file_names(columns: list[str]) -> list[str]:
@@ -30,12 +32,18 @@ def _file_names(columns: list[str]) -> list[str]:
 def _run_one(spark: SparkSession, sql: str, path: str, preview_rows: int) -> tuple:
     try:
         result = run_sql(spark, sql)
-        result.toDF(*_file_names(result.columns)).write.parquet(path)
+        named = result.toDF(*_file_names(result.columns))
+        # numbers rise along the rows as the statement gave them
+        named.withColumn(POSITION, F.monotonically_increasing_id()).write.parquet(path)
         stored = spark.read.parquet(path)
-        preview = markdown(stored, stored.columns, preview_rows).first()["markdown"] if preview_rows else None
-        return (sql, SQL_RAN, stored.count(), None, path, preview)
+        count = stored.count()
     except PySparkException as exc:
         return (sql, SQL_UNABLE_TO_RUN, None, str(exc).split("\n")[0], None, None)
+    try:
+        preview = markdown(stored, [POSITION], preview_rows, named.columns).first()["markdown"] if preview_rows else None
+        return (sql, SQL_RAN, count, None, path, preview)
+    except PySparkException as exc:  # the statement ran, its rows cannot be shown
+        return (sql, SQL_RAN, count, f"no preview: {str(exc).split(chr(10))[0]}", path, None)
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -51,8 +59,8 @@ def run_statements(
     row_count, error, result_path, preview.
 
     Statements come to the driver a few at a time, since only it can submit jobs, and ``at_once`` run side
-    by side. Results are written, never collected, but for the ``preview_rows`` first rows as text. Only
-    statements that read data are run.
+    by side. Results are written, never collected, but for the ``preview_rows`` first rows as text, in the order
+    the statement gave them (column ``_position`` of the stored result). Only statements that read data are run.
     """
     folder = folder or shared_folder(spark, "results")
     wanted = statements.filter("is_valid").select("sql").distinct()

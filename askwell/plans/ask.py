@@ -11,6 +11,7 @@ from askwell.operators.embedding import embed
 from askwell.operators.model import ModelFactory, extracted, suggest_columns, two_step
 from askwell.operators.retrieval import N_RESULTS, SUGGESTION_RESULTS, multi_query, retrieve_context
 from askwell.operators.run import auto_train, previews, run_results, run_statements
+from askwell.operators.training import learn
 from askwell.session import shared_folder
 from askwell.sources.store import CorpusStore
 
@@ -56,17 +57,18 @@ def generate_sql(
 
 def ask_batch(
     spark: SparkSession, questions: DataFrame, corpus: DataFrame, model: ModelFactory, *, store: CorpusStore | None = None,
-    folder: str | None = None, **options,
+    folder: str | None = None, embedder: Embedder | None = None, **options,
 ) -> DataFrame:
     """Questions answered on Spark's catalog: one outcome row per question, results as Parquet.
 
     Model responses are written before anything runs, so no retry asks the model again. With ``store``
-    the pairs that gave rows are added to it.
+    the pairs that gave rows are added to it, embedded by ``embedder`` if it keeps vectors: the next ``store.read()``
+    finds them without another pass through the model.
     """
     folder = folder or shared_folder(spark, "ask")
     generate_sql(questions, corpus, model, **options).write.parquet(f"{folder}/extracted")
     found = spark.read.parquet(f"{folder}/extracted")
     runs = run_results(found, run_statements(spark, found, f"{folder}/runs"))
     if store is not None:
-        store.append_new(auto_train(runs))
+        learn(store, auto_train(runs), embedder)
     return runs

@@ -78,7 +78,7 @@ _INTRO, _RULES = text(ctx.TEMPLATES["intro"].format(dialect="SQL")), text(ctx.TE
     pos AS (SELECT question_id, q, s, row_number() OVER (PARTITION BY question_id ORDER BY rank) - 1 AS i FROM found WHERE kind = 'sql')
     SELECT question_id, CAST(2 * i AS INT) AS position, 'user' AS role, q AS content FROM pos
     UNION ALL SELECT question_id, CAST(2 * i + 1 AS INT), 'assistant', s FROM pos
-    UNION ALL SELECT question_id, CAST(2 * n AS INT), 'user', p || {_RULES} || question || 'Respond in the German language.' FROM b""")
+    UNION ALL SELECT question_id, CAST(2 * n AS INT), 'user', p || {_RULES} || question || chr(10) || 'Write the answer in German.' FROM b""")
 def build_prompts(spark, sf_dir):
     return _shown(ctx.build_prompts(
         _context(spark, sf_dir), max_tokens=BUDGET, static_documentation="Amounts are in cents.", language="German"
@@ -148,7 +148,7 @@ def split_system(spark, sf_dir):
     WITH u AS (SELECT conv_id, turn, text AS question, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS last_question
       FROM conversations WHERE role = 'user')
     SELECT *, last_question IS NOT NULL AS needs_model,
-      coalesce('First question: ' || last_question || chr(10) || 'Second question: ' || question, question) AS text FROM u""")
+      coalesce('Asked before: ' || last_question || chr(10) || 'Asked now: ' || question, question) AS text FROM u""")
 def rewrite_inputs(spark, sf_dir):
     turns = inputs.table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     return ctx.rewrite_inputs(turns)
@@ -184,7 +184,7 @@ def fix_inputs(spark, sf_dir):
 
 
 @query("task_prompts", f"""
-    WITH {PAIRS}, t(task, ask) AS (VALUES ('summary', {text(ctx.TEMPLATES['summary'])} || 'Respond in the French language.'),
+    WITH {PAIRS}, t(task, ask) AS (VALUES ('summary', {text(ctx.TEMPLATES['summary'])} || chr(10) || 'Write the answer in French.'),
       ('chart', {text(ctx.TEMPLATES['chart'])}), ('question', ''))
     SELECT conv_id, turn, task, CASE WHEN task = 'question' THEN {text(ctx.TEMPLATES['question'])} ELSE sql END AS system,
       CASE WHEN task = 'question' THEN sql ELSE ask END AS ask FROM pairs, t""")
@@ -386,7 +386,7 @@ def chart_code(spark, sf_dir):
 @query("rewrite_questions", f"""
     WITH u AS (SELECT conv_id, turn, text AS question, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM conversations WHERE role = 'user')
     SELECT conv_id, turn, question, CASE WHEN last IS NULL THEN question ELSE '2 messages, ' || (length({text(ctx.TEMPLATES['rewrite'])})
-      + length('First question: ' || last || chr(10) || 'Second question: ' || question)) || ' characters' END AS rewritten, CAST(NULL AS VARCHAR) AS error FROM u""")
+      + length('Asked before: ' || last || chr(10) || 'Asked now: ' || question)) || ' characters' END AS rewritten, CAST(NULL AS VARCHAR) AS error FROM u""")
 def rewrite_questions(spark, sf_dir):
     turns = inputs.table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     return m.rewrite_questions(turns, counting_model)

@@ -299,7 +299,7 @@ def table_docs_filtered(spark, sf_dir):
 @query("query_history", f"""
     WITH {HISTORY} SELECT query_id, query_text, rows_produced FROM (SELECT * FROM history ORDER BY start_time DESC, query_id DESC LIMIT 5000)""")
 def query_history(spark, sf_dir):
-    newest = readers.read_history(inputs.query_history(spark, sf_dir))
+    newest = readers.read_history(inputs.query_history(spark, sf_dir), 5000)
     return newest.select(F.col("QUERY_ID").alias("query_id"), F.col("QUERY_TEXT").alias("query_text"), F.col("ROWS_PRODUCED").alias("rows_produced"))
 
 
@@ -311,7 +311,7 @@ def query_history(spark, sf_dir):
     FROM (SELECT * FROM kept ORDER BY md5(query_id || '7'), query_id LIMIT 10)""")
 def history_mining(spark, sf_dir):
     mined = bootstrap.mine_history(
-        inputs.query_history(spark, sf_dir), ["SALES_1", "Sales_2"], ["Schema_click", "schema_VIEW"], seed="7"
+        inputs.query_history(spark, sf_dir), ["SALES_1", "Sales_2"], ["Schema_click", "schema_VIEW"], bootstrap.HISTORY_SAMPLE, "7"
     )
     return bootstrap.history_plan(mined).drop("item_name")
 
@@ -382,11 +382,9 @@ def column_json(spark, sf_dir):
     fields = ("table_name", "column_name", "data_type", "description", "usage")
     records = inputs.column_descriptions(spark, sf_dir).select("table_name", "ordinal", F.to_json(F.struct(*fields)).alias("record"))
     arrays = joined_text(records, ["table_name"], "ordinal", "record", ",", "body")
-    upload = arrays.select(F.concat(F.lit("["), "body", F.lit("]")).alias("value"))
-    upload.write.text(path)
-    # one array per line here; an uploaded file is one array over many lines
-    lines = spark.read.text(path).select(F.explode(F.from_json("value", f"array<{readers.COLUMN_DESCRIPTION.simpleString()}>")).alias("r"))
-    return lines.select("r.*")
+    upload = arrays.select("table_name", F.concat(F.lit("[\n"), "body", F.lit("\n]")).alias("value"))
+    upload.write.partitionBy("table_name").text(path)
+    return readers.read_column_descriptions(spark, path).drop("ordinal")
 
 
 @query("csv_download", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")

@@ -10,8 +10,10 @@ from askwell.operators import bootstrap, evaluation, profile
 from askwell.operators import run as r
 from askwell.operators.corpus import add_ddl, add_documentation, add_pairs, one_per_id
 from askwell.operators.embedding import embed
+from askwell.operators.nearest import knn
+from askwell.operators.training import train
 from askwell.plans import ask, inputs
-from askwell.plans.oracle_parts import sql_id, sql_pair
+from askwell.plans.oracle_parts import PAIRS, sql_id, sql_pair
 from askwell.plans.registry import query
 from askwell.session import shared_folder
 from askwell.sources.readers import run_sql
@@ -90,6 +92,24 @@ def ask_batch(spark, sf_dir):
     return runs.join(learnt, "question", "left_semi").select("question_id", "status", "row_count")
 
 
+@query("train_then_ask", f"""
+    WITH {PAIRS}, known AS (SELECT DISTINCT question, sql FROM pairs), ids AS (SELECT {sql_id(sql_pair('question', 'sql'), 'sql')} AS id FROM known)
+    SELECT id AS question_id, id, CAST(0 AS DOUBLE) AS distance FROM ids""")
+def train_then_ask(spark, sf_dir):
+    """Documents and pairs learnt in two rounds, the pairs twice; asked for by its own text, each pair is the first hit."""
+    store = CorpusStore(spark, shared_folder(spark, "trained"), schemas.CORPUS_VECTORS)
+    none = F.lit(None).cast("string")
+    texts = inputs.text_corpus(spark, sf_dir).select(none.alias("question"), none.alias("sql"), none.alias("ddl"), F.col("content").alias("documentation"))
+    train(store, texts)
+    pairs = inputs.pairs(spark, sf_dir).select("question", "sql", none.alias("ddl"), none.alias("documentation"))
+    for _ in range(2):
+        train(store, pairs)
+    stored = store.read()
+    asked = stored.filter("training_data_type = 'sql'").select(F.col("id").alias("question_id"), "embed_text")
+    hits = knn(embed(asked, "embed_text", task="question"), stored, 1)
+    return hits.select("question_id", "id", "distance")
+
+
 def words_model():
     """A stand-in model: suggests the question's first four words, one per line."""
     return lambda messages: "\n".join(messages[-1]["content"].split("Question: ")[1].split()[:4])

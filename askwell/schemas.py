@@ -18,6 +18,9 @@ CORPUS = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
+#: The corpus with the vectors of its texts to embed, as the learning loop stores it
+CORPUS_VECTORS = T.StructType([*CORPUS.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
 PLAN = T.StructType([
     T.StructField("item_type", T.StringType()),
     T.StructField("item_group", T.StringType()),

@@ -25,12 +25,22 @@ def local_session(cpus: int = 8, app: str = "askwell") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path every executor can reach, below the cluster's ``spark.checkpoint.dir``.
+    """A fresh path every executor can reach, below the cluster's ``spark.checkpoint.dir``; it is deleted when the
+    application ends.
 
-    Only where that setting is missing (tests on one machine) is a temporary folder made and set.
+    Only in local mode, as in tests, may that setting be missing: all tasks then share the driver's disk, and a
+    temporary folder is made and set. Elsewhere a machine's own folder would lose rows, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="askwell-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/askwell/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/askwell/{purpose}-{uuid.uuid4().hex}"
+    jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(settings)
+    system.mkdirs(folder.getParent())
+    system.deleteOnExit(folder)
+    return path

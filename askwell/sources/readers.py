@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askwell.schemas import COLUMN_DESCRIPTION, QA
 
@@ -131,8 +132,10 @@ def read_qa(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_column_descriptions(spark: SparkSession, path: str) -> DataFrame:
-    """Column-description uploads: JSON arrays of objects."""
-    return spark.read.schema(COLUMN_DESCRIPTION).option("multiLine", True).json(path)
+    """Column-description uploads: JSON arrays of objects, with each one's place in its file as ``ordinal``."""
+    files = spark.read.text(path, wholetext=True)
+    rows = F.from_json("value", T.ArrayType(COLUMN_DESCRIPTION))
+    return files.select(F.posexplode(rows).alias("ordinal", "row")).select("row.*", "ordinal")
 
 
 def databases(spark: SparkSession) -> DataFrame:
@@ -140,7 +143,7 @@ def databases(spark: SparkSession) -> DataFrame:
     return spark.sql("SHOW DATABASES").select(F.col("namespace").alias("database"))
 
 
-def read_history(history: DataFrame, n: int = 5000) -> DataFrame:
-    """The newest ``n`` queries of a history, oldest first."""
-    newest = history.orderBy(F.desc("START_TIME"), F.desc("QUERY_ID")).limit(n)
+def read_history(history: DataFrame, n: int | None = None) -> DataFrame:
+    """The queries of a history, oldest first; with ``n`` the newest so many."""
+    newest = history if n is None else history.orderBy(F.desc("START_TIME"), F.desc("QUERY_ID")).limit(n)
     return newest.orderBy("START_TIME", "QUERY_ID")

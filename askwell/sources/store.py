@@ -1,11 +1,13 @@
 """The corpus on disk: immutable segments and a log of which ones count.
 
 Adding rows writes one more segment; only changes and removals write the corpus anew. A reader sees the
-segments named by the log, so a half-written or retried segment is never seen. One writer at a time.
+segments named by the log, so a half-written or retried segment is never seen. A version is claimed by creating its
+file, which only one writer can; the other one looks at the log again. Compaction is a job of its own.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -13,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askwell.operators.corpus import merge, not_yet, one_per_id
+from askwell.operators.corpus import merge, not_yet, one_per_id, remove, remove_kind, update
+
+ATTEMPTS = 10
 
 LOG = T.StructType([
     T.StructField("version", T.LongType()),
@@ -23,14 +27,13 @@ LOG = T.StructType([
 
 
 class CorpusStore:
-    """A corpus below ``path``, a folder every executor can reach. After ``max_segments`` additions it is
-    written anew as one segment."""
+    """A corpus below ``path``, a folder every executor can reach."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, max_segments: int = 500):
-        self.spark, self.path, self.schema, self.max_segments = spark, path.rstrip("/"), schema, max_segments
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def _log(self) -> list:
-        """Log rows since the corpus was last written anew, at most ``max_segments`` short ones."""
+        """Log rows since the corpus was last written anew, one short row for each addition."""
         try:
             log = self.spark.read.schema(LOG).json(f"{self.path}/log")
         except AnalysisException as exc:
@@ -50,13 +53,22 @@ class CorpusStore:
         reader = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/segments")
         return reader.parquet(*segments).select(*self.schema.names)
 
-    def _commit(self, rows: DataFrame, log: list, starts_over: bool) -> int:
+    def _claim(self, version: int) -> bool:
+        """Whether this writer, and no other, may write ``version``."""
+        context = self.spark.sparkContext
+        file = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/{version}")
+        return file.getFileSystem(context._jsc.hadoopConfiguration()).createNewFile(file)
+
+    def _commit(self, rows: DataFrame, log: list, starts_over: bool) -> int | None:
+        """The version written, or None if another writer was first."""
         version = (log[-1]["version"] if log else 0) + 1
         segment = f"{version}-{uuid.uuid4().hex}"
         folder = f"{self.path}/segments/segment={segment}"
         rows.select(*self.schema.names).write.partitionBy("training_data_type").parquet(folder)
         if not starts_over and self.spark.read.schema(self.schema).parquet(folder).isEmpty():
             return version - 1  # nothing new: the empty segment is not logged
+        if not self._claim(version):
+            return None
         entry = self.spark.range(1).select(
             F.lit(version).alias("version"), F.lit(segment).alias("segment"), F.lit(starts_over).alias("starts_over")
         )
@@ -67,19 +79,45 @@ class CorpusStore:
         """Rows whose id is not stored yet. Doing it twice adds nothing."""
         once = one_per_id(rows.select(*self.schema.names)).persist()
         try:
-            log = self._log()
-            version = self._commit(not_yet(self._read(log), once), log, starts_over=False)
+            return self._change(lambda stored: not_yet(stored, once), starts_over=False)
         finally:
             once.unpersist()
-        return self.compact() if len(log) >= self.max_segments else version
+
+    def _change(self, rows, starts_over: bool = True) -> int:
+        """Writes ``rows(stored)``; from the beginning if another writer came in between."""
+        for _ in range(ATTEMPTS):
+            log = self._log()
+            version = self._commit(rows(self._read(log)), log, starts_over)
+            if version is not None:
+                return version
+            time.sleep(1)
+        raise RuntimeError(f"{ATTEMPTS} times another writer was first, or one that claimed a version never logged it")
 
     def replace(self, rows: DataFrame) -> int:
         """The whole corpus anew."""
-        return self._commit(rows, self._log(), starts_over=True)
+        return self._change(lambda stored: rows)
 
     def compact(self) -> int:
         """Many small segments as one."""
-        return self.replace(self.read())
+        return self._change(lambda stored: stored)
 
     def upsert(self, rows: DataFrame) -> int:
-        return self.replace(merge(self.read(), rows.select(*self.schema.names), "upsert"))
+        return self._change(lambda stored: merge(stored, rows.select(*self.schema.names), "upsert"))
+
+    def remove(self, ids: DataFrame) -> int:
+        """Without the rows of these ids."""
+        return self._change(lambda stored: remove(stored, ids))
+
+    def remove_kind(self, kind: str) -> int:
+        """With one collection emptied."""
+        return self._change(lambda stored: remove_kind(stored, kind))
+
+    def update(self, changes: DataFrame) -> int:
+        """Field by field, see :func:`askwell.operators.corpus.update`. Vectors of changed texts are emptied, to be made anew."""
+        def changed(stored: DataFrame) -> DataFrame:
+            rows = update(stored, changes)
+            if "embedding" in stored.columns:
+                rows = rows.withColumn("embedding", F.when(~F.col("needs_embedding"), F.col("embedding")))
+            return rows
+
+        return self._change(changed)

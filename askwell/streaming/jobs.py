@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from askwell.operators.embedding import ModelFactory
 from askwell.operators.run import auto_train
+from askwell.operators.training import learn
 from askwell.sources.store import CorpusStore
 
 
@@ -24,10 +26,10 @@ def training_stream(runs: DataFrame, delay: str = "1 hour") -> DataFrame:
     return salted.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id", "_salt"]).drop("_salt")
 
 
-def start_auto_train(runs: DataFrame, store: CorpusStore, checkpoint: str, delay: str = "1 hour", once: bool = True) -> StreamingQuery:
-    """Adds successful runs of a stream to ``store``; a replayed batch adds nothing twice."""
+def start_auto_train(runs: DataFrame, store: CorpusStore, checkpoint: str, delay: str = "1 hour", once: bool = True, embedder: ModelFactory | None = None) -> StreamingQuery:
+    """Adds successful runs of a stream to ``store``, with vectors if it keeps them; a replayed batch adds nothing twice."""
     def add(batch: DataFrame, epoch: int) -> None:
-        store.append_new(batch)
+        learn(store, batch, embedder)
 
     writer = training_stream(runs, delay).writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -86,8 +86,8 @@ def test_looking_into_the_data(spark):
     previews = lambda s: run.previews(spark, s)
     rows = {r["question_id"]: r["response"] for r in model.two_step(context, looking, ctx.build_prompts, previews, allow_data=True).collect()}
     assert rows["look"] == "SELECT 'seen';" and rows["plain"] == "SELECT 1;"
-    assert rows["fail"].startswith("Error running intermediate SQL: ") and "nope" in rows["fail"]
-    assert rows["bad"] == "Error running intermediate SQL: not a statement that reads data"
+    assert rows["fail"].startswith("The look into the data failed: ") and "nope" in rows["fail"]
+    assert rows["bad"] == "The look into the data failed: not a statement that reads data"
     refused = {r["question_id"]: r["response"] for r in model.two_step(context, looking, ctx.build_prompts, previews).collect()}
     assert refused["look"] == model.NO_DATA_ACCESS and refused["plain"] == "SELECT 1;"
 
@@ -101,7 +101,7 @@ def test_runs(spark):
     rows = {r["question_id"]: r for r in runs.collect()}
     assert [rows[q]["status"] for q in "12345"] == [schemas.SQL_RAN, schemas.SQL_UNABLE_TO_RUN, schemas.NO_SQL_GENERATED, schemas.SQL_RAN, schemas.SQL_RAN]
     assert (rows["1"]["row_count"], rows["5"]["row_count"]) == (5, 0) and "ZERO" in rows["2"]["error"]
-    assert spark.read.parquet(rows["1"]["result_path"]).columns == ["id_0", "id_1"]
+    assert spark.read.parquet(rows["1"]["result_path"]).columns == ["id_0", "id_1", "_position"]
     assert sorted(r["question"] for r in run.auto_train(runs).collect()) == ["q1", "q4"]
     none = run.run_statements(spark, made.filter("not is_valid"))
     assert none.count() == 0
@@ -173,11 +173,12 @@ def test_not_in_with_nulls(spark):
         assert sorted((r["a"] for r in got), key=lambda x: (x is not None, x)) == want
 
 
-@pytest.mark.parametrize("one_task", [10**6, 0])
-def test_global_ranks(spark, one_task):
+def test_global_ranks(spark):
     values = [float(i % 700) for i in range(3000)] + [5.0] * 1500
-    ranks = {r["v"]: r["r"] for r in relational.global_rank(spark.createDataFrame([(v,) for v in values], "v double"), "v", "r", one_task).collect()}
-    assert ranks == {v: sum(x < v for x in values) + 1 for v in set(values)}
+    rows = [(v,) for v in [*values, float("nan"), float("nan"), None]]
+    ranks = {str(r["v"]): (r["r"], r["n"]) for r in relational.global_rank(spark.createDataFrame(rows, "v double"), "v", "r").collect()}
+    assert ranks.pop("nan") == (len(values) + 1, 2)
+    assert ranks == {str(v): (sum(x < v for x in values) + 1, values.count(v)) for v in set(values)}
 
 
 @pytest.mark.parametrize("small", [10**6, 0])
