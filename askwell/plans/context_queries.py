@@ -213,16 +213,16 @@ def generate_responses(spark, sf_dir):
     return m.generate_responses(inputs.messages(spark, sf_dir), counting_model)
 
 
-def first_words_model():
-    """A stand-in model: suggests the question's first three words."""
-    return lambda messages: "\n".join(messages[-1]["content"].split("Question: ")[1].split()[:3])
+def words_model():
+    """A stand-in model: suggests the question's words."""
+    return lambda messages: "\n".join(messages[-1]["content"].split("Question: ")[1].split())
 
 
 @query("suggest_columns", """
-    WITH w AS (SELECT CAST(item_id AS VARCHAR) AS question_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:3] AS w FROM benchmark)
+    WITH w AS (SELECT CAST(item_id AS VARCHAR) AS question_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark)
     SELECT question_id, unnest(range(len(w)))::INT AS i, unnest(w) AS hint, question_id || '#' || unnest(range(len(w))) AS suggestion_id FROM w""")
 def suggest_columns(spark, sf_dir):
-    return m.suggest_columns(inputs.benchmark_questions(spark, sf_dir), first_words_model).select("question_id", "i", "hint", "suggestion_id")
+    return m.suggest_columns(inputs.benchmark_questions(spark, sf_dir), words_model).select("question_id", "i", "hint", "suggestion_id")
 
 
 def echo_model():

@@ -369,10 +369,13 @@ def catalog_ddl(spark, sf_dir):
 
 @query("qa_round_trip", f"WITH {PAIRS} SELECT question, sql AS answer FROM pairs")
 def qa_round_trip(spark, sf_dir):
-    """Pairs written as JSON records and read as a question/answer corpus."""
+    """Pairs written as corpora, one JSON array per turn and thousand conversations, and read back."""
     path = shared_folder(spark, "qa")
-    sinks.write_json(inputs.pairs(spark, sf_dir).select("question", F.col("sql").alias("answer")), path)
-    return spark.read.schema(readers.QA).json(path)
+    record = F.to_json(F.struct("question", F.col("sql").alias("answer")))
+    records = inputs.pairs(spark, sf_dir).select("conv_id", F.floor(F.col("conv_id") / 1000).alias("corpus"), "turn", record.alias("record"))
+    arrays = joined_text(records, ["corpus", "turn"], "conv_id", "record", ",\n", "body")
+    arrays.select("corpus", "turn", F.concat(F.lit("[\n"), "body", F.lit("\n]")).alias("value")).write.partitionBy("corpus", "turn").text(path)
+    return readers.read_qa(spark, f"{path}/*/*").select("question", "answer")
 
 
 @query("column_json", f"WITH {COLUMNS} SELECT table_name, column_name, data_type, description, usage FROM coldesc")
@@ -387,11 +390,10 @@ def column_json(spark, sf_dir):
     return readers.read_column_descriptions(spark, path).drop("ordinal")
 
 
-@query("csv_download", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("csv_download", "SELECT * FROM orders")
 def csv_download(spark, sf_dir):
     path = shared_folder(spark, "csv")
-    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
-    result = inputs.table(spark, sf_dir, "orders").select(*columns)
+    result = inputs.table(spark, sf_dir, "orders")
     sinks.write_csv(result, path)
     return spark.read.schema(result.schema).option("header", True).csv(path)
 
