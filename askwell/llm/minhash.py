@@ -288,8 +288,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = first.unionByName(across(docs, open_rows, words, percent)) if open_rows.take(1) else first
 
     same_id = copies.where("a <> b")
-    merged = components(links.unionByName(same_id)) if same_id.groupBy("b").count().where("count > 1").take(1) else None
-    if merged is not None:  # rows of one id with different texts join the classes of both
+    if copies.distinct().groupBy("b").count().where("count > 1").take(1):  # rows of one id with different texts join the classes of both
+        merged = components(links.unionByName(same_id))
         final = rows.select("doc_id", "n_shingles").join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     else:
         of_class = classes.select("digest", "rep").join(components(links).withColumnRenamed("id", "rep"), "rep", "left")

@@ -127,6 +127,13 @@ def test_near_duplicates_of_borderline_families(spark):
         assert got == brute_components(texts, k, 80)
 
 
+def test_rows_of_one_id_join_their_classes(spark):
+    x, y, z = ("one text of some words here", "another text of quite other words", "a third one that is alone here")
+    docs = spark.createDataFrame([(0, y), (1, x), (1, y), (2, x), (3, z)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, 2, 80).collect()}
+    assert got == {(0, 0, True), (1, 0, False), (2, 0, False), (3, 3, True)}
+
+
 def test_sketch_fills_every_bin_and_estimates():
     random_bits = np.random.default_rng(2)
     for n in (1, 2, 7, 1000):
