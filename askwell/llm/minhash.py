@@ -162,8 +162,8 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` of every node of the edges ``a, b``: the smallest id reachable.
 
-    Large-star and small-star steps (Kiveris and others, 2014) in turn, with minima from aggregates, until nothing
-    changes. No node's neighbours are gathered; each round is a table in the shared folder.
+    Large-star and small-star steps (Kiveris and others, 2014) in turn, with minima from aggregates, until all are
+    stars. No node's neighbours are gathered; each round is a table in the shared folder.
     """
     def stars(pairs: DataFrame, large: bool) -> DataFrame:
         ways = pairs.select("a", "b")
@@ -175,18 +175,16 @@ def components(edges: DataFrame) -> DataFrame:
         out = kept.select(F.col("b").alias("a"), F.col("m").alias("b"))
         return out if large else out.unionByName(least.select("a", F.col("m").alias("b")))
 
-    def state(pairs: DataFrame):
-        return pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    def settled(pairs: DataFrame) -> bool:
+        """Whether every node hangs on one root, and no root on another."""
+        ways = pairs.select(F.col("a").alias("id"), F.lit(1).alias("up")).unionByName(pairs.select(F.col("b").alias("id"), F.lit(0).alias("up")).distinct())
+        return not ways.groupBy("id").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).where("ups > 1 OR ups = 1 AND n > 1").take(1)
 
     down = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     now = written(edges.where("a <> b").select(*down).distinct(), "edges")
-    was = state(now)
-    while was[0]:
+    while not settled(now):
         spread = stars(now, True).where("a <> b").select(*down).distinct()
         now = written(stars(spread, False).where("a <> b").select(*down).distinct(), "edges")
-        if (found := state(now)) == was:
-            break
-        was = found
     roots = now.select(F.col("b").alias("id")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 
@@ -279,7 +277,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     first = verified(docs, star, words, percent)
     copies = rows.where("doc_id IS NOT NULL").join(classes.select("digest", "rep"), "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     first = written(first, "links")
-    labels = components(first)
+    # near enough for the next step: the smallest leader linked, and the smallest linked to that one
+    up = first.groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("up"))
+    above = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+    labels = up.join(above, "up", "left").select("id", F.coalesce("top", "up").alias("component"))
 
     held = shared.where("n > 2").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     held = held.select("key", "rep", F.coalesce("component", "rep").alias("component"))
