@@ -71,12 +71,10 @@ def resolved(records: DataFrame) -> DataFrame:
     here = Window.partitionBy("part", "url_key").orderBy("ts", "full", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ranged.withColumn("near", F.last(F.when(F.col("full") == 1, response), ignorenulls=True).over(here)).where("full = 0")
 
-    # urls in more than one range: at most one for each boundary between ranges
-    split = ranged.groupBy("url_key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("url_key")
-    ends = ranged.where("full = 1").join(split, "url_key").groupBy("url_key", "part").agg(F.max_by(response, F.struct("ts", "record_id")).alias("end"))
-    places = ranged.join(split, "url_key").select("url_key", "part").distinct().join(ends, ["url_key", "part"], "left")
+    # one row for each url and range; a url has more than one only where a boundary between ranges cuts it
+    ends = ranged.groupBy("url_key", "part").agg(F.max_by(response, F.when(F.col("full") == 1, F.struct("ts", "record_id"))).alias("end"))
     earlier = Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = places.select("url_key", "part", F.last("end", ignorenulls=True).over(earlier).alias("far"))
+    carried = ends.select("url_key", "part", F.last("end", ignorenulls=True).over(earlier).alias("far")).where("far IS NOT NULL")
 
     found = before.join(carried, ["url_key", "part"], "left").select("record_id", "url_key", "headers", F.coalesce("near", "far").alias("of"))
     lost = kept.where("full = 0 AND (url_key IS NULL OR ts IS NULL)").select("record_id", "url_key", "headers", F.lit(None).cast(found.schema["of"].dataType).alias("of"))
