@@ -26,18 +26,28 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 MASK = np.uint64((1 << BITS) - 1)
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of each word one after the other, and their number: the word itself first, then its character n-grams
-    with ``<`` and ``>`` at its ends."""
-    out, sizes = [], []
-    for word in words:
-        marked = f"<{word}>"
-        # a word of any length gives one feature for each place and length
-        found = [marked, *(marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1))]
-        out.extend(found)
-        sizes.append(len(found))
-    hashes = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in out], dtype=np.uint64)
-    return (mix(hashes) & MASK).astype(np.int64), np.array(sizes, dtype=np.int64)
+def word_features(words: list[str], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows of each word one after the other, and their number: the word itself (by its hash) first, then its
+    character n-grams with ``<`` and ``>`` at its ends."""
+    points = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.array([len(w) for w in words], dtype=np.int64) + 2
+    word = np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(points)) - (np.cumsum(lengths) - lengths)[word]
+    counts = {n: np.maximum(lengths - n + 1, 0) for n in range(SHORTEST, LONGEST + 1)}
+    sizes = 1 + sum(counts.values())
+    begin = np.cumsum(sizes) - sizes
+    rows = np.empty(int(sizes.sum()), dtype=np.int32)
+    rows[begin] = hashes & MASK
+    begin = begin + 1
+    with np.errstate(over="ignore"):
+        for n, count in counts.items():
+            inside = np.flatnonzero(place + n <= lengths[word])
+            folded = points[inside] + np.uint64(n)
+            for j in range(1, n):
+                folded = folded * STEP + points[inside + j]
+            rows[(begin[word] + place)[inside]] = mix(folded) & MASK
+            begin = begin + count
+    return rows, sizes
 
 
 class Features:
@@ -59,11 +69,12 @@ class Features:
         rows = [list(map(lookup, text.replace("\n", " \n ").split(" "))) if text else [] for text in texts]
         if self.codes.new:
             words = self.codes.fresh()
-            rows_new, sizes = word_features(words)
+            hashes = mix(np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64))
+            new_rows, sizes = word_features(words, hashes)
             self.starts = np.concatenate([self.starts, len(self.rows) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.rows = np.concatenate([self.rows, rows_new.astype(np.int32)])
-            self.hashes = np.concatenate([self.hashes, mix(np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64))])
+            self.rows = np.concatenate([self.rows, new_rows])
+            self.hashes = np.concatenate([self.hashes, hashes])
         counts = np.array([len(r) for r in rows], dtype=np.int64)
         return np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum())), counts
 
