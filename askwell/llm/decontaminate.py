@@ -2,16 +2,20 @@
 
 A text becomes a sequence of template tokens: words in lower case, and typed placeholders for numbers, for units after a
 number and for names (capitalised words inside a sentence). Windows of ``window`` template tokens of the benchmark
-are hashed and joined to those of the documents. For each window found, the values in its slots are compared: one
-value of the item must stand for one value of the document throughout, so a question with other numbers or names is
-caught, and a chance agreement of templates with slots filled at random is not.
+are hashed and joined to those of the documents. A capitalised word is a name or not by what stands before it, so windows
+with names as plain words are hashed too, and a word that begins a sentence of the benchmark is read both ways: a copy is
+found after ``Question:``, in lower case and without punctuation.
+
+For each window found, the values in its slots are compared: one value of the item must stand for one value of the document
+throughout, so a question with other numbers or names is caught, and a chance agreement of templates with slots filled at
+random is not.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,7 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 BLOOM_BITS = 24
 #: Contaminated ids up to so many are sent to all tasks (16 MB); beyond, documents are shuffled.
 MOST_SENT = 1_000_000
-HITS = "at bigint, hash bigint, tokens array<string>, slots array<string>"
+HITS = "at bigint, hash bigint, strong boolean, tokens array<string>, slots array<string>"
 
 
 def kind_of(token: str) -> int:
@@ -76,8 +80,8 @@ class Templates:
         self.kinds = np.concatenate([self.kinds, np.array([kind_of(t) for t in tokens], dtype=np.int8)])
 
     def __call__(self, texts: list[str | None]):
-        """Of all texts' tokens: text number, place in the text, kind, hash, value number. A sentence or a line begins
-        without a name; a unit is one after a number only."""
+        """Of all texts' tokens: text number, place in the text, kind, value number, and whether it is a capitalised word that begins a sentence. A
+        sentence or a line begins without a name; a unit is one after a number only."""
         if len(self.codes) > MOST_WORDS:
             self.forget()
         lookup = self.codes.__getitem__
@@ -92,35 +96,72 @@ class Templates:
         first = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, dtype=bool)
         before = np.r_[np.int8(STOP), kind[:-1]] if len(doc) else kind
         before = np.where(first, STOP, before)
-        kind = np.where((kind == UNIT) & (before != NUMBER), WORD, np.where((kind == NAME) & (before == STOP), WORD, kind))
+        begins = (kind == NAME) & (before == STOP)
+        kind = np.where(((kind == UNIT) & (before != NUMBER)) | begins, WORD, kind)
         real = kind != STOP
-        doc, token, kind = doc[real], token[real], kind[real]
-        hashed = np.where(kind == WORD, self.hashes[token], self.placeholders[kind])
-        begins = np.searchsorted(doc, np.arange(len(rows)))
-        return doc, np.arange(len(doc)) - begins[doc], kind, hashed, token
-
-    def windows(self, texts: list[str | None], maybe=None) -> list[tuple]:
-        """``(text number, place, hash, template, values)`` of the windows with enough words that ``maybe`` lets through."""
-        doc, place, kind, hashed, token = self(texts)
-        n = len(doc) - self.window + 1
-        if n <= 0:
-            return []
+        doc, token, kind, begins = doc[real], token[real], kind[real], begins[real]
+        starts = np.searchsorted(doc, np.arange(len(rows)))
+        return doc, np.arange(len(doc)) - starts[doc], kind, token, begins
+
+    @staticmethod
+    def folded(first: np.ndarray, rest: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+        """Hashes of the stretches of each size, along the last axis; ``first`` hashes a stretch's first token, ``rest`` its others."""
+        n, out = first.shape[-1], {}
         with np.errstate(over="ignore"):
-            folded = mix(hashed[:n] + STEP)
-            for j in range(1, self.window):
-                folded = mix(folded * STEP + hashed[j : n + j])
-        words = np.r_[0, np.cumsum(kind == WORD)]
-        fit = (doc[:n] == doc[self.window - 1 :]) & (words[self.window :] - words[:n] >= min(LEAST_WORDS, self.window))
-        chosen = np.flatnonzero(fit)
-        if maybe is not None:
-            chosen = chosen[maybe(folded[chosen])]
+            hashed = mix(first + STEP)
+            for j in range(1, min(max(sizes, default=0), n) + 1):
+                if j in sizes:
+                    out[j] = hashed
+                if j < n:
+                    hashed = mix(hashed[..., : n - j] * STEP + rest[..., j:])
+        return out
+
+    def windows(self, texts: list[str | None], sizes: list[int] | None = None, maybe=None) -> list[tuple]:
+        """``(text number, place, hash, strong, template, values)`` of the windows of these sizes that ``maybe`` lets through.
+
+        Without sizes the texts are items: words that begin sentences are read as names, too. ``strong`` windows have enough words beside all placeholders.
+        """
+        doc, place, kind, token, begins = self(texts)
+        of_items = sizes is None
+        sizes = [self.window] if of_items else sizes
+        least = min(LEAST_WORDS, self.window)
+        raw = self.hashes[token]
+        plain = np.where(kind == NUMBER, self.placeholders[NUMBER], raw)
+        template = np.where(kind == WORD, raw, self.placeholders[np.minimum(kind, NAME)])
+        kinds = [self.folded(plain, plain, sizes), self.folded(template, template, sizes)]
+        counted = [np.r_[0, np.cumsum(x)] for x in (kind == WORD, kind == NUMBER, (kind == UNIT) | (kind == NAME))]
         out = []
-        for i in chosen.tolist():
-            values = [self.values[t] for t in token[i : i + self.window].tolist()]
-            tokens = [PLACEHOLDERS[k] or v for k, v in zip(kind[i : i + self.window].tolist(), values)]
-            out.append((int(doc[i]), int(place[i]), int(folded[i : i + 1].view(np.int64)[0]), tokens, values))
+        for size in sizes:
+            n = len(doc) - size + 1
+            if n <= 0:
+                continue
+            inside = doc[:n] == doc[size - 1 :]
+            n_words, n_numbers, n_others = (c[size:] - c[:-size] for c in counted)
+            few, strong = size - n_numbers < least, n_words >= least
+            for how, fit in enumerate((inside & ~few, inside & strong & (n_others > 0))):
+                chosen, hashed = np.flatnonzero(fit), kinds[how][size]
+                if maybe is not None:
+                    chosen = chosen[maybe(hashed[chosen])]
+                for i in chosen.tolist():
+                    values = [self.values[t] for t in token[i : i + size].tolist()]
+                    tokens = [PLACEHOLDERS[k] if k == NUMBER or how == 1 and k != WORD else v for k, v in zip(kind[i : i + size].tolist(), values)]
+                    out.append((int(doc[i]), int(place[i]), int(hashed[i : i + 1].view(np.int64)[0]), bool(strong[i]), tokens, values))
+            if of_items:
+                for i in np.flatnonzero(inside & strong).tolist():
+                    out.extend(self.read_as_names(i, size, doc, place, kind, token, begins, template, int(n_words[i]) - least))
         return out
 
+    def read_as_names(self, i: int, size: int, doc, place, kind, token, begins, template, most: int) -> Iterator[tuple]:
+        """The window at ``i`` with up to ``most`` of the words that begin sentences read as names."""
+        at = np.flatnonzero(begins[i : i + size]).tolist()
+        values = [self.values[t] for t in token[i : i + size].tolist()]
+        for read in chain.from_iterable(combinations(at, k) for k in range(1, min(len(at), most) + 1)):
+            hashed, tokens = template[i : i + size].copy(), [PLACEHOLDERS[k] or v for k, v in zip(kind[i : i + size].tolist(), values)]
+            hashed[list(read)] = self.placeholders[NAME]
+            for j in read:
+                tokens[j] = PLACEHOLDERS[NAME]
+            yield int(doc[i]), int(place[i]), int(self.folded(hashed, hashed, [size])[size].view(np.int64)[0]), True, tokens, values
+
 
 class Sieve:
     """A Bloom filter of a fixed number of bits: two stretches of a hash are its places. Its size does not grow with the
@@ -148,20 +189,20 @@ class Sieve:
         return maybe
 
 
-def found_windows(rows: DataFrame, key: str, window: int, maybe: Sieve | None = None) -> DataFrame:
-    """``key, at, hash, tokens, slots`` of the windows of ``rows``' texts."""
+def found_windows(rows: DataFrame, key: str, window: int, sizes: list[int] | None = None, maybe: Sieve | None = None) -> DataFrame:
+    """``key, at, hash, strong, tokens, slots`` of the windows of ``rows``' texts; without sizes, those of items."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(window)
         for batch in batches:
             done, keys = 0, batch.column(key)
             for part in cut(batch.column("text")):
-                out = templates.windows(part.to_pylist(), maybe)
-                which, at, hashed, tokens, slots = zip(*out) if out else ([],) * 5
+                out = templates.windows(part.to_pylist(), sizes, maybe)
+                which, at, hashed, strong, tokens, slots = zip(*out) if out else ([],) * 6
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(done, len(part)).take(pa.array(which, pa.int64())), pa.array(at, pa.int64()), pa.array(hashed, pa.int64()),
+                    [keys.slice(done, len(part)).take(pa.array(which, pa.int64())), pa.array(at, pa.int64()), pa.array(hashed, pa.int64()), pa.array(strong, pa.bool_()),
                      pa.array(tokens, pa.list_(pa.string())), pa.array(slots, pa.list_(pa.string()))],
-                    [key, "at", "hash", "tokens", "slots"],
+                    [key, "at", "hash", "strong", "tokens", "slots"],
                 )
                 done += len(part)
 
@@ -172,25 +213,29 @@ def found_windows(rows: DataFrame, key: str, window: int, maybe: Sieve | None =
 def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_windows: int = 6) -> DataFrame:
     """``doc_id, item_id, at, n_windows, exact``: benchmark passages in documents, one row for each occurrence.
 
-    An occurrence is a stretch of ``least_windows`` windows (13 tokens), or all windows of a shorter item, in the same
-    alignment, whose slots agree one to one. ``at`` is the document's token where it begins; ``exact`` says that all values are
-    the item's own. Null texts have none, nor have items of fewer tokens than a window. Repeated items each count; rows of
-    one id are searched each and reported under that id. Empty tables give no row; other columns are not looked at.
+    An occurrence is ``least_windows`` windows (13 tokens where they are neighbours) in the same alignment, or all strong
+    windows, or all windows, of a shorter item. Slots must agree one to one. ``at`` is the document's token where it begins; ``exact`` says that all values are the item's own. Null texts have
+    none, nor have items of fewer tokens than a window. Repeated items each count; rows of one id are searched each and reported under that id.
+    Empty tables give no row; other columns are not looked at.
     """
     items = written(found_windows(benchmark.where("text IS NOT NULL"), "item_id", window), "items")
-    sizes = items.groupBy("item_id").agg(F.count_distinct("at").alias("of_item"))
-    hits = written(found_windows(docs.where("text IS NOT NULL"), "doc_id", window, Sieve.of(items)), "hits")
-    ours = items.select("item_id", F.col("at").alias("item_at"), "hash", F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"))
+    places = lambda *of: F.size(F.collect_set(F.when(F.expr(" AND ".join(of) or "true"), F.col("at"))))
+    sizes = items.groupBy("item_id").agg(places().alias("of_item"), places("strong").alias("of_strong"))
+    lengths = sorted(r["n"] for r in items.select(F.size("tokens").alias("n")).distinct().collect())  # window at most
+    hits = written(found_windows(docs.where("text IS NOT NULL"), "doc_id", window, lengths, Sieve.of(items)).drop("strong"), "hits")
+    ours = items.select("item_id", F.col("at").alias("item_at"), "hash", "strong", F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"))
     same = hits.join(ours, (hits["hash"] == ours["hash"]) & (F.col("tokens") == F.col("item_tokens")))
     pairs = F.filter(F.arrays_zip(F.col("tokens").alias("t"), F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["t"].isin(*PLACEHOLDERS[1:]))
-    lined = same.select("doc_id", "item_id", "at", (F.col("at") - F.col("item_at")).alias("shift"), F.transform(pairs, lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d"))).alias("pairs"))
+    lined = same.select("doc_id", "item_id", "at", "strong", (F.col("at") - F.col("item_at")).alias("shift"), F.transform(pairs, lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d"))).alias("pairs"))
     whole = lined.groupBy("doc_id", "item_id", "shift").agg(
-        F.min("at").alias("at"), F.count_distinct("at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.min("at").alias("at"), places().alias("n_windows"), places("strong").alias("n_strong"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     one_to_one = lambda side: F.size(F.array_distinct(F.col(f"pairs.{side}"))) == F.size("pairs")
-    long_enough = F.col("n_windows") >= F.least(F.lit(least_windows), F.col("of_item"))
+    enough = lambda n, of: (F.col(of) > 0) & (F.col(n) >= F.least(F.lit(least_windows), F.col(of)))
+    long_enough = enough("n_strong", "of_strong") | enough("n_windows", "of_item")
     return whole.join(sizes, "item_id").where(long_enough & one_to_one("i") & one_to_one("d")).select(
-        "doc_id", "item_id", "at", "n_windows", F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact")
+        "doc_id", "item_id", "at", F.col("n_windows").cast("bigint").alias("n_windows"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact")
     )
 
 

@@ -161,6 +161,19 @@ def test_benchmark_items_in_documents(spark):
     assert got == {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in rows if i["text"] in d["text"]}
 
 
+def contaminated(spark, items, docs):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    return {(r["doc_id"], r["item_id"], r["exact"]) for r in decontaminate.contaminations(docs, items).collect()}
+
+
+def test_short_items_are_found_in_other_surroundings(spark):
+    items = ["Which planet in our solar system has the most moons?", "The old river near Paris runs through nine big towns. It ends there."]
+    copies = [[f"Question: {x} Answer:", x.lower(), re.sub(r"[.?]", "", f"so {x}"), x.title()] for x in items]
+    got = contaminated(spark, items, [c for x in copies for c in x] + ["Which planet of our solar system has the least moons?"])
+    assert got == {(4 * i + j, i, True) for i in range(2) for j in range(4)}
+
+
 def plain_spans(text):
     """The patterns as the contract gives them, matches that are too short dropped afterwards."""
     kinds = (
