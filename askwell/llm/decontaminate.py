@@ -4,7 +4,8 @@ A text becomes a sequence of template tokens: words in lower case, and typed pla
 number and for names (capitalised words inside a sentence). Windows of ``window`` template tokens of the benchmark
 are hashed and joined to those of the documents. A capitalised word is a name or not by what stands before it, so windows
 with names as plain words are hashed too, and a word that begins a sentence of the benchmark is read both ways: a copy is
-found after ``Question:``, in lower case and without punctuation.
+found after ``Question:``, in lower case and without punctuation. Windows of few words are hashed by their real values; an
+item shorter than a window is one window as long as itself.
 
 For each window found, the values in its slots are compared: one value of the item must stand for one value of the document
 throughout, so a question with other numbers or names is caught, and a chance agreement of templates with slots filled at
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from askwell.llm.common import Codes, cut, mix, ragged, written
 
 WINDOW = 8
-#: A window must have so many words that are no placeholders.
+#: A window with fewer words that are no placeholders is compared by its real values.
 LEAST_WORDS = 4
 MOST_WORDS = 250_000
 #: Units that follow a number.
@@ -35,8 +36,9 @@ UNITS = frozenset(
     "min mins minute minutes h hr hrs hour hours day days week weeks month months year years % percent dollar dollars euro euros "
     "cent cents usd eur gbp mph kmh degree degrees celsius fahrenheit kw kwh watt watts volt volts gb mb kb hz khz mhz ghz".split()
 )
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|%|[.!?]")
-WORD, NUMBER, UNIT, NAME, STOP = range(5)
+TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|%|[.!?]|[-+*/=<>^×÷−]")
+SIGNS = "-+*/=<>^×÷−"
+WORD, NUMBER, UNIT, NAME, STOP, SIGN = range(6)
 PLACEHOLDERS = ("", "<number>", "<unit>", "<name>")
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BLOOM_BITS = 24
@@ -48,6 +50,8 @@ HITS = "at bigint, hash bigint, strong boolean, tokens array<string>, slots arra
 def kind_of(token: str) -> int:
     if token in ".!?":
         return STOP
+    if token in SIGNS:
+        return SIGN
     if token[0].isdigit():
         return NUMBER
     if token.lower() in UNITS:
@@ -80,7 +84,8 @@ class Templates:
         self.kinds = np.concatenate([self.kinds, np.array([kind_of(t) for t in tokens], dtype=np.int8)])
 
     def __call__(self, texts: list[str | None]):
-        """Of all texts' tokens: text number, place in the text, kind, value number, and whether it is a capitalised word that begins a sentence. A
+        """Of all texts' tokens: text number, place in the text, kind, value number, value number of the sign before a token
+        where one of its neighbours is a number (-1: none), and whether it is a capitalised word that begins a sentence. A
         sentence or a line begins without a name; a unit is one after a number only."""
         if len(self.codes) > MOST_WORDS:
             self.forget()
@@ -93,15 +98,21 @@ class Templates:
         token = ragged(self.starts[codes], lengths)
         doc = np.repeat(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), lengths)
         kind = self.kinds[token]
+        sign = np.full(len(doc), -1)
+        after = np.flatnonzero((kind[:-1] == SIGN) & (doc[1:] == doc[:-1])) + 1
+        sign[after] = token[after - 1]
+        real = kind != SIGN
+        doc, token, kind, sign = doc[real], token[real], kind[real], sign[real]
         first = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, dtype=bool)
         before = np.r_[np.int8(STOP), kind[:-1]] if len(doc) else kind
         before = np.where(first, STOP, before)
+        sign[(kind != NUMBER) & (before != NUMBER)] = -1
         begins = (kind == NAME) & (before == STOP)
         kind = np.where(((kind == UNIT) & (before != NUMBER)) | begins, WORD, kind)
         real = kind != STOP
-        doc, token, kind, begins = doc[real], token[real], kind[real], begins[real]
+        doc, token, kind, sign, begins = doc[real], token[real], kind[real], sign[real], begins[real]
         starts = np.searchsorted(doc, np.arange(len(rows)))
-        return doc, np.arange(len(doc)) - starts[doc], kind, token, begins
+        return doc, np.arange(len(doc)) - starts[doc], kind, token, sign, begins
 
     @staticmethod
     def folded(first: np.ndarray, rest: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
@@ -119,16 +130,20 @@ class Templates:
     def windows(self, texts: list[str | None], sizes: list[int] | None = None, maybe=None) -> list[tuple]:
         """``(text number, place, hash, strong, template, values)`` of the windows of these sizes that ``maybe`` lets through.
 
-        Without sizes the texts are items: words that begin sentences are read as names, too. ``strong`` windows have enough words beside all placeholders.
+        Without sizes the texts are items: windows are as long as the item where it is shorter, and words that begin
+        sentences are read as names, too. ``strong`` windows have enough words beside all placeholders.
         """
-        doc, place, kind, token, begins = self(texts)
+        doc, place, kind, token, sign, begins = self(texts)
+        whole = np.minimum(np.bincount(doc, minlength=len(texts)), self.window)
         of_items = sizes is None
-        sizes = [self.window] if of_items else sizes
+        sizes = sorted(set(whole.tolist()) - {0}) if of_items else sizes
         least = min(LEAST_WORDS, self.window)
         raw = self.hashes[token]
         plain = np.where(kind == NUMBER, self.placeholders[NUMBER], raw)
         template = np.where(kind == WORD, raw, self.placeholders[np.minimum(kind, NAME)])
-        kinds = [self.folded(plain, plain, sizes), self.folded(template, template, sizes)]
+        with np.errstate(over="ignore"):
+            signed = np.where(sign < 0, raw, mix(raw * STEP + self.hashes[sign])) if (sign >= 0).any() else raw
+        kinds = [self.folded(raw, signed, sizes), self.folded(plain, plain, sizes), self.folded(template, template, sizes)]
         counted = [np.r_[0, np.cumsum(x)] for x in (kind == WORD, kind == NUMBER, (kind == UNIT) | (kind == NAME))]
         out = []
         for size in sizes:
@@ -136,15 +151,21 @@ class Templates:
             if n <= 0:
                 continue
             inside = doc[:n] == doc[size - 1 :]
+            if of_items:
+                inside &= whole[doc[:n]] == size
             n_words, n_numbers, n_others = (c[size:] - c[:-size] for c in counted)
             few, strong = size - n_numbers < least, n_words >= least
-            for how, fit in enumerate((inside & ~few, inside & strong & (n_others > 0))):
+            for how, fit in enumerate((inside & few, inside & ~few, inside & strong & (n_others > 0))):
                 chosen, hashed = np.flatnonzero(fit), kinds[how][size]
                 if maybe is not None:
                     chosen = chosen[maybe(hashed[chosen])]
                 for i in chosen.tolist():
                     values = [self.values[t] for t in token[i : i + size].tolist()]
-                    tokens = [PLACEHOLDERS[k] if k == NUMBER or how == 1 and k != WORD else v for k, v in zip(kind[i : i + size].tolist(), values)]
+                    if how == 0:
+                        signs = ["" if t < 0 or not j else self.values[t] for j, t in enumerate(sign[i : i + size].tolist())]
+                        tokens = [x + v for x, v in zip(signs, values)]
+                    else:
+                        tokens = [PLACEHOLDERS[k] if k == NUMBER or how == 2 and k != WORD else v for k, v in zip(kind[i : i + size].tolist(), values)]
                     out.append((int(doc[i]), int(place[i]), int(hashed[i : i + 1].view(np.int64)[0]), bool(strong[i]), tokens, values))
             if of_items:
                 for i in np.flatnonzero(inside & strong).tolist():
@@ -214,8 +235,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """``doc_id, item_id, at, n_windows, exact``: benchmark passages in documents, one row for each occurrence.
 
     An occurrence is ``least_windows`` windows (13 tokens where they are neighbours) in the same alignment, or all strong
-    windows, or all windows, of a shorter item. Slots must agree one to one. ``at`` is the document's token where it begins; ``exact`` says that all values are the item's own. Null texts have
-    none, nor have items of fewer tokens than a window. Repeated items each count; rows of one id are searched each and reported under that id.
+    windows, or all windows, of a shorter item. Slots must agree one to one. ``at`` is the document's token where it begins; ``exact`` says that all values are the item's own. Texts that are null
+    or without a token have none. Repeated items each count; rows of one id are searched each and reported under that id.
     Empty tables give no row; other columns are not looked at.
     """
     items = written(found_windows(benchmark.where("text IS NOT NULL"), "item_id", window), "items")

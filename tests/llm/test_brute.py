@@ -174,6 +174,12 @@ def test_short_items_are_found_in_other_surroundings(spark):
     assert got == {(4 * i + j, i, True) for i in range(2) for j in range(4)}
 
 
+def test_items_of_few_tokens_or_few_words(spark):
+    items = ["What is the capital of France?", "12 + 45 * 3 - 7 = ?", "Anna Bell, Carl Dorn, Eva Frank, Gil Hart, Ida Jung", " ".join(map(str, range(100, 130)))]
+    got = contaminated(spark, items, [f"Some words. Question: {x} And more." for x in items] + ["We had 12 - 45 + 3 * 7 of it", "1 12 45 3 8", "the capital of France"])
+    assert got == {(i, i, True) for i in range(4)}
+
+
 def plain_spans(text):
     """The patterns as the contract gives them, matches that are too short dropped afterwards."""
     kinds = (
