@@ -7,9 +7,10 @@ with names as plain words are hashed too, and a word that begins a sentence of t
 found after ``Question:``, in lower case and without punctuation. Windows of few words are hashed by their real values; an
 item shorter than a window is one window as long as itself.
 
-For each window found, the values in its slots are compared: one value of the item must stand for one value of the document
-throughout, so a question with other numbers or names is caught, and a chance agreement of templates with slots filled at
-random is not.
+For each window found, the values in its slots are compared. Numbers and units are free, as equal ones may stand for different
+things; one name of the item must stand for one name of the document throughout, so a question with other numbers or names
+is caught, and a chance agreement of templates with names filled in at random is not. Windows whose values are all the item's
+own count whatever the others hold.
 """
 
 from __future__ import annotations
@@ -235,7 +236,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """``doc_id, item_id, at, n_windows, exact``: benchmark passages in documents, one row for each occurrence.
 
     An occurrence is ``least_windows`` windows (13 tokens where they are neighbours) in the same alignment, or all strong
-    windows, or all windows, of a shorter item. Slots must agree one to one. ``at`` is the document's token where it begins; ``exact`` says that all values are the item's own. Texts that are null
+    windows, or all windows, of a shorter item. Names must agree one to one, or so many windows hold the item's own values.
+    ``at`` is the document's token where it begins; ``exact`` says that all values are the item's own. Texts that are null
     or without a token have none. Repeated items each count; rows of one id are searched each and reported under that id.
     Empty tables give no row; other columns are not looked at.
     """
@@ -247,16 +249,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     ours = items.select("item_id", F.col("at").alias("item_at"), "hash", "strong", F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"))
     same = hits.join(ours, (hits["hash"] == ours["hash"]) & (F.col("tokens") == F.col("item_tokens")))
     pairs = F.filter(F.arrays_zip(F.col("tokens").alias("t"), F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["t"].isin(*PLACEHOLDERS[1:]))
-    lined = same.select("doc_id", "item_id", "at", "strong", (F.col("at") - F.col("item_at")).alias("shift"), F.transform(pairs, lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d"))).alias("pairs"))
-    whole = lined.groupBy("doc_id", "item_id", "shift").agg(
-        F.min("at").alias("at"), places().alias("n_windows"), places("strong").alias("n_strong"),
-        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+    lined = same.select("doc_id", "item_id", "at", "strong", (F.col("at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
+    own = lambda c: F.forall(c, lambda p: p["i"] == p["d"])
+    whole = lined.withColumn("own", own("pairs")).groupBy("doc_id", "item_id", "shift").agg(
+        F.min("at").alias("at"), places().alias("n_windows"), places("strong").alias("n_strong"), places("own").alias("n_own"),
+        places("strong", "own").alias("n_strong_own"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
-    one_to_one = lambda side: F.size(F.array_distinct(F.col(f"pairs.{side}"))) == F.size("pairs")
+    whole = whole.withColumn("names", F.filter("pairs", lambda p: p["t"] == PLACEHOLDERS[NAME]))
+    one_to_one = lambda side: F.size(F.array_distinct(F.col(f"names.{side}"))) == F.size("names")
     enough = lambda n, of: (F.col(of) > 0) & (F.col(n) >= F.least(F.lit(least_windows), F.col(of)))
     long_enough = enough("n_strong", "of_strong") | enough("n_windows", "of_item")
-    return whole.join(sizes, "item_id").where(long_enough & one_to_one("i") & one_to_one("d")).select(
-        "doc_id", "item_id", "at", F.col("n_windows").cast("bigint").alias("n_windows"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact")
+    all_own = enough("n_strong_own", "of_strong") | enough("n_own", "of_item")
+    return whole.join(sizes, "item_id").where(long_enough & (all_own | (one_to_one("i") & one_to_one("d")))).select(
+        "doc_id", "item_id", "at", F.col("n_windows").cast("bigint").alias("n_windows"), own("pairs").alias("exact")
     )
 
 

@@ -180,6 +180,15 @@ def test_items_of_few_tokens_or_few_words(spark):
     assert got == {(i, i, True) for i in range(4)}
 
 
+def test_changed_numbers_need_not_agree(spark):
+    items = ["Tom has 5 apples and 3 pears in his basket and eats one of them each day", "If 2 trains need 2 hours for the whole way how long do they need for half"]
+    long = "There are 7 days and 7 nights of which " + " ".join(f"{w} {v}" for w in ("red", "blue", "old", "new", "big") for v in ("house", "garden", "road", "river", "town"))
+    docs = ["Tom has 4 apples and 4 pears in his basket and eats one of them each day", "If 3 trains need 5 hours for the whole way how long do they need for half", long.replace("7 nights", "8 nights")]
+    assert contaminated(spark, [*items, long], docs) == {(0, 0, False), (1, 1, False), (2, 2, False)}
+    item = f"{long} and then John met Mary who saw that John was there"
+    assert contaminated(spark, [item], [item.replace("that John", "that Bob")]) == {(0, 0, False)}
+
+
 def plain_spans(text):
     """The patterns as the contract gives them, matches that are too short dropped afterwards."""
     kinds = (
