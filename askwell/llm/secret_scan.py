@@ -8,6 +8,7 @@ placeholders and plain words are not.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import math
 import re
@@ -28,9 +29,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_VALUE = 12
 
-#: Contexts of the method, wider than those of the patterns, with any printable value.
+#: Contexts of the method, wider than those of the patterns, with any printable value of any length. The key begins where no
+#: letter or digit stands before it, or in camel case.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:password|passwd|passphrase|pass|pwd|pin|secret|credentials?|auth|token|api_?key|private_?key|access_?key)["']?\x20*(?::=|[:=]|\x20is\x20)\x20*(["']?)([^\s"'`<>,;]{6,256})""",
+    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:password|passwd|passphrase|pass|pwd|pin|secret|credentials?|auth|token|api_?key|private_?key|access_?key)["']?\x20*(?::=|[:=]|\x20is\x20)\x20*(["']?)([^\s"'`<>,;]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 LEAST_LOG10 = 10.0
@@ -71,46 +73,94 @@ def alphabet(text: str) -> int:
     return size + 33 * any(not (c.isascii() and c.isalnum()) for c in text) or 1
 
 
+def words_at(value: str, low: str, plain: str, i: int, ranks: dict[str, int]) -> Iterator[tuple[int, int, float, str]]:
+    """Words and the date that begin at place i."""
+    for j in range(i + 3, min(len(value), i + LONGEST_WORD) + 1):
+        for word, extra in ((low[i:j], 0.0), (plain[i:j], 0.5), (low[i:j][::-1], 0.4)):
+            if word in ranks and any(c.isalpha() for c in low[i:j]):
+                cased = 0.0 if value[i:j].islower() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 0.3 * (j - i)
+                yield i, j, math.log10(ranks[word]) + extra + cased, "word"
+                break
+    found = DATE.match(value, i)
+    if found:
+        yield i, found.end(), math.log10(130) if found.end() - i == 4 else math.log10(130 * 365), "date"
+
+
+def repeats_at(value: str, i: int, size: int) -> tuple[list[tuple[int, int, float, str]], int]:
+    """The longest run of a block of this size that begins at place i, if any, and the place to look at next."""
+    j = i + size
+    while j < len(value) and value[j] == value[j - size]:
+        j += 1
+    if j - i < max(3, 2 * size):
+        return [], i + 1
+    return [(i, j, size * math.log10(alphabet(value[i : i + size])) + math.log10((j - i) / size), "repeat")], j - size + 1
+
+
+def walks_at(value: str, low: str, i: int) -> tuple[list[tuple[int, int, float, str]], int]:
+    """Keyboard walks and runs of the alphabet or digits that begin at place i, and the place to look at next."""
+    n, out = len(value), []
+    j, turns, way = i + 1, 0, None
+    while j < n and low[j] in NEAR.get(low[j - 1], ""):
+        step = NEAR[low[j - 1]].index(low[j])
+        turns, way, j = turns + (way is not None and step != way), step, j + 1
+    if j - i >= 4:
+        out.append((i, j, math.log10(47 * (j - i)) + turns * math.log10(6), "walk"))
+    k = i + 1
+    while k < n and abs(ord(value[k]) - ord(value[k - 1])) == 1 and ord(value[k]) - ord(value[k - 1]) == ord(value[i + 1]) - ord(value[i]):
+        k += 1
+    if k - i >= 3:
+        out.append((i, k, math.log10(alphabet(value[i:k]) * (k - i)), "walk"))
+    return out, max(i + 1, max(j, k) - 1)
+
+
 def pieces(value: str, ranks: dict[str, int]) -> Iterator[tuple[int, int, float, str]]:
     """``(start, end, log10 of guesses, kind)`` of everything in the value that is easier than brute force."""
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            for word, extra in ((low[i:j], 0.0), (plain[i:j], 0.5), (low[i:j][::-1], 0.4)):
-                if word in ranks and any(c.isalpha() for c in low[i:j]):
-                    cased = 0.0 if value[i:j].islower() else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 0.3 * (j - i)
-                    yield i, j, math.log10(ranks[word]) + extra + cased, "word"
-                    break
-        found = DATE.match(value, i)
-        if found:
-            yield i, found.end(), math.log10(130) if found.end() - i == 4 else math.log10(130 * 365), "date"
+        yield from words_at(value, low, plain, i, ranks)
     for size in range(1, n // 2 + 1):  # a block and its repeats: the longest run of each block size from each place
         i = 0
         while i + 2 * size <= n:
-            j = i + size
-            while j < n and value[j] == value[j - size]:
-                j += 1
-            if j - i >= max(3, 2 * size):
-                block = value[i : i + size]
-                yield i, j, size * math.log10(alphabet(block)) + math.log10((j - i) / size), "repeat"
-                i = j - size + 1
-            else:
-                i += 1
+            found, i = repeats_at(value, i, size)
+            yield from found
     i = 0
-    while i < n - 2:  # keyboard walks and runs of the alphabet or digits
-        j, turns, way = i + 1, 0, None
-        while j < n and low[j] in NEAR.get(low[j - 1], ""):
-            step = (NEAR[low[j - 1]].index(low[j]))
-            turns, way, j = turns + (way is not None and step != way), step, j + 1
-        if j - i >= 4:
-            yield i, j, math.log10(47 * (j - i)) + turns * math.log10(6), "walk"
-        k = i + 1
-        while k < n and abs(ord(value[k]) - ord(value[k - 1])) == 1 and ord(value[k]) - ord(value[k - 1]) == ord(value[i + 1]) - ord(value[i]):
-            k += 1
-        if k - i >= 3:
-            yield i, k, math.log10(alphabet(value[i:k]) * (k - i)), "walk"
-        i = max(i + 1, max(j, k) - 1)
+    while i < n - 2:
+        found, i = walks_at(value, low, i)
+        yield from found
+
+
+def costs_at_least(value: str, ranks: dict[str, int], least_log10: float) -> bool:
+    """Whether ``guess_cost`` is ``least_log10`` or more, of values of any length.
+
+    Pieces are looked for from places that are reached for less only, as no cut gets cheaper by going on; a block of
+    ``least_log10`` characters or more costs too much by itself. So the work ends where the value has cost enough.
+    """
+    n, low = len(value), value.lower()
+    plain, per_char = low.translate(LEET), math.log10(alphabet(value))
+    looked = {size: 0 for size in range(1, min(n // 2, math.ceil(least_log10)) + 1)}
+    walked, best, todo = 0, {0: (0.0, False)}, [0]
+    while todo:
+        i = heapq.heappop(todo)
+        cost, brute = best[i]
+        if i == n:
+            return False
+        found = list(words_at(value, low, plain, i, ranks))
+        for size in looked:
+            while looked[size] <= i and looked[size] + 2 * size <= n:
+                runs, looked[size] = repeats_at(value, looked[size], size)
+                found += (r for r in runs if r[0] == i)
+        while walked <= i and walked < n - 2:
+            walks, walked = walks_at(value, low, walked)
+            found += (w for w in walks if w[0] == i)
+        ways = [(j, cost + more + (0.3 if i else 0), False) for _, j, more, _ in found]
+        for j, total, by_brute in (*ways, (i + 1, cost + per_char + (0 if brute or i == 0 else 0.3), True)):
+            old = best.get(j)
+            if total < least_log10 and (old is None or total < old[0] or by_brute and total == old[0]):
+                best[j] = total, by_brute
+                if old is None:
+                    heapq.heappush(todo, j)
+    return True
 
 
 def guess_cost(value: str, ranks: dict[str, int]) -> tuple[float, list[tuple[int, int, str]]]:
@@ -155,7 +205,7 @@ def password_spans(text: str, ranks: dict[str, int], least_log10: float) -> list
     out = []
     for m in CONTEXT.finditer(text):
         value = m[2].rstrip(".:!?)]}") if not m[1] else m[2]
-        if len(value) >= 6 and not value.isalpha() and not value.startswith(("${", "$(", "{{", "%(")) and guess_cost(value, ranks)[0] >= least_log10:
+        if len(value) >= 6 and not value.isalpha() and not value.startswith(("${", "$(", "{{", "%(")) and costs_at_least(value, ranks, least_log10):
             out.append((m.start(2), 3, m.start(2) + len(value)))
     return out
 

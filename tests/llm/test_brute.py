@@ -231,6 +231,20 @@ def test_guess_cost_is_the_cheapest_cut():
     assert spans == "password:33:43"
 
 
+def test_long_values_and_camel_case_keys():
+    ranks = secret_scan.word_ranks(secret_scan.vocabulary_path(secret_scan.WORDS))
+    pick = random.Random(7)
+    key = "".join(pick.choices("abcdefghijkXYZ0123456789-_", k=400))
+    assert secret_scan.scan(f"credential={key} and auth: {'xy1' * 5000}", ranks)["spans"] == "password:11:411"
+    for name in ("dbPassword", "userPwd", "DBPassword", "db_password"):
+        assert secret_scan.scan(f"{name} = Zr4-pPq8", ranks)["spans"] == f"password:{len(name) + 3}:{len(name) + 11}"
+    assert secret_scan.scan("compass = Zr4-pPq8", ranks)["spans"] == ""
+    for _ in range(3000):  # the bounded programme decides as the whole one does
+        value = "".join(pick.choices(["the", "1", "aaa", "2019", "Q", "qwer", "Pass", "$", "abab", "x7", "é", "drow"], k=pick.randint(1, 6)))
+        cost = secret_scan.guess_cost(value, ranks)[0]
+        assert all(secret_scan.costs_at_least(value, ranks, least) == (cost >= least) for least in (5.0, 10.0, cost))
+
+
 def test_held_out_accuracy(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     langs = {r["doc_id"]: r["lang"] for r in docs.collect()}
