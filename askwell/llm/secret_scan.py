@@ -36,6 +36,10 @@ CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 LEAST_LOG10 = 10.0
+#: Letters that stand in a sentence and are cased like a word are random if guessing them costs nearly what brute force does:
+#: words that the vocabulary lacks have parts that it holds. Nothing longer than this is a word.
+RANDOM_SHARE = 0.84
+LONGEST_PROSE = 40
 WORDS = "word_bpe_49k.json"
 #: Rows of a keyboard, along which walks go.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -199,13 +203,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+def like_a_word(value: str, ranks: dict[str, int]) -> bool:
+    """Letters only, in the case of a word, and cheaper than random ones."""
+    if not value.isalpha() or len(value) > LONGEST_PROSE or not (value.islower() or value.isupper() or value.istitle()):
+        return False
+    return guess_cost(value, ranks)[0] < RANDOM_SHARE * len(value) * math.log10(alphabet(value))
+
+
 def password_spans(text: str, ranks: dict[str, int], least_log10: float) -> list[tuple[int, int, int]]:
-    """Values in credential contexts that cost enough and have a digit or a sign, as words of prose have none; references to
-    variables are no values."""
+    """Values in credential contexts that cost enough; words of prose and references to variables are no values."""
     out = []
     for m in CONTEXT.finditer(text):
         value = m[2].rstrip(".:!?)]}") if not m[1] else m[2]
-        if len(value) >= 6 and not value.isalpha() and not value.startswith(("${", "$(", "{{", "%(")) and costs_at_least(value, ranks, least_log10):
+        if len(value) < 6 or value.startswith(("${", "$(", "{{", "%(")) or not costs_at_least(value, ranks, least_log10):
+            continue
+        in_prose = not m[1] and "=" not in text[m.start() : m.start(2)]
+        if not (in_prose and like_a_word(value, ranks)):
             out.append((m.start(2), 3, m.start(2) + len(value)))
     return out
 

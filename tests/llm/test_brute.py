@@ -245,6 +245,14 @@ def test_long_values_and_camel_case_keys():
         assert all(secret_scan.costs_at_least(value, ranks, least) == (cost >= least) for least in (5.0, 10.0, cost))
 
 
+def test_random_letters_are_secrets_and_words_are_not():
+    ranks = secret_scan.word_ranks(secret_scan.vocabulary_path(secret_scan.WORDS))
+    found = lambda text: secret_scan.password_spans(text, ranks, secret_scan.LEAST_LOG10)
+    assert found('pwd = "qZxTvBnKwLpRmD"') == [(7, 3, 21)] and found("the token is xkqzvwjpht.") == [(13, 3, 23)] and found("secret: hVkTzRwq") == [(8, 3, 16)]
+    words = "incorrect unbelievable misconfigured hexadecimal Kennwort Zugangsberechtigung obligatoire confidencial contraseña Benutzername REQUIRED"
+    assert not any(found(f"the password is {w}") or found(f"Token: {w}.") for w in words.split())
+
+
 def test_held_out_accuracy(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     langs = {r["doc_id"]: r["lang"] for r in docs.collect()}
