@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askwell.operators.corpus import merge, not_yet, one_per_id, remove, remove_kind, update
+from askwell.operators.embedding import ModelFactory, embed
 
 ATTEMPTS = 10
 
@@ -112,12 +113,15 @@ class CorpusStore:
         """With one collection emptied."""
         return self._change(lambda stored: remove_kind(stored, kind))
 
-    def update(self, changes: DataFrame) -> int:
-        """Field by field, see :func:`askwell.operators.corpus.update`. Vectors of changed texts are emptied, to be made anew."""
+    def update(self, changes: DataFrame, embedder: ModelFactory | None = None) -> int:
+        """Field by field, see :func:`askwell.operators.corpus.update`. Changed texts, and those that lack a vector, get theirs in the
+        same job, if the store keeps vectors."""
         def changed(stored: DataFrame) -> DataFrame:
             rows = update(stored, changes)
             if "embedding" in stored.columns:
-                rows = rows.withColumn("embedding", F.when(~F.col("needs_embedding"), F.col("embedding")))
+                lacking = F.col("needs_embedding") | F.col("embedding").isNull()
+                rows = embed(rows.withColumn("_text", F.when(lacking, F.col("embed_text"))), "_text", embedder, out="_made")
+                rows = rows.withColumn("embedding", F.when(lacking, F.col("_made")).otherwise(F.col("embedding")))
             return rows
 
         return self._change(changed)

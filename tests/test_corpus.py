@@ -146,6 +146,23 @@ def test_training_is_found(spark, tmp_path):
     assert all(r["question_id"] == r["id"] for r in knn(asked, stored, 1).collect())
 
 
+def test_updated_rows_are_found(spark, tmp_path):
+    from askwell.operators import training
+    from askwell.operators.embedding import embed
+    from askwell.operators.nearest import knn
+
+    store = CorpusStore(spark, f"{tmp_path}/u", schemas.CORPUS_VECTORS)
+    training.learn(store, docs(spark, "a first text", "quite another one"))
+    before = {r["id"]: r["embedding"] for r in store.read().collect()}
+    changed = docs(spark, "a first text").first()["id"]
+    store.update(spark.createDataFrame([(changed, "sales by month")], "id string, content string"))
+    stored = store.read()
+    asked = embed(spark.createDataFrame([(1, "sales by month")], "question_id int, question string"), "question", task="question")
+    assert [r["id"] for r in knn(asked, stored, 1).collect()] == [changed]
+    after = {r["id"]: r["embedding"] for r in stored.collect()}
+    assert {i for i in before if before[i] != after[i]} == {changed} and None not in after.values()
+
+
 def test_descriptions(spark, tmp_path):
     fields = "table_name string, column_name string, data_type string, description string, usage string"
     rows = spark.createDataFrame([("t", "z", "[int]", "nan", None), ("t", "a", "[text]", "d", "u"), ("gone", "x", None, "d", "u"), ("gone", "y", "int", "d", "u")], fields)
