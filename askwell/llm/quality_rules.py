@@ -93,7 +93,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``kept`` and ``rule`` (the first metric above its cutoff) of every document.
 
     Null text counts as empty, and fails. A null language or source is a group like any other. Repeated rows count each;
-    an empty table gives no row. Columns other than ``doc_id, text, lang, source`` are not looked at.
+    an empty table gives no row. In a table of fewer than ``LEAST_ROWS`` rows no group is large enough, not even everything: there
+    are no cutoffs then, the least ones of ``METRICS`` included, and only ``base_failed`` rejects. Columns other than ``doc_id, text, lang, source`` are not looked at.
     """
     rows = written(metrics(docs.select("doc_id", "text", "lang", "source")).drop("text"), "metrics")
     measured = rows.select("*", *thousandths())
