@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,22 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranges(spark, rows: int, each: int) -> int:
+    """How many ranges ``rows`` rows are dealt into, so that a task has ``each`` at most, about."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / each))
+
+
+def join_skewed(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", share: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key. A key may hold any part of ``left``: keys with more
+    than 1 / ``share`` of its rows are fewer than ``share``, and their rows of ``right`` are broadcast; the others are
+    shuffled. ``left`` is read three times, so it should be a written table."""
+    most = max(left.count() / share, 1000)
+    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("rows_of_key")).filter(F.col("rows_of_key") > most).select(*on)
+    hot = written(hot, "hot-keys")
+    in_hot = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), on, "left_semi")), on, how)
+    return in_hot.unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on, how))
+
+
 def held_out(doc_id: Column | str) -> Column:
     """Rows kept from learning: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))

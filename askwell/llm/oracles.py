@@ -105,3 +105,40 @@ merged AS (SELECT record_id, string_agg(k || ': ' || v, chr(10) ORDER BY k) AS h
 SELECT j.record_id, url_key, refers_to, outcome, CASE WHEN outcome IN ('resolved', 'unchecked') THEN headers END AS headers
 FROM judged j LEFT JOIN merged m ON m.record_id = j.record_id
 """
+
+#: Bit by bit, the checksum that says how many turns a conversation takes over from the first of its family.
+CRC32 = """xor(list_reduce([4294967295]::BIGINT[] || flatten(list_transform(string_split({0}, ''),
+        lambda ch: list_transform(range(8), lambda i: (ascii(ch)::BIGINT >> i) & 1))),
+        lambda a, b: xor(a >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295)"""
+
+OP11 = f"""
+WITH turns AS (
+    SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS t,
+           sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+    FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (
+    SELECT c, digest, strlen(t) AS bytes, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, r, digest) - 1 AS p
+    FROM turns),
+convs AS (SELECT c, {CRC32.format("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM placed)),
+both_parts AS (
+    SELECT v.c, 0 AS part, q.p, q.digest, q.bytes FROM convs v JOIN placed q ON q.c = v.c - v.c % 5 AND q.p < v.h
+    UNION ALL
+    SELECT v.c, 1, q.p, q.digest, q.bytes FROM convs v JOIN placed q ON q.c = v.c AND q.p >= v.h),
+rebuilt AS (SELECT c, digest, bytes, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d FROM both_parts),
+below AS (
+    SELECT c, d, bytes, sha256(list_aggregate(list(digest) OVER (PARTITION BY c ORDER BY d), 'string_agg', ',')) AS k FROM rebuilt
+    UNION ALL SELECT c, 0, 0, 'root' FROM convs),
+members AS (
+    SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS pk, max(d) OVER (PARTITION BY c) AS len FROM below),
+nodes AS (
+    SELECT k, d, min(pk) AS pk, min(c) AS c, count(*) AS n, max(bytes) AS bytes, (max(len) = d)::INT AS leaf,
+           sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len = d), '')) AS ends
+    FROM members GROUP BY k, d),
+totals AS (
+    SELECT m.k, sum(w.leaf) AS leaves, sum((w.n - 1) * w.bytes) AS saved
+    FROM members m JOIN nodes w ON w.c = m.c AND w.d >= m.d GROUP BY m.k),
+kids AS (SELECT pk, count(*) AS n FROM nodes WHERE pk IS NOT NULL GROUP BY pk)
+SELECT v.c AS conv_id, v.d AS depth, u.c AS parent_conv_id, v.n::BIGINT AS n_convs, coalesce(g.n, 0)::BIGINT AS n_children,
+       t.leaves::BIGINT AS n_leaves, t.saved::BIGINT AS saved_tokens, v.ends AS ends_sha256
+FROM nodes v JOIN totals t ON t.k = v.k LEFT JOIN nodes u ON u.k = v.pk LEFT JOIN kids g ON g.pk = v.k
+"""

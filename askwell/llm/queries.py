@@ -10,6 +10,7 @@ from askwell.llm.language import languages
 from askwell.llm.line_dedup import line_dedup
 from askwell.llm.minhash import near_duplicates
 from askwell.llm.packing import packed
+from askwell.llm.prefix_trie import prefix_trie
 from askwell.llm.quality_model import quality_scores
 from askwell.llm.quality_rules import quality_rules
 from askwell.llm.revisits import captures, resolved
@@ -69,3 +70,8 @@ def op10_revisits(spark, sf_dir):
     found = resolved(captures(table(spark, sf_dir, "pages")))
     lines = F.transform("headers", lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
     return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
+@query("op11_prefix_trie", oracles.OP11)
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("k1", "k2")
