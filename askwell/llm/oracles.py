@@ -1,5 +1,7 @@
 """SQL for DuckDB that gives the rows of the queries, where SQL can say it."""
 
+from askwell.llm import url_filter
+
 OP7 = r"""
 WITH docs AS (SELECT doc_id, md5(text) AS version, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 line AS (SELECT DISTINCT doc_id, version, unnest(lines) AS line, unnest(range(len(lines))) AS i, len(lines) AS n FROM docs),
@@ -142,3 +144,51 @@ SELECT v.c AS conv_id, v.d AS depth, u.c AS parent_conv_id, v.n::BIGINT AS n_con
        t.leaves::BIGINT AS n_leaves, t.saved::BIGINT AS saved_tokens, v.ends AS ends_sha256
 FROM nodes v JOIN totals t ON t.k = v.k LEFT JOIN nodes u ON u.k = v.pk LEFT JOIN kids g ON g.pk = v.k
 """
+
+#: The strength of a prior from units with n pages, bad ones and a prior mean.
+STRENGTH = """SELECT coalesce(1 / least(greatest(sum(pow(bad - n * prior, 2) - n * prior * (1 - prior))
+    / nullif(sum((n - 1) * n * prior * (1 - prior)), 0), 1 / 1001.0::DOUBLE), 1 / 2.0::DOUBLE) - 1, 1000) AS k FROM {0}"""
+NAME = r"regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*\z', '')"
+SECOND_LEVEL = "('" + "', '".join(url_filter.SECOND_LEVEL) + "')"
+
+OP13 = rf"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM pages),
+urls AS (
+    SELECT page_id, translate(regexp_extract(x, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+told AS (
+    SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
+    WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
+seen AS (
+    SELECT host, count(*) AS n, sum(bad) AS bad
+    FROM urls JOIN told ON told.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:\.html)?/?\z', 1) AS BIGINT) GROUP BY host),
+named AS (SELECT DISTINCT host, {NAME} AS name FROM urls),
+split AS (
+    SELECT host, name, regexp_extract(name, '([^.]+)\.?\z', 1) AS one, regexp_extract(name, '([^.]+\.[^.]+)\.?\z', 1) AS two,
+           regexp_extract(name, '([^.]+\.[^.]+\.[^.]+)\.?\z', 1) AS three, regexp_matches(name, '^[0-9.]+\z|^\[') AS address FROM named),
+hosts AS (
+    SELECT s.host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad,
+           CASE WHEN address OR two = '' THEN name WHEN two IN {SECOND_LEVEL} AND three <> '' THEN three ELSE two END AS domain,
+           CASE WHEN address OR one = '' THEN name WHEN two IN {SECOND_LEVEL} THEN two ELSE one END AS suffix
+    FROM split s LEFT JOIN seen ON seen.host = s.host),
+total AS (SELECT (sum(bad) + 1) / (sum(n) + 2)::DOUBLE AS prior FROM hosts),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(total.prior) AS prior FROM hosts, total GROUP BY suffix),
+sk AS ({STRENGTH.format("s")}),
+sp AS (SELECT suffix, (k * prior + bad) / (k + n) AS prior FROM s, sk),
+d AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(sp.prior) AS prior FROM hosts JOIN sp USING (suffix) GROUP BY domain),
+dk AS ({STRENGTH.format("d")}),
+dp AS (SELECT domain, (k * prior + bad) / (k + n) AS prior FROM d, dk),
+h AS (SELECT host, n, bad, prior FROM hosts JOIN dp USING (domain)),
+hk AS ({STRENGTH.format("h")}),
+hp AS (SELECT host, n, k, (k * prior + bad) / (k + n) AS mean FROM h, hk),
+known AS (SELECT host, n, mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (k + n + 1)) AS bound FROM hp),
+rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r (action, rh, rp)),
+fits AS (
+    SELECT host, path, arg_max(action, length(rh || rp)) AS action, arg_max(rh || rp, length(rh || rp)) AS rule
+    FROM (SELECT DISTINCT host, path FROM urls) u JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+    GROUP BY host, path)
+SELECT page_id, u.host, u.path, rule, coalesce(action, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+       n::BIGINT AS n_labels, round(bound, 6) AS bad_bound
+FROM urls u JOIN known ON known.host = u.host LEFT JOIN fits ON fits.host = u.host AND fits.path = u.path
+"""

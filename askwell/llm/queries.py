@@ -16,6 +16,7 @@ from askwell.llm.quality_rules import quality_rules
 from askwell.llm.revisits import captures, resolved
 from askwell.llm.secret_scan import secrets
 from askwell.llm.token_counts import token_counts
+from askwell.llm.url_filter import RULES, outcomes_of, rule_table, url_verdicts
 from askwell.plans.inputs import table
 from askwell.plans.registry import query
 
@@ -75,3 +76,9 @@ def op10_revisits(spark, sf_dir):
 @query("op11_prefix_trie", oracles.OP11)
 def op11_prefix_trie(spark, sf_dir):
     return prefix_trie(table(spark, sf_dir, "conversations")).drop("k1", "k2")
+
+
+@query("op13_host_reputation", oracles.OP13)
+def op13_host_reputation(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_verdicts(pages, outcomes_of(pages, table(spark, sf_dir, "labels")), rule_table(spark, RULES))
