@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askwell.llm import oracles
+from askwell.llm.alignment import cross_tokenizer
 from askwell.llm.decontaminate import contaminations
 from askwell.llm.language import languages
 from askwell.llm.line_dedup import line_dedup
@@ -82,3 +83,8 @@ def op11_prefix_trie(spark, sf_dir):
 def op13_host_reputation(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return url_verdicts(pages, outcomes_of(pages, table(spark, sf_dir, "labels")), rule_table(spark, RULES))
+
+
+@query("op12_cross_tokenizer")
+def op12_cross_tokenizer(spark, sf_dir):
+    return cross_tokenizer(table(spark, sf_dir, "documents"))
