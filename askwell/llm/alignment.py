@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askwell.llm.common import Codes, cut, ragged, written
-from askwell.llm.tokens import byte_ranks, units, vocabulary_path
+from askwell.llm.tokens import BESIDE, byte_ranks, units, vocabulary_path
 
 A_VOCABULARY, B_VOCABULARY = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: A worker forgets its stretches beyond so many, or so many characters.
@@ -67,42 +67,57 @@ class Pair:
         self.exact = np.zeros(0, dtype=bool)
 
     def learn(self) -> None:
-        """Encodes new stretches. One is exact if the bytes of both sides are its own."""
+        """Encodes new stretches, given without their first space. A's side goes through as one text where the ends of the
+        stretches are cuts; B's bytes are compared with the stretches, as only B may change bytes."""
         fresh = self.codes.fresh()
         self.characters += sum(map(len, fresh))
-        sides = self.a.encode_ordinary_batch(fresh, num_threads=1), self.b.encode([x[1:] for x in fresh], num_threads=1)
-        lengths = np.array([[len(x) for x in side] for side in sides], dtype=np.int64).reshape(2, len(fresh))
-        raw = [x.encode() for x in fresh]
-        exact = np.ones(len(fresh), dtype=bool)
-        for side, table in zip(sides, (self.a_bytes, self.b_bytes)):
-            exact &= np.array([b"".join([table[i] for i in ids]) == x for ids, x in zip(side, raw)], dtype=bool)
-        starts = np.cumsum(lengths, axis=1) - lengths + np.array([[len(x)] for x in self.ids])
-        self.ids = [np.concatenate([old, np.fromiter(chain.from_iterable(new), np.int32, int(n))]) for old, new, n in zip(self.ids, sides, lengths.sum(axis=1))]
-        self.starts, self.lengths = np.concatenate([self.starts, starts], axis=1), np.concatenate([self.lengths, lengths], axis=1)
+        alone = [i for i, x in enumerate(fresh) if not x or x[0].isspace() or x[-1].isspace()]
+        where = np.delete(np.arange(len(fresh)), alone)
+        text = "".join([" " + fresh[i] for i in where])
+        ids = np.array(self.a.encode_ordinary(text), dtype=np.int32)
+        raw = [(" " + x).encode() for x in fresh]
+        bytes_of = np.array([len(x) for x in raw], dtype=np.int64)
+        cuts = np.searchsorted(np.cumsum(self.a_sizes[ids]), np.r_[0, np.cumsum(bytes_of[where])], side="right")
+        cuts[0] = 0
+        apart = [self.a.encode_ordinary(" " + fresh[i]) for i in alone]
+        a_lengths, a_starts = np.zeros((2, len(fresh)), dtype=np.int64)
+        a_lengths[where], a_starts[where] = np.diff(cuts), cuts[:-1]
+        a_lengths[alone] = [len(x) for x in apart]
+        a_starts[alone] = len(ids) + np.cumsum(a_lengths[alone]) - a_lengths[alone]
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(apart), np.int32)])
+        pieces = self.b.encode(fresh)
+        b_lengths = np.array([len(x) for x in pieces], dtype=np.int64)
+        table = self.b_bytes
+        exact = [b"".join([table[i] for i in row]) == x for row, x in zip(pieces, raw)]
+        b_starts = np.cumsum(b_lengths) - b_lengths
+        self.starts = np.concatenate([self.starts, [a_starts + len(self.ids[0]), b_starts + len(self.ids[1])]], axis=1)
+        self.lengths = np.concatenate([self.lengths, [a_lengths, b_lengths]], axis=1)
+        self.ids = [np.concatenate([self.ids[0], ids]), np.concatenate([self.ids[1], np.fromiter(chain.from_iterable(pieces), np.int32, int(b_lengths.sum()))])]
         self.exact = np.concatenate([self.exact, exact])
 
+    def stretches(self, text: str) -> list[int]:
+        """Codes of the stretches of a space and the text, which each begin with a space."""
+        if BESIDE.search(text) or text[0].isspace() or text[-1].isspace():
+            return [self.codes[x[1:]] for x in units(" " + text)]
+        return list(map(self.codes.__getitem__, text.split(" ")))
+
     def parts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
         """Parts of bounded size: which texts are in it, and for both sides the ids of their tokens and, for each, its text.
         Texts of which a stretch is not exact have no tokens."""
+        if len(self.codes) > MOST_STRETCHES or self.characters > MOST_CHARACTERS:
+            self.forget()
+        codes = [self.stretches(text) if text else [] for text in texts]
+        if self.codes.new:
+            self.learn()
         waiting: list[tuple[int, list[int]]] = []
         size = 0
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if len(self.codes) > MOST_STRETCHES or self.characters > MOST_CHARACTERS:
-                if waiting:
-                    yield self.part(waiting)
-                    waiting, size = [], 0
-                self.forget()
-            codes = list(map(self.codes.__getitem__, units(" " + text)))
-            if self.codes.new:
-                self.learn()
-            if not self.exact[codes].all():
+        for i, row in enumerate(codes):
+            if not row or not self.exact[row].all():
                 continue
-            each = max(1, len(codes) * PART // len(text))
-            for at in range(0, len(codes), each):
-                waiting.append((i, codes[at : at + each]))
-                size += min(len(text), PART)
+            each = max(1, len(row) * PART // len(texts[i]))
+            for at in range(0, len(row), each):
+                waiting.append((i, row[at : at + each]))
+                size += min(len(texts[i]), PART)
                 if size >= PART:
                     yield self.part(waiting)
                     waiting, size = [], 0
@@ -132,14 +147,13 @@ def covering(starts: np.ndarray, docs: np.ndarray, other_starts: np.ndarray, oth
 
 
 def aligned(sizes: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Overlaps (rows: A token, B token; in order, each once) and for both sides the number of each token's group.
-    ``sizes``: bytes of the tokens; ``docs``: their documents. Both sides of a document have the same bytes in all."""
+    """Overlaps (rows: A token, B token; each once) and for both sides the number of each token's group. ``sizes``: bytes of
+    the tokens; ``docs``: their documents. Both sides of a document have the same bytes in all."""
     ends = [np.cumsum(x) for x in sizes]
     starts = [e - x for e, x in zip(ends, sizes)]
     b_of_a, a_of_b = covering(starts[0], docs[0], starts[1], docs[1]), covering(starts[1], docs[1], starts[0], docs[0])
-    a, b = np.r_[np.arange(len(b_of_a)), a_of_b], np.r_[b_of_a, np.arange(len(a_of_b))]
-    keys = np.unique(a * np.int64(len(a_of_b) or 1) + b)
-    overlaps = np.stack([keys // (len(a_of_b) or 1), keys % (len(a_of_b) or 1)], axis=1)
+    later = np.flatnonzero(starts[0][a_of_b] != starts[1])  # tokens that start together are found from both sides
+    overlaps = np.stack([np.r_[np.arange(len(b_of_a)), a_of_b[later]], np.r_[b_of_a, later]], axis=1)
     closing = overlaps[ends[0][overlaps[:, 0]] == ends[1][overlaps[:, 1]]]
     groups = []
     for side in (0, 1):
@@ -277,6 +291,7 @@ def token_groups(docs: DataFrame, folder: str | None = None) -> DataFrame:
                 out, groups_done, tokens_done = {k: [] for k in names}, 0, np.zeros(2, dtype=np.int64)
                 for _, ids, of in both.parts([text]):
                     overlaps, groups = aligned([both.a_sizes[ids[0]], both.b_sizes[ids[1]]], of)
+                    overlaps = overlaps[np.lexsort((overlaps[:, 1], overlaps[:, 0]))]
                     for side, x in enumerate("ab"):
                         out[f"{x}_ids"].append(ids[side])
                         out[f"{x}_groups"].append(groups[side] + groups_done)
