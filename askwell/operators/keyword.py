@@ -21,13 +21,18 @@ DIGITS = 6
 POSTING_ENTRIES = 2_000_000  # (row, question) contributions held at once
 
 
+def _tokens(text_col: str):
+    """The words of a text; a null text has none."""
+    return F.coalesce(words(F.col(text_col)), F.array().cast("array<string>")).alias("tokens")
+
+
 def term_statistics(corpus: DataFrame, text_col: str = "content") -> DataFrame:
     """The corpus' dictionary, from one pass over the texts: term, texts with it, words.
 
     The row of the empty term holds the totals: number of texts and of words. Counts combine on the map
     side, so a word found in a third of the texts costs one row per task.
     """
-    tokens = corpus.select(words(F.col(text_col)).alias("tokens"))
+    tokens = corpus.select(_tokens(text_col))
     exploded = tokens.select(
         F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("term"),
         F.size("tokens").alias("n"),
@@ -119,6 +124,6 @@ def bm25(
         term_statistics(corpus, text_col).write.parquet(path)
         statistics = corpus.sparkSession.read.parquet(path)
     weighted, mean = term_weights(questions, statistics, question_col)
-    texts = corpus.select("id", "training_data_type", F.lit("all").alias("scope"), words(F.col(text_col)).alias("tokens"))
+    texts = corpus.select("id", "training_data_type", F.lit("all").alias("scope"), _tokens(text_col))
     hits = block_search(partial(_score, mean), weighted, texts, k, (F.size("tokens"), F.size("terms")), **sizes)
     return hits.select("question_id", "training_data_type", "id", (-F.col("distance")).alias("score"), "rank")

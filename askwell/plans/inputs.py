@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askwell.operators.keyword_index import KeywordIndex, build_index
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -102,6 +104,17 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_KEYWORD_INDEX: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The postings of the documents, written once for each folder and application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEYWORD_INDEX:
+        _KEYWORD_INDEX[key] = build_index(text_corpus(spark, sf_dir))
+    return _KEYWORD_INDEX[key]
+
+
 def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from askwell.functions.vectors import norm
-from askwell.operators import ivf, nearest, retrieval
+from askwell.operators import ivf, nearest, pq, retrieval
 from askwell.operators.embedding import embed, hashed_grams, projection_2d
-from askwell.operators.keyword import bm25
+from askwell.operators.keyword_index import search_index
 from askwell.plans import inputs
 from askwell.plans.oracle_parts import COSINE, DOT, HITS, L2, L2SQ, VECTORS, knn, overlap, words
 from askwell.plans.registry import query
@@ -154,7 +154,8 @@ def multi_query_reranked(spark, sf_dir):
     r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM s)
     SELECT question_id, 'documentation' AS training_data_type, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def bm25_query(spark, sf_dir):
-    return bm25(inputs.benchmark_questions(spark, sf_dir), inputs.text_corpus(spark, sf_dir), 10)
+    """From postings that are written once for each folder and session."""
+    return search_index(inputs.keyword_index(spark, sf_dir), inputs.benchmark_questions(spark, sf_dir), 10)
 
 
 def _index(corpus, centres):
@@ -188,6 +189,41 @@ def ivf_kmeans(spark, sf_dir):
     return ivf.ivf_knn(topics, _index(corpus, centres), centres, 10, 4)
 
 
+def _pq(spark, sf_dir):
+    """Every twentieth vector as a question, codes of all."""
+    corpus = inputs.vectors(spark, sf_dir)
+    asked = corpus.filter(F.col("id").cast("bigint") % 20 == 0).select(F.col("id").alias("question_id"), "embedding")
+    books = pq.fit_codebooks(corpus)
+    coded = pq.encode(corpus, books)
+    path = shared_folder(spark, "codes")
+    coded.write.parquet(path)
+    coded = spark.read.schema(coded.schema).parquet(path)
+    return asked, corpus, coded, pq.pq_knn(asked, coded, corpus, books, 10)
+
+
+TWENTIETH = "asked AS (SELECT id AS question_id, v FROM vectors WHERE CAST(id AS BIGINT) % 20 = 0)"
+
+
+@query("pq_knn", f"WITH {VECTORS}, {TWENTIETH}, {knn(L2, '10', rows='vectors', asked='asked')} SELECT {HITS} FROM hits")
+def pq_query(spark, sf_dir):
+    return _pq(spark, sf_dir)[3]
+
+
+@query("pq_recall", f"""WITH {VECTORS}, {TWENTIETH}
+    SELECT (SELECT count(*) FROM asked) AS questions, (SELECT count(*) FROM vectors) AS coded,
+      16 * (SELECT count(*) FROM vectors) <= sum(4 * len(v)) / 16 AS codes_small, TRUE AS recall_95 FROM vectors""")
+def pq_recall(spark, sf_dir):
+    """Codes are at most 1/16 of the vectors' bytes, and 95 % of the ten nearest rows are found."""
+    asked, corpus, coded, found = _pq(spark, sf_dir)
+    enough = pq.recall(found, nearest.knn(asked, corpus, 10)) >= 0.95
+    sizes = corpus.agg(F.sum(4 * F.size("embedding")).alias("vectors"))
+    row = coded.agg(F.count(F.lit(1)).alias("coded"), F.sum(F.length("code")).alias("codes"))
+    counted = asked.agg(F.count(F.lit(1)).alias("questions"))
+    one = F.broadcast
+    return row.join(one(sizes)).join(one(counted)).select(  # one row each
+        "questions", "coded", (F.col("codes") <= F.col("vectors") / 16).alias("codes_small"), F.lit(enough).alias("recall_95"))
+
+
 @query("starter_questions", f"""
     WITH {VECTORS}, blank AS (SELECT '' AS question_id, list(0.125::DOUBLE) AS v FROM range(64)),
     {knn(L2, '10', rows='corpus', asked='blank', where="c.kind = 'sql'")}
