@@ -207,7 +207,7 @@ def test_streams(spark, tmp_path):
     source, store = f"{tmp_path}/log", CorpusStore(spark, f"{tmp_path}/c", schemas.CORPUS)
     for first in (0, 40):  # the second batch repeats most pairs after the watermark forgot them
         spark.createDataFrame(log_rows(first, 40), schema).write.mode("append").parquet(source)
-        jobs.start_auto_train(spark.readStream.schema(schema).parquet(source), store, f"{tmp_path}/check", "1 hour").awaitTermination()
+        jobs.start_auto_train(spark.readStream.schema(schema).parquet(source), store, f"{tmp_path}/check").awaitTermination(60)
     batch = run.auto_train(spark.read.schema(schema).parquet(source))
     ids = [r["id"] for r in store.read().collect()]
     assert len(ids) == len(set(ids)) and set(ids) == {r["id"] for r in batch.select("id").distinct().collect()}
@@ -217,3 +217,29 @@ def test_streams(spark, tmp_path):
     sink.option("checkpointLocation", f"{tmp_path}/check2").start().awaitTermination()
     whole = jobs.outcome_windows(spark.read.schema(schema).parquet(source).withColumnRenamed("status", "category"))
     assert sorted(map(tuple, spark.table("outcome_counts").collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_a_pair_is_sent_once(spark, tmp_path):
+    """Over micro-batches and restarts, with repeats that come long after and runs that come late."""
+    schema = "question string, sql string, status string, row_count long, ts timestamp"
+    source, sent = f"{tmp_path}/log", f"{tmp_path}/sent"
+
+    def go(check, **options):
+        rows = jobs.training_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), **options)
+        writer = rows.writeStream.format("parquet").option("path", sent + check).option("checkpointLocation", f"{tmp_path}/check{check}")
+        assert jobs.start_once(spark, writer).awaitTermination(60)
+        return [r["id"] for r in spark.read.parquet(sent + check).collect()]
+
+    late = [(f"late {i}", f"SELECT {i}", schemas.SQL_RAN, 1, dt.datetime(2020, 1, 1)) for i in range(3)]
+    hot = [("q1", "SELECT 1", schemas.SQL_RAN, 1, dt.datetime(2024, 5, 1))] * 300
+    spark.createDataFrame(log_rows(0, 40), schema).repartition(3).write.parquet(source)
+    first = go("a")
+    spark.createDataFrame(log_rows(4000, 40) + late + hot, schema).repartition(3).write.mode("append").parquet(source)
+    ids = go("a")
+    batch = {r["id"] for r in run.auto_train(spark.read.schema(schema).parquet(source)).collect()}
+    assert 0 < len(first) < len(ids) == len(set(ids)) and set(ids) == batch
+    assert sorted(go("b")) == sorted(ids)  # in one go
+    assert sorted(go("c", remember_days=None)) == sorted(ids)
+    go("d", remember_days=1e-9)
+    spark.createDataFrame(hot, schema).write.mode("append").parquet(source)
+    assert len(go("d", remember_days=1e-9)) > len(ids)  # forgotten, so sent again
