@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askwell.session import shared_folder
 
-ACCURACY = 10_000
-SMALL_KEY = 10 * ACCURACY
-FEW_KEYS = 50_000
+DIGIT = 16            # bits of a value that are counted at a time; divides 64
+SMALL = 20_000        # rows of a bucket whose values are then counted
+FEW_PLACES = 100_000  # wanted places that are broadcast, at most
+SALTS = 16
 
 
 def not_in(df: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
@@ -49,59 +57,114 @@ def global_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     return ranked.join(offsets, "_range").select(value, (F.col("_before") + F.col("_inside") + 1).alias(out), "n")
 
 
+@F.pandas_udf(T.LongType())
+def _bits(values: pd.Series) -> pd.Series:
+    """Numbers whose unsigned order is that of the values; NaN is the largest, as in SQL."""
+    bits = (values.to_numpy(dtype=np.float64) + 0.0).view(np.int64)
+    bits = np.where(np.isnan(values.to_numpy(dtype=np.float64)), np.int64(0x7FF8 << 48), bits)
+    return pd.Series(np.where(bits < 0, ~bits, bits | np.int64(-(2**63))))
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """Exact interpolated percentiles (SQL's PERCENTILE_CONT) of ``value`` per key, one column per fraction.
+    """Exact interpolated percentiles (SQL's PERCENTILE_CONT) of ``value`` per key, one column per fraction. Nulls do not count; a
+    null key is a key.
 
-    A quantile sketch brackets each percentile. Rows below the bracket are only counted; of the rows inside,
-    about one in some thousands, distinct values are counted and ranked. A key with most of the rows is
-    thus never sorted or held in one task.
+    Selection by radix: rows are counted by key and by the leading ``DIGIT`` bits of the value's order-preserving form. The
+    bucket that holds a wanted place is counted again by the next bits, until no such bucket has more than ``SMALL`` rows, or
+    its bits are all given; then the bucket's distinct values are counted. Counts combine on the map side, and a task
+    gets at most 2 ** ``DIGIT`` counts for each wanted place of a key, however many rows the key has.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
-    margin = 2.0 / ACCURACY
-    low = [max(0.0, f - margin) for f in fractions.values()]
-    high = [min(1.0, f + margin) for f in fractions.values()]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", low + high, ACCURACY).alias("_marks"),
-    )
-    few = F.col("_n") <= SMALL_KEY  # here the sketch's margin could be less than one row
-    targets = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"), (F.lit(f) * (F.col("_n") - 1)).alias("place"),
-            F.when(few | F.lit(f <= margin), F.col("_min")).otherwise(F.col("_marks")[i]).alias("a"),
-            F.when(few | F.lit(f >= 1 - margin), F.col("_max")).otherwise(F.col("_marks")[len(low) + i]).alias("b"),
-        )
-        for i, (name, f) in enumerate(fractions.items())
-    ])
-    joined = _on_keys(rows, sketch.select(*keys, targets.alias("_targets")), keys)
-    # each row goes to the brackets it lies in, and as a count to those above it
-    spread = joined.select(*keys, "_v", F.explode("_targets").alias("t")).filter(F.col("_v") <= F.col("t.b"))
-    below = F.col("_v") < F.col("t.a")
-    counts = (
-        spread.select(*keys, "t", F.when(~below, F.col("_v")).alias("_v"))
-        .groupBy(*keys, "t", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    running = F.sum("_c").over(
-        Window.partitionBy(*keys, "t").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    placed = counts.withColumn("_upto", running)
-    lower, upper = F.floor("t.place"), F.ceil("t.place")
-    from_place = F.col("_upto") - F.col("_c")
-    def at(place: Column) -> Column:
-        return F.max(F.when((from_place <= place) & (place < F.col("_upto")), F.col("_v")))
-
-    found = placed.groupBy(*keys, "t").agg(at(lower).alias("x"), at(upper).alias("y"))
-    value_of = F.col("x") + (F.col("y") - F.col("x")) * (F.col("t.place") - F.floor("t.place"))
-    columns = [F.max(F.when(F.col("t.name") == name, value_of)).alias(name) for name in fractions]
-    return found.groupBy(*keys).agg(*columns)
-
-
-def _on_keys(rows: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with the brackets of their key. The brackets, one row per key, are written first: then they are
-    counted cheaply, and few of them are broadcast so that the rows stay where they are."""
-    path = shared_folder(rows.sparkSession, "brackets")
-    brackets.write.parquet(path)
-    stored = rows.sparkSession.read.parquet(path)
-    if not keys:
-        return rows.withColumn("_targets", stored.select("_targets").scalar())
-    return rows.join(F.broadcast(stored) if stored.count() <= FEW_KEYS else stored, keys)
+    spark = df.sparkSession
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL").withColumn("_u", _bits("_v"))
+    key_fields = [df.schema[k] for k in keys]
+    state_type = T.StructType([*key_fields, *T.StructType.fromDDL("_name string, _side int, _part double, _prefix bigint, _rest bigint, _size bigint").fields])
+
+    def stored(state: DataFrame) -> DataFrame:
+        path = shared_folder(spark, "places")
+        state.write.parquet(path)
+        return spark.read.schema(state_type).parquet(path)
+
+    def first(counts: pa.Table) -> pa.Table:
+        digits, n = _in_order(counts, "_digit")
+        places = [(name, f * (int(n.sum()) - 1)) for name, f in fractions.items()]
+        wanted = [(name, side, place - math.floor(place), (math.floor, math.ceil)[side](place)) for name, place in places for side in (0, 1)]
+        return _picked(counts, keys, wanted, digits, n)
+
+    def further(state: pa.Table, counts: pa.Table) -> pa.Table:
+        out = []
+        for prefix, wanted in _by_prefix(state):
+            digits, n = _in_order(counts.filter(pc.equal(counts["_prefix"], prefix)), "_digit")
+            out.append(_picked(state, keys, wanted, (np.int64(prefix) << np.int64(DIGIT)) | digits, n))
+        return pa.concat_tables(out)
+
+    def values(state: pa.Table, counts: pa.Table) -> pa.Table:
+        found: dict[str, list] = {}
+        for prefix, wanted in _by_prefix(state):
+            v, n = _in_order(counts.filter(pc.equal(counts["_prefix"], prefix)), "_v")
+            for (name, side, part, rest), i in zip(wanted, np.searchsorted(np.cumsum(n), [w[3] for w in wanted], side="right")):
+                found.setdefault(name, [part, None, None])[1 + side] = float(v[i])
+        columns = {name: pa.array([x + (y - x) * part if part else x]) for name, (part, x, y) in found.items()}
+        return pa.table({k: state[k].slice(0, 1) for k in keys} | columns)
+
+    counts = rows.groupBy(*keys, F.shiftrightunsigned("_u", 64 - DIGIT).alias("_digit")).agg(F.count(F.lit(1)).alias("_c"))
+    state = stored(counts.groupBy(*(keys or [F.lit("all")])).applyInArrow(first, state_type))
+    given = DIGIT
+    while given < 64 and (state.agg(F.max("_size")).first()[0] or 0) > SMALL:
+        inside = _inside(rows, state, keys, given)
+        digit = F.shiftrightunsigned("_u", 64 - given - DIGIT).bitwiseAND(F.lit((1 << DIGIT) - 1))
+        counts = inside.groupBy(*keys, "_prefix", digit.alias("_digit")).agg(F.count(F.lit(1)).alias("_c"))
+        state = stored(_meeting(state, counts, keys, further, state_type))
+        given += DIGIT
+    counts = _inside(rows, state, keys, given).groupBy(*keys, "_prefix", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    result = T.StructType([*key_fields, *[T.StructField(name, T.DoubleType()) for name in fractions]])
+    found = _meeting(state, counts, keys, values, result)
+    return found if keys else found.agg(*[F.max(name).alias(name) for name in fractions])  # one row of nulls if there are none
+
+
+def _in_order(counts: pa.Table, by: str) -> tuple[np.ndarray, np.ndarray]:
+    x, n = counts[by].to_numpy(), counts["_c"].to_numpy()
+    order = np.argsort(x, kind="stable")
+    return x[order], n[order]
+
+
+def _by_prefix(state: pa.Table):
+    """The wanted places (name, side, part, rank) of each bucket."""
+    groups: dict[int, list] = {}
+    for name, side, part, prefix, rest in zip(*(state[c].to_pylist() for c in ("_name", "_side", "_part", "_prefix", "_rest"))):
+        groups.setdefault(prefix, []).append((name, side, part, rest))
+    return groups.items()
+
+
+def _picked(table: pa.Table, keys: list[str], wanted: list[tuple], prefixes: np.ndarray, n: np.ndarray) -> pa.Table:
+    """The bucket that holds each wanted place, and the place within it."""
+    upto = np.cumsum(n)
+    at = np.searchsorted(upto, [w[3] for w in wanted], side="right")
+    repeated = pa.array(np.zeros(len(wanted), dtype=np.int64))
+    return pa.table({k: table[k].combine_chunks().take(repeated) for k in keys} | {
+        "_name": [w[0] for w in wanted], "_side": pa.array([w[1] for w in wanted], pa.int32()), "_part": [w[2] for w in wanted],
+        "_prefix": pa.array(prefixes[at], pa.int64()), "_rest": pa.array(np.array([w[3] for w in wanted]) - (upto[at] - n[at]), pa.int64()), "_size": pa.array(n[at], pa.int64())})
+
+
+def _meeting(state: DataFrame, counts: DataFrame, keys: list[str], pick, kind: T.StructType) -> DataFrame:
+    """``pick`` of each key's places and counts."""
+    by = keys or [F.lit("all")]
+    counts = counts.select([F.col(c).alias(c) for c in counts.columns])  # apart from the columns of the other side
+    return state.groupBy(*by).cogroup(counts.groupBy(*by)).applyInArrow(pick, kind)
+
+
+def _inside(rows: DataFrame, state: DataFrame, keys: list[str], given: int) -> DataFrame:
+    """Rows of the buckets that hold a wanted place. Few buckets, counted first, are broadcast and the rows stay where they are; of many
+    buckets each has a row for every salt, and rows are salted by where they lie."""
+    buckets = state.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_prefix").distinct()
+    few = state.count() <= FEW_PLACES
+    if few:
+        buckets = F.broadcast(buckets)
+    else:
+        buckets = buckets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    match = F.shiftrightunsigned("_u", 64 - given) == F.col("_prefix") if given < 64 else F.col("_u") == F.col("_prefix")
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    if not few:
+        rows = rows.withColumn("_place", F.spark_partition_id() % SALTS)
+        match = match & (F.col("_place") == F.col("_salt"))
+    return rows.join(buckets, match).drop(*[f"_k{i}" for i in range(len(keys))], "_salt", "_place")

@@ -181,20 +181,34 @@ def test_global_ranks(spark):
     assert ranks == {str(v): (sum(x < v for x in values) + 1, values.count(v)) for v in set(values)}
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_percentiles(spark, small, monkeypatch):
-    monkeypatch.setattr(relational, "SMALL_KEY", small)
+@pytest.mark.parametrize("small,digit,few", [(20_000, 16, 100_000), (0, 16, 100_000), (50, 8, 0)])
+def test_percentiles(spark, small, digit, few, monkeypatch):
+    for name, size in (("SMALL", small), ("DIGIT", digit), ("FEW_PLACES", few)):
+        monkeypatch.setattr(relational, name, size)
     rng = np.random.default_rng(3)
     groups = {"hot": np.concatenate([rng.lognormal(size=60_000), np.full(20_000, 1.5)]), "one": np.array([3.0]), "two": np.array([1.0, 2.0])}
-    if small == 0:
-        groups = {"hot": groups["hot"]}  # brackets are for keys with many rows
+    groups |= {"signs": np.array([-1e300, -2.5, -0.0, 0.0, 1e-310, 7.0, 1e300]), "same": np.full(5_000, -7.25), None: np.arange(9.0)}
     df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double").repartition(4)
     fractions = {"lo": 0.0, "mid": 0.5, "hi": 0.95, "top": 0.999, "max": 1.0}
-    for r in relational.percentiles(df, ["g"], "v", fractions).collect():
+    found = relational.percentiles(df.unionByName(df.select("g", F.lit(None).cast("double").alias("v"))), ["g"], "v", fractions).collect()
+    assert len(found) == len(groups)
+    for r in found:
         for name, f in fractions.items():
             assert r[name] == pytest.approx(np.quantile(groups[r["g"]], f), rel=1e-12), (r["g"], name)
     total = relational.percentiles(df, [], "v", {"mid": 0.5}).first()["mid"]
     assert total == pytest.approx(np.quantile(np.concatenate(list(groups.values())), 0.5))
+    assert relational.percentiles(df.limit(0), [], "v", {"mid": 0.5}).collect()[0]["mid"] is None
+    assert relational.percentiles(df.limit(0), ["g"], "v", {"mid": 0.5}).collect() == []
+
+
+def test_percentiles_of_a_hot_key_stay_in_bounded_tasks(spark):
+    """Ten million rows of one key: no task gets more than its histogram."""
+    rows = spark.range(0, 10_000_000, numPartitions=16).select(F.lit("hot").alias("k"), (F.col("id") % 1_000_003 / 7).alias("v"))
+    got = relational.percentiles(rows, ["k"], "v", {"p50": 0.5, "p999": 0.999}).first()
+    values = np.arange(10_000_000) % 1_000_003 / 7
+    assert got["p50"] == pytest.approx(np.quantile(values, 0.5), rel=1e-12) and got["p999"] == pytest.approx(np.quantile(values, 0.999), rel=1e-12)
+    plan = relational.percentiles(rows.limit(100), ["k"], "v", {"p50": 0.5})._jdf.queryExecution().toString()
+    assert "Window" not in plan
 
 
 def log_rows(first, n):
