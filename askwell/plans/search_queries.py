@@ -8,6 +8,7 @@ from askwell.functions.vectors import norm
 from askwell.operators import ivf, nearest, pq, retrieval
 from askwell.operators.embedding import embed, hashed_grams, projection_2d
 from askwell.operators.keyword_index import search_index
+from askwell.operators.layout import layout_2d, trustworthiness
 from askwell.plans import inputs
 from askwell.plans.oracle_parts import COSINE, DOT, HITS, L2, L2SQ, VECTORS, knn, overlap, words
 from askwell.plans.registry import query
@@ -282,3 +283,20 @@ def projection(spark, sf_dir):
         .unionByName(corpus.select("id", F.lit("corpus").alias("role"), double)).unionByName(hits.select("id", "role", double))
     )
     return projection_2d(rows)
+
+
+@query("layout_2d")
+def layout(spark, sf_dir):
+    """All vectors in the plane, neighbours near each other."""
+    return layout_2d(inputs.vectors(spark, sf_dir).select("id", "training_data_type", "embedding"))
+
+
+@query("layout_trust", "SELECT count(*) AS placed, TRUE AS better_than_components FROM embeddings")
+def layout_trust(spark, sf_dir):
+    """Neighbours in the layout are neighbours among the vectors more often than those of the principal components."""
+    rows = inputs.vectors(spark, sf_dir).select("id", F.lit("corpus").alias("role"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    path = shared_folder(spark, "layout")
+    layout_2d(rows).write.parquet(path)
+    placed = spark.read.parquet(path)
+    better = trustworthiness(rows, placed) > trustworthiness(rows, projection_2d(rows))
+    return placed.agg(F.count("x").alias("placed")).withColumn("better_than_components", F.lit(better))
