@@ -66,7 +66,8 @@ def one_per_id(rows: DataFrame) -> DataFrame:
     """The oldest row of every id; repeats combine on the map side. A row without a time counts as the newest; of
     rows of one time a hash decides, so the same rows always give the same one."""
     order = F.struct(F.col("created_at").isNull(), F.col("created_at"), F.xxhash64(*rows.columns))
-    return rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    best = rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), order).alias("r"))
+    return best.select(*[F.col(c) if c == "id" else F.col("r")[c].alias(c) for c in rows.columns])  # still dealt out by id
 
 
 def not_yet(corpus: DataFrame, new: DataFrame) -> DataFrame:

@@ -36,8 +36,8 @@ def train(store: CorpusStore, requests: DataFrame, embedder: ModelFactory | None
     return rejects
 
 
-def learn(store: CorpusStore, rows: DataFrame, embedder: ModelFactory | None = None) -> int:
+def learn(store: CorpusStore, rows: DataFrame, embedder: ModelFactory | None = None) -> None:
     """Adds corpus rows that are not stored yet, with the vectors of their texts if the store keeps vectors."""
     if "embedding" in store.schema.names and "embedding" not in rows.columns:
         rows = embed(rows, "embed_text", embedder)
-    return store.append_new(rows)
+    store.append_new(rows)

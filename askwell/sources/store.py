@@ -1,127 +1,130 @@
-"""The corpus on disk: immutable segments and a log of which ones count.
+"""The corpus on disk: a Parquet table that Spark buckets by id.
 
-Adding rows writes one more segment; only changes and removals write the corpus anew. A reader sees the
-segments named by the log, so a half-written or retried segment is never seen. A version is claimed by creating its
-file, which only one writer can; the other one looks at the log again. Compaction is a job of its own.
+Each bucket is a partition of its own, so adding rows compares ids bucket by bucket without moving what is stored, and a change
+reads and writes the buckets of the changed ids only. Writes are Spark's own: an append adds files when its job commits,
+a change replaces the partitions it wrote (dynamic partition overwrite). Two appends at a time may both add an id; readers
+see one row of it, and compaction leaves one. Changes are for one writer at a time.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
+import hashlib
+from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from askwell.operators.corpus import merge, not_yet, one_per_id, remove, remove_kind, update
+from askwell.operators.corpus import merge, one_per_id, remove, remove_kind, update
 from askwell.operators.embedding import ModelFactory, embed
 
-ATTEMPTS = 10
-
-LOG = T.StructType([
-    T.StructField("version", T.LongType()),
-    T.StructField("segment", T.StringType()),
-    T.StructField("starts_over", T.BooleanType()),
-])
+BUCKETS = 16
+MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
 class CorpusStore:
-    """A corpus below ``path``, a folder every executor can reach."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    """A corpus below ``path``, a folder every executor can reach. ``buckets`` belongs to the stored files, as ``schema`` does: it
+    must be the same whenever the store is opened. Some 100 MB of text to a bucket are a good size."""
 
-    def _log(self) -> list:
-        """Log rows since the corpus was last written anew, one short row for each addition."""
-        try:
-            log = self.spark.read.schema(LOG).json(f"{self.path}/log")
-        except AnalysisException as exc:
-            if "PATH_NOT_FOUND" in str(exc):
-                return []
-            raise
-        start = log.filter("starts_over").agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).scalar()
-        return sorted(log.filter(F.col("version") >= start).collect(), key=lambda row: row["version"])
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
+        self.name = "corpus_" + hashlib.sha256(f"{self.path} {buckets} {schema.simpleString()}".encode()).hexdigest()[:24]
 
-    def read(self) -> DataFrame:
-        return self._read(self._log())
+    def _bucket(self, id_col: str | Column = "id") -> Column:
+        """The bucket Spark puts an id in."""
+        return F.pmod(F.hash(id_col), F.lit(self.buckets))
 
-    def _read(self, log: list) -> DataFrame:
-        segments = [f"{self.path}/segments/segment={row['segment']}" for row in log]
-        if not segments:
-            return self.spark.createDataFrame([], self.schema)
-        reader = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/segments")
-        return reader.parquet(*segments).select(*self.schema.names)
-
-    def _claim(self, version: int) -> bool:
-        """Whether this writer, and no other, may write ``version``."""
+    def _table(self) -> DataFrame:
+        """All stored rows as they lie, with their bucket, from the table's description in this application's catalog."""
         context = self.spark.sparkContext
-        file = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/{version}")
-        return file.getFileSystem(context._jsc.hadoopConfiguration()).createNewFile(file)
-
-    def _commit(self, rows: DataFrame, log: list, starts_over: bool) -> int | None:
-        """The version written, or None if another writer was first."""
-        version = (log[-1]["version"] if log else 0) + 1
-        segment = f"{version}-{uuid.uuid4().hex}"
-        folder = f"{self.path}/segments/segment={segment}"
-        rows.select(*self.schema.names).write.partitionBy("training_data_type").parquet(folder)
-        if not starts_over and self.spark.read.schema(self.schema).parquet(folder).isEmpty():
-            return version - 1  # nothing new: the empty segment is not logged
-        if not self._claim(version):
-            return None
-        entry = self.spark.range(1).select(
-            F.lit(version).alias("version"), F.lit(segment).alias("segment"), F.lit(starts_over).alias("starts_over")
-        )
-        entry.coalesce(1).write.mode("append").json(f"{self.path}/log")
-        return version
-
-    def append_new(self, rows: DataFrame) -> int:
-        """Rows whose id is not stored yet. Doing it twice adds nothing."""
-        once = one_per_id(rows.select(*self.schema.names)).persist()
+        folder = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(folder)
+        place = self.path.replace("'", "\\'")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} ({self.schema.toDDL()}, bucket INT) USING parquet PARTITIONED BY (bucket) "
+            f"CLUSTERED BY (id) SORTED BY (id) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+        self.spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")  # also those that other applications wrote
+        self.spark.catalog.refreshTable(self.name)
+        return self.spark.table(self.name).filter("id IS NOT NULL")
+
+    def read(self) -> DataFrame:
+        """One row of each id. Rows of an id lie together, so nothing is moved for that."""
+        return one_per_id(self._table().select(*self.schema.names))
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows one per id, dealt out as the buckets are."""
+        return one_per_id(rows.select(*self.schema.names).repartition(self.buckets, "id"))
+
+    def new_rows(self, rows: DataFrame) -> DataFrame:
+        """Rows whose id is not stored yet, one per id. The stored side is read where it lies, its id column only."""
+        stored = self._table().select("id").hint("merge")
+        return self._dealt(rows).join(stored, "id", "left_anti").select(*self.schema.names)
+
+    def append_new(self, rows: DataFrame) -> None:
+        """Adds rows whose id is not stored yet. Doing it twice adds nothing."""
+        self.new_rows(rows).withColumn("bucket", self._bucket()).write.insertInto(self.name)
+
+    @contextmanager
+    def _replacing(self):
+        """Only partitions that are written are replaced."""
+        before = self.spark.conf.get(MODE)
+        self.spark.conf.set(MODE, "dynamic")
         try:
-            return self._change(lambda stored: not_yet(stored, once), starts_over=False)
+            yield
         finally:
-            once.unpersist()
-
-    def _change(self, rows, starts_over: bool = True) -> int:
-        """Writes ``rows(stored)``; from the beginning if another writer came in between."""
-        for _ in range(ATTEMPTS):
-            log = self._log()
-            version = self._commit(rows(self._read(log)), log, starts_over)
-            if version is not None:
-                return version
-            time.sleep(1)
-        raise RuntimeError(f"{ATTEMPTS} times another writer was first, or one that claimed a version never logged it")
-
-    def replace(self, rows: DataFrame) -> int:
+            self.spark.conf.set(MODE, before)
+
+    def _rewrite(self, rows: DataFrame, buckets: list[int]) -> None:
+        """``rows`` in place of what these buckets hold. Each gets a row without an id, so that an emptied one is written too."""
+        rows = self._dealt(rows).withColumn("bucket", self._bucket())
+        blank = self.spark.createDataFrame([(b,) for b in buckets], "bucket int")
+        blank = blank.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields], "bucket")
+        with self._replacing():
+            rows.unionByName(blank).write.insertInto(self.name, overwrite=True)
+
+    def _touched(self, ids: DataFrame) -> list[int]:
+        """The buckets of some ids, of which there are ``buckets`` at most."""
+        return sorted(r[0] for r in ids.filter("id IS NOT NULL").select(self._bucket()).distinct().collect())
+
+    def _change(self, ids: DataFrame, change) -> None:
+        """``change`` of the stored rows in the buckets of ``ids``."""
+        buckets = self._touched(ids)
+        if buckets:
+            self._rewrite(change(self._held(buckets)), buckets)
+
+    def _held(self, buckets: list[int]) -> DataFrame:
+        return one_per_id(self._table().filter(F.col("bucket").isin(buckets)).select(*self.schema.names))
+
+    def replace(self, rows: DataFrame) -> None:
         """The whole corpus anew."""
-        return self._change(lambda stored: rows)
+        self._table()
+        self._rewrite(rows, list(range(self.buckets)))
 
-    def compact(self) -> int:
-        """Many small segments as one."""
-        return self._change(lambda stored: stored)
+    def compact(self) -> None:
+        """Many small files as one for each bucket."""
+        self.replace(self.read())
 
-    def upsert(self, rows: DataFrame) -> int:
-        return self._change(lambda stored: merge(stored, rows.select(*self.schema.names), "upsert"))
+    def upsert(self, rows: DataFrame) -> None:
+        self._change(rows, lambda held: merge(held, rows.select(*self.schema.names), "upsert"))
 
-    def remove(self, ids: DataFrame) -> int:
+    def remove(self, ids: DataFrame) -> None:
         """Without the rows of these ids."""
-        return self._change(lambda stored: remove(stored, ids))
+        self._change(ids, lambda held: remove(held, ids))
 
-    def remove_kind(self, kind: str) -> int:
+    def remove_kind(self, kind: str) -> None:
         """With one collection emptied."""
-        return self._change(lambda stored: remove_kind(stored, kind))
-
-    def update(self, changes: DataFrame, embedder: ModelFactory | None = None) -> int:
-        """Field by field, see :func:`askwell.operators.corpus.update`. Changed texts, and those that lack a vector, get theirs in the
-        same job, if the store keeps vectors."""
-        def changed(stored: DataFrame) -> DataFrame:
-            rows = update(stored, changes)
-            if "embedding" in stored.columns:
+        remove_kind(self.read(), kind)  # refuses an unknown kind
+        self._change(self._table().filter(F.col("training_data_type") == kind), lambda held: remove_kind(held, kind))
+
+    def update(self, changes: DataFrame, embedder: ModelFactory | None = None) -> None:
+        """Field by field, see :func:`askwell.operators.corpus.update`. Changed texts, and those in the same buckets that lack a vector,
+        get theirs in the same job, if the store keeps vectors."""
+        def changed(held: DataFrame) -> DataFrame:
+            rows = update(held, changes)
+            if "embedding" in held.columns:
                 lacking = F.col("needs_embedding") | F.col("embedding").isNull()
                 rows = embed(rows.withColumn("_text", F.when(lacking, F.col("embed_text"))), "_text", embedder, out="_made")
                 rows = rows.withColumn("embedding", F.when(lacking, F.col("_made")).otherwise(F.col("embedding")))
             return rows
 
-        return self._change(changed)
+        self._change(changes, changed)
