@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,33 +24,122 @@ INTERMEDIATE = "intermediate_sql"  # fixed value
 NO_DATA_ACCESS = "The model may not see data; allow it to answer questions that need a look into the tables."
 
 
+PROMPTS_PER_TASK = 64   # a lost task repeats so many calls at most
+FEW_ANSWERS = 10_000    # answers that are broadcast, at most
+ANSWER = "prompt string, response string, error string, asked_at timestamp"
+
+
+def _patient(call: Callable, retries: int, wait: float) -> Callable:
+    """``call`` tried again after waits that double: (result, error)."""
+    def tried(prompt):
+        for attempt in range(retries + 1):
+            try:
+                return call(prompt), None
+            except Exception as exc:  # the row carries it
+                error = f"{type(exc).__name__}: {exc}"
+            if attempt < retries:
+                time.sleep(wait * 2**attempt)
+        return None, error
+
+    return tried
+
+
+def _answers(call: Callable, prompts: list, in_flight: int, retries: int, wait: float, together: int) -> list[tuple]:
+    """(response, error) of each prompt, ``in_flight`` calls at a time, each of ``together`` prompts if that is more than one."""
+    def one(messages):
+        if not messages:
+            raise ValueError("empty prompt")
+        return call(messages)
+
+    def several(group):
+        found = list(call(group))
+        if len(found) != len(group):
+            raise ValueError(f"{len(found)} responses to {len(group)} prompts")
+        return found
+
+    with ThreadPoolExecutor(max(1, in_flight)) as pool:
+        if together <= 1:
+            return list(pool.map(_patient(one, retries, wait), prompts))
+        asked = [p for p in prompts if p]
+        groups = [asked[i : i + together] for i in range(0, len(asked), together)]
+        results = [(x, error) for group, (found, error) in zip(groups, pool.map(_patient(several, retries, wait), groups)) for x in (found or [None] * len(group))]
+        each = iter(results)
+        return [next(each) if p else (None, "ValueError: empty prompt") for p in prompts]
+
+
 def generate_responses(
-    prompts: DataFrame, model: ModelFactory, key: str = "question_id", tasks: int | None = None
+    prompts: DataFrame, model: ModelFactory, key: str = "question_id", tasks: int | None = None, *, answers: str | None = None,
+    in_flight: int = 1, retries: int = 0, wait: float = 1.0, together: int = 1,
 ) -> DataFrame:
-    """A response per prompt: ``key``, response, error. One client per partition; a failing call only
-    marks its row. Prompts are dealt out evenly to ``tasks`` (default: all cores), since a call costs far
-    more than moving its prompt."""
+    """A response per prompt: ``key``, response, error. One client per partition; a call that fails, also after
+    ``retries`` more tries with waits that double, only marks its row. Prompts are dealt out evenly to ``tasks`` (default: all cores), since a call costs far
+    more than moving its prompt. ``in_flight`` calls run side by side in a task, so a client must bear that; with ``together`` the client takes a
+    list of up to so many prompts and gives a list of responses.
+
+    With ``answers``, a folder, answers are kept there: see :func:`ask_once`.
+    """
+    options = {"in_flight": in_flight, "retries": retries, "wait": wait, "together": together}
+    if answers is not None:
+        return ask_once(prompts, model, answers, key, tasks, **options)
+    plain = prompts.select(F.col(key).cast("string").alias(key), "messages")
+    plain = plain.repartition(tasks or prompts.sparkSession.sparkContext.defaultParallelism)
+    return plain.mapInArrow(_caller(model, key, options), f"{key} string, response string, error string")
+
+
+def _caller(model: ModelFactory, key: str, options: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = model()
         for batch in batches:
-            texts, errors = [], []
-            for messages in batch.column(1).to_pylist():
-                try:
-                    if not messages:
-                        raise ValueError("empty prompt")
-                    texts.append(call(messages))
-                    errors.append(None)
-                except Exception as exc:  # the row carries it
-                    texts.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
+            found = _answers(call, batch.column(1).to_pylist(), **options)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.string()), pa.array(texts, pa.string()), pa.array(errors, pa.string())],
+                [batch.column(0).cast(pa.string()), pa.array([r for r, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())],
                 names=[key, "response", "error"],
             )
 
-    plain = prompts.select(F.col(key).cast("string").alias(key), "messages")
-    plain = plain.repartition(tasks or prompts.sparkSession.sparkContext.defaultParallelism)
-    return plain.mapInArrow(run, f"{key} string, response string, error string")
+    return run
+
+
+def _kept(spark, folder: str) -> DataFrame:
+    """Answers kept in a folder: of each prompt one that has a response, else its last error."""
+    try:
+        rows = spark.read.schema(ANSWER).parquet(folder)
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        rows = spark.createDataFrame([], ANSWER)
+    best = F.max_by(F.struct("response", "error"), F.struct(F.col("response").isNotNull(), F.col("asked_at")))
+    return rows.groupBy("prompt").agg(best.alias("a")).select("prompt", "a.*")
+
+
+def ask_once(
+    prompts: DataFrame, model: ModelFactory, folder: str, key: str = "question_id", tasks: int | None = None, *, per_task: int = PROMPTS_PER_TASK, **options,
+) -> DataFrame:
+    """As :func:`generate_responses`, with answers kept in ``folder`` by the hash of their prompt: equal prompts are asked once, and what
+    was answered before, also by a run that was killed, is not asked again. Failed prompts are, by the next run.
+
+    A task's answers are kept as soon as the task ends, not when the job does, and a task has ``per_task`` prompts at most: that is
+    what a lost executor or a killed run may ask twice. One folder belongs to one model and its settings.
+    """
+    spark = prompts.sparkSession
+    hashed = F.sha2(F.coalesce(F.to_json("messages"), F.lit("")), 256).alias("prompt")
+    path = shared_folder(spark, "prompts")
+    prompts.select(F.col(key).cast("string").alias(key), hashed, "messages").write.parquet(path)
+    wanted = spark.read.parquet(path)
+    known = _kept(spark, folder).filter("response IS NOT NULL").select("prompt")
+    todo = wanted.groupBy("prompt").agg(F.first("messages").alias("messages")).join(known, "prompt", "left_anti")
+    path = shared_folder(spark, "new-prompts")
+    todo.write.parquet(path)
+    todo = spark.read.schema(todo.schema).parquet(path)
+    n = todo.count()
+    if n:
+        needed = max(min(n, tasks or spark.sparkContext.defaultParallelism), math.ceil(n / per_task))
+        options = {"in_flight": 1, "retries": 0, "wait": 1.0, "together": 1} | options
+        new = todo.repartition(needed).mapInArrow(_caller(model, "prompt", options), "prompt string, response string, error string")
+        new = new.withColumn("asked_at", F.current_timestamp())
+        new.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(folder)
+    found = _kept(spark, folder)
+    few = found.count() <= FEW_ANSWERS
+    return wanted.select(key, "prompt").join(F.broadcast(found) if few else found, "prompt").select(key, "response", "error")
 
 
 def extracted(responses: DataFrame, mode: str = "last") -> DataFrame:
@@ -62,10 +155,10 @@ def suggest_columns(questions: DataFrame, model: ModelFactory) -> DataFrame:
     return suggestions(generate_responses(prompts, model).filter("response is not null"))
 
 
-def questions_for_sql(df: DataFrame, model: ModelFactory, key: str = "id", sql: str = "sql") -> DataFrame:
-    """A question for every statement that has none."""
+def questions_for_sql(df: DataFrame, model: ModelFactory, key: str = "id", sql: str = "sql", **calls) -> DataFrame:
+    """A question for every statement that has none. ``calls``: options of :func:`generate_responses`."""
     prompts = task_prompt(df, "question", F.col(sql)).select(key, "messages")
-    return generate_responses(prompts, model, key).withColumnRenamed("response", "question")
+    return generate_responses(prompts, model, key, **calls).withColumnRenamed("response", "question")
 
 
 def split_intermediate(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,16 +168,16 @@ def split_intermediate(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def two_step(
-    context: DataFrame, model: ModelFactory, rebuild, previews, allow_data: bool = False, folder: str | None = None,
+    context: DataFrame, model: ModelFactory, rebuild, previews, allow_data: bool = False, folder: str | None = None, **calls,
 ) -> DataFrame:
     """Responses after at most one look into the data: question_id, response, error.
 
     The first answers are written before they are split, so that no prompt is sent twice. ``previews`` turns the distinct intermediate statements (sql) into (sql, preview, error); ``rebuild``
-    builds prompts from a context with one more documentation entry.
+    builds prompts from a context with one more documentation entry. ``calls``: options of :func:`generate_responses`.
     """
     spark = context.sparkSession
     path = f"{folder or shared_folder(spark, 'responses')}/first"
-    generate_responses(rebuild(context), model).write.parquet(path)
+    generate_responses(rebuild(context), model, **calls).write.parquet(path)
     final, asking = split_intermediate(spark.read.parquet(path))
     if not allow_data:
         return final.unionByName(asking.withColumn("response", F.lit(NO_DATA_ACCESS)))
@@ -101,7 +194,7 @@ def two_step(
         .withColumn("documentation", F.concat("documentation", F.array(entry)))
         .select(*context.columns)
     )
-    second = generate_responses(rebuild(richer), model)
+    second = generate_responses(rebuild(richer), model, **calls)
     return final.unionByName(failed).unionByName(second)
 
 

@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askwell.functions.sqltext import is_select
+from askwell.operators.bootstrap import markdown_header, markdown_line
+from askwell.operators.context import MAX_TOKENS
 from askwell.operators.corpus import add_pairs
-from askwell.operators.profile import FOLLOWUP_ROWS, markdown, outcome
+from askwell.operators.profile import markdown, outcome
 from askwell.schemas import RUN_RESULT, SQL_RAN, SQL_UNABLE_TO_RUN
 from askwell.session import shared_folder
 from askwell.sources.readers import run_sql
 
 STATUS_BATCH = 500
+CHARS_PER_TOKEN = 4
 #: Column of stored results: the row's place in the result.
 POSITION = "_position"
 
@@ -29,7 +32,21 @@ def _file_names(columns: list[str]) -> list[str]:
     return [p if seen.count(p.lower()) == 1 else f"{p}_{i}" for i, p in enumerate(plain)]
 
 
-def _run_one(spark: SparkSession, sql: str, path: str, preview_rows: int) -> tuple:
+def _within(stored: DataFrame, columns: list[str], tokens: int) -> str:
+    """The result as markdown as far as ``tokens`` go, and how many rows are left out then. Rows come to the driver one by
+    one, until there is no more room."""
+    line = markdown_line([F.col(c) for c in columns]).alias("line")
+    shown, room, count = [], tokens * CHARS_PER_TOKEN - len(markdown_header(columns)), stored.count()
+    for row in stored.orderBy(POSITION).limit(max(1, room)).select(line).toLocalIterator():
+        room -= len(row["line"]) + 1
+        if room < 0:
+            break
+        shown.append(row["line"])
+    left = count - len(shown)
+    return markdown_header(columns) + "\n".join(shown + ([f"({left} of {count} rows are not shown)"] if left else []))
+
+
+def _run_one(spark: SparkSession, sql: str, path: str, preview_rows: int | None, tokens: int) -> tuple:
     try:
         result = run_sql(spark, sql)
         named = result.toDF(*_file_names(result.columns))
@@ -40,7 +57,10 @@ def _run_one(spark: SparkSession, sql: str, path: str, preview_rows: int) -> tup
     except PySparkException as exc:
         return (sql, SQL_UNABLE_TO_RUN, None, str(exc).split("\n")[0], None, None)
     try:
-        preview = markdown(stored, [POSITION], preview_rows, named.columns).first()["markdown"] if preview_rows else None
+        if preview_rows is None:
+            preview = _within(stored, named.columns, tokens)
+        else:
+            preview = markdown(stored, [POSITION], preview_rows, named.columns).first()["markdown"] if preview_rows else None
         return (sql, SQL_RAN, count, None, path, preview)
     except PySparkException as exc:  # the statement ran, its rows cannot be shown
         return (sql, SQL_RAN, count, f"no preview: {str(exc).split(chr(10))[0]}", path, None)
@@ -53,14 +73,14 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def run_statements(
-    spark: SparkSession, statements: DataFrame, folder: str | None = None, *, preview_rows: int = 0, at_once: int = 8
+    spark: SparkSession, statements: DataFrame, folder: str | None = None, *, preview_rows: int | None = 0, preview_tokens: int = MAX_TOKENS, at_once: int = 8
 ) -> DataFrame:
     """Every distinct valid statement (sql, is_valid), run as a Spark job of its own: sql, status,
     row_count, error, result_path, preview.
 
     Statements come to the driver a few at a time, since only it can submit jobs, and ``at_once`` run side
-    by side. Results are written, never collected, but for the ``preview_rows`` first rows as text, in the order
-    the statement gave them (column ``_position`` of the stored result). Only statements that read data are run.
+    by side. Results are written, never collected, but for the ``preview_rows`` first rows as text (None: all, as far as
+    ``preview_tokens`` go), in the order the statement gave them (column ``_position`` of the stored result). Only statements that read data are run.
     """
     folder = folder or shared_folder(spark, "results")
     wanted = statements.filter("is_valid").select("sql").distinct()
@@ -70,7 +90,7 @@ def run_statements(
     with ThreadPoolExecutor(at_once) as pool:
         while chunk := list(islice(todo, STATUS_BATCH)):
             jobs = [
-                pool.submit(_run_one, spark, row["sql"], f"{folder}/result-{number}", preview_rows) for number, row in chunk
+                pool.submit(_run_one, spark, row["sql"], f"{folder}/result-{number}", preview_rows, preview_tokens) for number, row in chunk
             ]
             rows = [job.result() for job in jobs]
             spark.createDataFrame(_table(rows)).coalesce(1).write.mode("append").parquet(f"{folder}/status")
@@ -87,10 +107,11 @@ def run_results(extracted: DataFrame, statuses: DataFrame) -> DataFrame:
     return joined.select("question_id", "question", "sql", status.alias("status"), "row_count", "error", "result_path")
 
 
-def previews(spark: SparkSession, statements: DataFrame, n: int = FOLLOWUP_ROWS) -> DataFrame:
-    """Distinct statements (sql) with their first rows as markdown: sql, preview, error."""
+def previews(spark: SparkSession, statements: DataFrame, n: int | None = None, tokens: int = MAX_TOKENS) -> DataFrame:
+    """Distinct statements (sql) with their rows as markdown: sql, preview, error. The first ``n`` rows, or all of them as far as
+    ``tokens`` go."""
     checked = statements.withColumn("is_valid", is_select(F.col("sql")))
-    seen = run_statements(spark, checked, preview_rows=n).select("sql", "preview", "error")
+    seen = run_statements(spark, checked, preview_rows=n, preview_tokens=tokens).select("sql", "preview", "error")
     no_reader = F.when(F.col("preview").isNull(), F.coalesce("error", F.lit("not a statement that reads data")))
     return statements.join(seen, "sql", "left").select("sql", "preview", no_reader.alias("error"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +44,18 @@ def suggested_context(
 
 def generate_sql(
     questions: DataFrame, corpus: DataFrame, model: ModelFactory, *, k=N_RESULTS, max_tokens: int = MAX_TOKENS,
-    mode: str = "full", extract: str = "last", allow_data: bool = False, context: DataFrame | None = None, **sizes,
+    mode: str = "full", extract: str = "last", allow_data: bool = False, context: DataFrame | None = None, calls: dict | None = None,
+    preview_rows: int | None = None, **sizes,
 ) -> DataFrame:
     """SQL for every question (question_id, question, embedding): question_id, question, response, error,
-    sql, is_valid. The context is searched by the question unless given."""
+    sql, is_valid. The context is searched by the question unless given. ``calls``: options of the model calls, see
+    :func:`askwell.operators.model.generate_responses`. ``preview_rows``: rows of a look into the data that the model is shown, all without
+    it, as far as half of ``max_tokens`` goes."""
     spark = corpus.sparkSession
     if context is None:
         context = retrieve_context(questions, corpus, k, **sizes)
     rebuild = lambda c: build_prompts(c, mode, max_tokens=max_tokens)
-    responses = two_step(context, model, rebuild, lambda s: previews(spark, s), allow_data=allow_data)
+    responses = two_step(context, model, rebuild, lambda s: previews(spark, s, preview_rows, max_tokens // 2), allow_data=allow_data, **(calls or {}))
     asked = questions.select(F.col("question_id").cast("string").alias("question_id"), "question")
     return asked.join(extracted(responses, extract), "question_id")
 
@@ -61,14 +66,16 @@ def ask_batch(
 ) -> DataFrame:
     """Questions answered on Spark's catalog: one outcome row per question, results as Parquet.
 
-    Model responses are written before anything runs, so no retry asks the model again. With ``store``
+    Model responses are kept in ``folder`` as they come: a run that was killed goes on where it was if it is given the same folder. With ``store``
     the pairs that gave rows are added to it, embedded by ``embedder`` if it keeps vectors: the next ``store.read()``
     finds them without another pass through the model.
     """
     folder = folder or shared_folder(spark, "ask")
-    generate_sql(questions, corpus, model, **options).write.parquet(f"{folder}/extracted")
-    found = spark.read.parquet(f"{folder}/extracted")
-    runs = run_results(found, run_statements(spark, found, f"{folder}/runs"))
+    calls = {"answers": f"{folder}/answers"} | (options.pop("calls", None) or {})
+    path = f"{shared_folder(spark, 'ask')}/extracted"
+    generate_sql(questions, corpus, model, calls=calls, **options).write.parquet(path)
+    found = spark.read.parquet(path)
+    runs = run_results(found, run_statements(spark, found, f"{folder}/runs-{uuid.uuid4().hex}"))
     if store is not None:
         learn(store, auto_train(runs), embedder)
     return runs

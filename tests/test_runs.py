@@ -257,3 +257,88 @@ def test_a_pair_is_sent_once(spark, tmp_path):
     go("d", remember_days=1e-9)
     spark.createDataFrame(hot, schema).write.mode("append").parquet(source)
     assert len(go("d", remember_days=1e-9)) > len(ids)  # forgotten, so sent again
+
+
+def test_a_look_into_the_data_shows_all_rows(spark):
+    spark.range(60).select(F.col("id").alias("n"), F.lit("x" * 20).alias("t")).coalesce(1).createOrReplaceTempView("sixty")
+    statements = spark.createDataFrame([("SELECT n, t FROM sixty ORDER BY n",)], "sql string")
+    whole = run.previews(spark, statements).first()["preview"]
+    assert whole.splitlines()[2:] == [f"| {i} | {'x' * 20} |" for i in range(60)]
+    some = run.previews(spark, statements, tokens=100).first()["preview"]
+    shown = some.splitlines()[2:-1]
+    assert shown == whole.splitlines()[2 : 2 + len(shown)] and 5 < len(shown) < 60
+    assert some.splitlines()[-1] == f"({60 - len(shown)} of 60 rows are not shown)" and len(some) <= 460
+    assert len(run.previews(spark, statements, 25).first()["preview"].splitlines()) == 27
+
+
+def prompts_of(spark, texts):
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "question_id string, t string")
+    message = F.when(F.col("t").isNotNull(), F.array(ctx.message("user", F.col("t"))))
+    return rows.select("question_id", message.alias("messages"))
+
+
+def test_a_killed_run_goes_on_where_it_was(spark, tmp_path):
+    log, broken = tmp_path / "calls", tmp_path / "broken"
+    log.mkdir()
+    broken.touch()
+
+    def factory():
+        import os
+        import time
+        import uuid
+
+        def call(messages):
+            said = messages[-1]["content"]
+            (log / uuid.uuid4().hex).write_text(said)
+            if said == "p31" and broken.exists():
+                time.sleep(3)  # the others end first
+                os._exit(1)  # the worker dies
+            return said.upper()
+
+        return call
+
+    texts = [f"p{i}" for i in range(40)] + ["p3"] * 20 + [None]
+    kept = f"{tmp_path}/answers"
+    with pytest.raises(Exception):
+        model.ask_once(prompts_of(spark, texts), factory, kept, per_task=1).collect()
+    broken.unlink()
+    rows = {r["question_id"]: (r["response"], r["error"]) for r in model.ask_once(prompts_of(spark, texts), factory, kept, per_task=1).collect()}
+    assert rows == {str(i): (t.upper() if t else None, None if t else "ValueError: empty prompt") for i, t in enumerate(texts)}
+    calls = [p.read_text() for p in log.iterdir()]
+    asked_twice = {t for t in calls if calls.count(t) > 1}
+    assert asked_twice <= {"p31"} and set(calls) == set(filter(None, texts))  # only the call that died
+    again = len(calls)
+    model.ask_once(prompts_of(spark, texts), factory, kept).collect()
+    assert len(list(log.iterdir())) == again
+
+
+def test_calls_are_tried_again_and_go_together(spark, tmp_path):
+    def flaky():
+        seen = {}
+
+        def call(messages):
+            said = messages[-1]["content"]
+            seen[said] = seen.get(said, 0) + 1
+            if seen[said] < 3:
+                raise TimeoutError(said)
+            return f"{said} {seen[said]}"
+
+        return call
+
+    prompts = prompts_of(spark, ["a", "b", "c", None])
+    found = {r["question_id"]: (r["response"], r["error"]) for r in model.generate_responses(prompts, flaky, retries=2, wait=0.01, in_flight=3).collect()}
+    assert found == {"0": ("a 3", None), "1": ("b 3", None), "2": ("c 3", None), "3": (None, "ValueError: empty prompt")}
+    kept = f"{tmp_path}/kept"
+    once = {r["question_id"]: r["error"] for r in model.generate_responses(prompts, flaky, answers=kept, retries=1, wait=0.01).collect()}
+    assert once["0"] == "TimeoutError: a"
+    later = {r["question_id"]: r["response"] for r in model.generate_responses(prompts, flaky, answers=kept, retries=2, wait=0.01).collect()}
+    assert later == {"0": "a 3", "1": "b 3", "2": "c 3", "3": None}  # what failed is asked again
+
+    def lists():
+        return lambda group: [f"{len(group)} {m[-1]['content']}" for m in group] if group[0][-1]["content"] != "x" else ["too few"]
+
+    some = prompts_of(spark, ["a", "b", None, "c", "d", "e"]).coalesce(1)
+    together = {r["question_id"]: r["response"] for r in model.generate_responses(some, lists, tasks=1, together=3).collect()}
+    assert sorted(x[0] for x in together.values() if x) == ["2", "2", "3", "3", "3"] and together["2"] is None
+    wrong = model.generate_responses(prompts_of(spark, ["x", "y"]).coalesce(1).sortWithinPartitions("question_id"), lists, tasks=1, together=2)
+    assert {r["error"] for r in wrong.collect()} <= {"ValueError: 1 responses to 2 prompts", None}
