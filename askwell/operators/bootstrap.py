@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from askwell.functions.sqltext import contains_any
 from askwell.functions.text import strip_brackets
-from askwell.operators.ranking import joined_text
+from askwell.operators.ranking import joined_text, top_k
 
 HISTORY_SAMPLE = 10  # fixed value
 
@@ -93,6 +93,32 @@ def mine_history(
     return kept.select("QUERY_TEXT").distinct()
 
 
+def fingerprint(sql: Column) -> Column:
+    """A statement's template: texts and numbers become ``?``, lists of them one, case and blanks do not count."""
+    bare = F.regexp_replace(F.regexp_replace(sql, r"'(?:[^']|'')*'", "?"), r"\b[0-9]+(?:\.[0-9]+)?\b", "?")
+    listed = F.regexp_replace(bare, r"\(\s*\?(?:\s*,\s*\?)*\s*\)", "(?)")
+    return F.trim(F.regexp_replace(F.lower(listed), r"\s+", " "))
+
+
+def statement_templates(
+    history: DataFrame, databases: list[str] | None = None, schemas: list[str] | None = None, per_template: int = 1, seed: str = "0",
+) -> DataFrame:
+    """Every template of the queries worth training on: ``template``, how many queries it has (``queries``), and ``per_template`` of
+    them, a seeded draw (QUERY_ID, QUERY_TEXT).
+
+    The draw is the smallest hashes of the ids, which map tasks pick before the shuffle, so a template that most queries have brings
+    few rows to its task.
+    """
+    kept = history.filter(F.col("ROWS_PRODUCED") > 1)
+    for needles in (databases, schemas):
+        if needles is not None:
+            kept = kept.filter(contains_any(F.col("QUERY_TEXT"), needles))
+    kept = kept.select("QUERY_ID", "QUERY_TEXT", fingerprint(F.col("QUERY_TEXT")).alias("template"))
+    draw = F.md5(F.concat(F.col("QUERY_ID").cast("string"), F.lit(seed)))
+    counts = kept.groupBy("template").agg(F.count(F.lit(1)).alias("queries"))
+    return top_k(kept, ["template"], [draw, F.col("QUERY_ID")], per_template).drop("rank").join(counts, "template")
+
+
 def history_plan(queries: DataFrame, question: Column | None = None) -> DataFrame:
     """Mined queries as plan items; their questions come from a model (see :mod:`askwell.operators.model`)."""
     return queries.select(

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from askwell.operators.corpus import add_ddl, add_documentation, add_pairs, route_training
 from askwell.operators.embedding import ModelFactory, embed
+from askwell.operators.model import ModelFactory as PromptModel
+from askwell.operators.model import questions_for_sql
+from askwell.session import shared_folder
 from askwell.sources.store import CorpusStore
 
 
@@ -29,8 +32,22 @@ def training_rows(requests: DataFrame, questions: DataFrame | None = None) -> tu
     return rows, lost.unionByName(pairs.filter(~asked).select("question", "sql", F.lit("no question for this sql").alias("error")))
 
 
-def train(store: CorpusStore, requests: DataFrame, embedder: ModelFactory | None = None, questions: DataFrame | None = None) -> DataFrame:
-    """Adds what is new of the requests to ``store``, with vectors; gives back the rejects."""
+def made_questions(requests: DataFrame, asker: PromptModel, **calls) -> DataFrame:
+    """Questions (sql, question, error) that a model makes for the bare statements of training requests, each distinct one once."""
+    bare = route_training(requests).filter("route = 'sql' AND needs_question").select("sql").distinct()
+    return questions_for_sql(bare, asker, key="sql", **calls)
+
+
+def train(
+    store: CorpusStore, requests: DataFrame, embedder: ModelFactory | None = None, questions: DataFrame | None = None,
+    asker: PromptModel | None = None, **calls,
+) -> DataFrame:
+    """Adds what is new of the requests to ``store``, with vectors; gives back the rejects. Questions for bare statements are given,
+    or made by the model ``asker`` and written before they are used (``calls``: see :func:`askwell.operators.model.generate_responses`)."""
+    if asker is not None and questions is None:
+        path = shared_folder(store.spark, "made-questions")
+        made_questions(requests, asker, **calls).filter("question IS NOT NULL").select("sql", "question").write.parquet(path)
+        questions = store.spark.read.parquet(path)
     rows, rejects = training_rows(requests, questions)
     learn(store, rows, embedder)
     return rejects

@@ -371,6 +371,22 @@ def summaries(spark, sf_dir):
     return m.summarize(_shown_runs(spark, sf_dir), counting_model)
 
 
+@query("summaries_of_results", f"""
+    WITH r AS (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2),
+    shown AS (SELECT p, '| s | n |' || chr(10) || '|:--|:--|' || chr(10) || string_agg('| ' || s || ' | ' || n || ' |', chr(10) ORDER BY s) AS preview FROM r GROUP BY p),
+    told AS (SELECT p, length('Question: How many of ' || p || '?' || chr(10) || 'SQL: SELECT o_orderstatus AS s, count(*) AS n FROM askwell_orders WHERE o_orderpriority = ' || chr(39) || p
+      || chr(39) || ' GROUP BY o_orderstatus ORDER BY s' || chr(10) || 'Result:' || chr(10) || preview) AS n FROM shown)
+    SELECT p AS question_id, '2 messages, ' || (n + length({text(ctx.TEMPLATES['summary'])})) || ' characters' AS summary, CAST(NULL AS VARCHAR) AS error FROM told""")
+def summaries_of_results(spark, sf_dir):
+    """Summaries of what statements gave, all rows of it: a statement for each order priority."""
+    inputs.views(spark, sf_dir, "orders")
+    sql = F.concat(F.lit("SELECT o_orderstatus AS s, count(*) AS n FROM askwell_orders WHERE o_orderpriority = '"), "p", F.lit("' GROUP BY o_orderstatus ORDER BY s"))
+    asked = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p")).distinct().select(
+        F.col("p").alias("question_id"), F.concat(F.lit("How many of "), "p", F.lit("?")).alias("question"), sql.alias("sql"))
+    seen = previews(spark, asked.select("sql")).select("sql", "preview")
+    return m.summarize(asked.join(seen, "sql"), counting_model)
+
+
 def plotting_model():
     """A stand-in model: fenced code naming the length of what it was told."""
     return lambda messages: f"Sure:\n```python\nfig = {len(messages[0]['content'])}\nfig.show()\n```"

@@ -304,16 +304,24 @@ def query_history(spark, sf_dir):
 
 
 @query("history_mining", f"""
-    WITH {HISTORY}, kept AS (SELECT * FROM history WHERE rows_produced > 1
+    WITH {HISTORY}, kept AS (SELECT *, lower(regexp_replace(query_text, '\\b[0-9]+\\b', '?', 'g')) AS template FROM history WHERE rows_produced > 1
       AND (contains(lower(query_text), 'sales_1') OR contains(lower(query_text), 'sales_2'))
-      AND (contains(lower(query_text), 'schema_click') OR contains(lower(query_text), 'schema_view')))
-    SELECT DISTINCT 'sql' AS item_type, '' AS item_group, query_text AS item_value
-    FROM (SELECT * FROM kept ORDER BY md5(query_id || '7'), query_id LIMIT 10)""")
+      AND (contains(lower(query_text), 'schema_click') OR contains(lower(query_text), 'schema_view'))),
+    drawn AS (SELECT template, count(*) AS queries, arg_min(query_text, md5(query_id || '7')) AS query_text FROM kept GROUP BY template)
+    SELECT 'sql' AS item_type, '' AS item_group, 'What has ' || length(query_text) || ' characters?' AS item_name, query_text AS item_value, template, queries FROM drawn""")
 def history_mining(spark, sf_dir):
-    mined = bootstrap.mine_history(
-        inputs.query_history(spark, sf_dir), ["SALES_1", "Sales_2"], ["Schema_click", "schema_VIEW"], bootstrap.HISTORY_SAMPLE, "7"
-    )
-    return bootstrap.history_plan(mined).drop("item_name")
+    """A query of every template of the log, with a question that a model made for it."""
+    from askwell.operators.model import questions_for_sql
+    from askwell.plans.context_queries import echo_model
+
+    mined = bootstrap.statement_templates(inputs.query_history(spark, sf_dir), ["SALES_1", "Sales_2"], ["Schema_click", "schema_VIEW"], 1, "7")
+    path = shared_folder(spark, "mined")
+    mined.write.parquet(path)
+    mined = spark.read.parquet(path)
+    asked = questions_for_sql(mined, echo_model, key="template", sql="QUERY_TEXT").select("template", "question")
+    named = mined.join(asked, "template")
+    plan = bootstrap.history_plan(named, F.col("question"))
+    return plan.join(named.select(F.col("QUERY_TEXT").alias("item_value"), "template", "queries"), "item_value")
 
 
 @query("alter_ddl", f"WITH {COLUMNS} SELECT table_name, column_name, 'ALTER TABLE ' || table_name || ' ADD COLUMN ' || line || ';' AS ddl FROM collines")

@@ -110,6 +110,20 @@ def train_then_ask(spark, sf_dir):
     return hits.select("question_id", "id", "distance")
 
 
+@query("train_bare_statements", f"""
+    WITH {PAIRS}, made AS (SELECT DISTINCT 'What has ' || length(sql) || ' characters?' AS question, sql FROM pairs)
+    SELECT {sql_id(sql_pair('question', 'sql'), 'sql')} AS id, question, sql AS content FROM made""")
+def train_bare_statements(spark, sf_dir):
+    """Statements without a question: a model makes one for each, and the pairs are stored."""
+    from askwell.plans.context_queries import echo_model
+
+    store = CorpusStore(spark, shared_folder(spark, "bare"), schemas.CORPUS)
+    none = F.lit(None).cast("string")
+    bare = inputs.pairs(spark, sf_dir).select(none.alias("question"), "sql", none.alias("ddl"), none.alias("documentation"))
+    train(store, bare, asker=echo_model, answers=shared_folder(spark, "made"))
+    return store.read().select("id", "question", "content")
+
+
 def words_model():
     """A stand-in model: suggests the question's words, one per line."""
     return lambda messages: "\n".join(messages[-1]["content"].split("Question: ")[1].split())

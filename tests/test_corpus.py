@@ -338,3 +338,14 @@ def test_ordered_text_and_previous_rows(spark):
     assert (before["cold", 7], before["cold", 9000], before["cold", 9001]) == (None, "x", None)
     best = top_k(df.filter("k = 'hot'"), ["k"], [F.desc("p")], 2)
     assert [r["p"] for r in best.orderBy("rank").collect()] == [4998, 4995]
+
+
+def test_statement_templates(spark):
+    texts = ["SELECT a FROM t WHERE x = 'it''s' AND y IN (1, 2,3)", "select  a from T where x = 'b' and y in (7)", "SELECT a FROM t2 WHERE z = 1.5", "SELECT a FROM t2 WHERE z = 99", "SELECT 1"]
+    log = spark.createDataFrame([(x, 2 if x != "SELECT 1" else 1, i) for i, x in enumerate(texts * 40)], "QUERY_TEXT string, ROWS_PRODUCED int, QUERY_ID int").repartition(4)
+    got = bootstrap.statement_templates(log, per_template=3, seed="7").collect()
+    assert {(r["template"], r["queries"]) for r in got} == {("select a from t where x = ? and y in (?)", 80), ("select a from t2 where z = ?", 80)}
+    assert len(got) == 6 and got[0].asDict().keys() >= {"QUERY_ID", "QUERY_TEXT"}
+    again = bootstrap.statement_templates(log.repartition(2), per_template=3, seed="7").collect()
+    assert sorted(r["QUERY_ID"] for r in again) == sorted(r["QUERY_ID"] for r in got)
+    assert bootstrap.statement_templates(log, ["nowhere"]).count() == 0
