@@ -31,10 +31,17 @@ LEAST_VALUE = 12
 
 #: Contexts of the method, wider than those of the patterns, with any printable value of any length. The key begins where no
 #: letter or digit stands before it, or in camel case.
-CONTEXT = re.compile(
-    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))(?:password|passwd|passphrase|pass|pwd|pin|secret|credentials?|auth|token|api_?key|private_?key|access_?key)["']?\x20*(?::=|[:=]|\x20is\x20)\x20*(["']?)([^\s"'`<>,;]{6,})""",
-    re.IGNORECASE | re.ASCII,
-)
+KEY = r"(password|passwd|passphrase|pass|pwd|pin|secret|credentials?|auth|token|api_?key|private_?key|access_?key)"
+#: A value in quotes goes up to the same quote on its line; else it ends at a blank, a quote or a mark that ends values.
+VALUE = r"""(?:"([^"\r\n]{6,})"|'([^'\r\n]{6,})'|["']?([^\s"'`<>,;]{6,}))"""
+BEGIN = r"(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"
+CONTEXT = re.compile(BEGIN + KEY + r"""["']?\x20*(?::=|=>|[:=]|\x20is\x20)\x20*""" + VALUE, re.IGNORECASE | re.ASCII)
+OPTION = re.compile(r"(?<![A-Za-z0-9-])--?(?:[a-z0-9]+[-_])?" + KEY + r"\x20+(?!-)" + VALUE, re.IGNORECASE | re.ASCII)
+ELEMENT = re.compile(r"<(?:[a-z0-9]+[-_:])?" + KEY + r">()()([^<>\r\n]{6,})</", re.IGNORECASE | re.ASCII)
+#: The password of a URL, after the user's name.
+IN_URL = re.compile(r"""()://[^\s/:@"'<>]+:()()([^\s/@"'<>]{6,})@""")
+#: Keys whose quoted value may be a phrase of several words; after others that is prose.
+PHRASE_KEYS = ("pass", "pwd")
 LEAST_LOG10 = 10.0
 #: Letters that stand in a sentence and are cased like a word are random if guessing them costs nearly what brute force does:
 #: words that the vocabulary lacks have parts that it holds. Nothing longer than this is a word.
@@ -210,16 +217,29 @@ def like_a_word(value: str, ranks: dict[str, int]) -> bool:
     return guess_cost(value, ranks)[0] < RANDOM_SHARE * len(value) * math.log10(alphabet(value))
 
 
+def values(text: str) -> Iterator[tuple[str, int, int, bool, bool]]:
+    """Values in credential contexts: key, start, end, whether the value is quoted or enclosed, and whether it stands in a sentence."""
+    for pattern in (CONTEXT, OPTION, ELEMENT, IN_URL):
+        for m in pattern.finditer(text):
+            group = 2 if m[2] else 3 if m[3] else 4
+            enclosed = pattern is ELEMENT or pattern is IN_URL or m.start(group) > 0 and text[m.start(group) - 1] in "\"'"
+            value = m[group] if enclosed else m[group].rstrip(".:!?)]}")
+            yield m[1].lower(), m.start(group), m.start(group) + len(value), enclosed, pattern is CONTEXT and not enclosed and "=" not in text[m.start() : m.start(group)]
+
+
 def password_spans(text: str, ranks: dict[str, int], least_log10: float) -> list[tuple[int, int, int]]:
-    """Values in credential contexts that cost enough; words of prose and references to variables are no values."""
-    out = []
-    for m in CONTEXT.finditer(text):
-        value = m[2].rstrip(".:!?)]}") if not m[1] else m[2]
-        if len(value) < 6 or value.startswith(("${", "$(", "{{", "%(")) or not costs_at_least(value, ranks, least_log10):
+    """Values in credential contexts that cost enough, none of which overlaps another. Words of prose and references to variables are
+    no values; what holds blanks is one only after a key of passwords."""
+    out, free = [], 0
+    for key, start, end, _, in_prose in sorted(values(text), key=lambda x: (x[1], -x[2])):
+        value = text[start:end]
+        if start < free or len(value) < 6 or value.startswith(("${", "$(", "{{", "%(")):
+            continue
+        if any(ch.isspace() for ch in value) and not key.startswith(PHRASE_KEYS):
             continue
-        in_prose = not m[1] and "=" not in text[m.start() : m.start(2)]
-        if not (in_prose and like_a_word(value, ranks)):
-            out.append((m.start(2), 3, m.start(2) + len(value)))
+        if costs_at_least(value, ranks, least_log10) and not (in_prose and like_a_word(value, ranks)):
+            out.append((start, 3, end))
+            free = end
     return out
 
 

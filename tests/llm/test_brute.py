@@ -1,6 +1,7 @@
 """Operators against plain versions of themselves."""
 
 import collections
+import hashlib
 import random
 import re
 import zlib
@@ -311,3 +312,36 @@ def test_line_chunks_move_with_what_is_before(spark):
     docs = spark.createDataFrame([(i, "\n".join([f"own line {i} {k}" for k in range(i)] + shared)) for i in range(1, 9)], "doc_id bigint, text string")
     rows = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).collect()}
     assert rows[1]["n_removed"] == 0 and all(rows[i]["n_removed_lines"] >= 25 for i in range(2, 9))
+
+
+def test_values_of_further_contexts_are_secrets():
+    ranks = secret_scan.word_ranks(secret_scan.vocabulary_path(secret_scan.WORDS))
+
+    def found(text):
+        return [text[s:e] for s, _, e in secret_scan.password_spans(text, ranks, secret_scan.LEAST_LOG10)]
+
+    assert found('password = "Zr4,pPq8;wUy>k9"') == ["Zr4,pPq8;wUy>k9"] and found('pwd="k9;Zr4pPq8wUyXq"') == ["k9;Zr4pPq8wUyXq"]
+    assert found('passphrase = "correct horse battery staple violin"') == ["correct horse battery staple violin"]
+    assert found('password => "x7$Kq9!vLm"') == ["x7$Kq9!vLm"] and found("see https://bob:x7$Kq9!vLm@host/ for it") == ["x7$Kq9!vLm"]
+    assert found("run --password x7$Kq9!vLm --db-password 'Zr4 pPq8 wUy'") == ["x7$Kq9!vLm", "Zr4 pPq8 wUy"]
+    assert found("<password>x7$Kq9!vLm</password><db_password>Zr4-pPq8wU</db_password>") == ["x7$Kq9!vLm", "Zr4-pPq8wU"]
+    assert found('"password": "x7$Kq9!vLm", "token": "it is a word in quotes, no more"') == ["x7$Kq9!vLm"]
+    assert found("token=https://bob:x7$Kq9!vLm@host/") == ["https://bob:x7$Kq9!vLm@host/"]  # one span, not two
+    for prose in ('secret: "a long walk by the river in the evening"', "the password is required here", "--token file is read", "http://host:8080/p@x", "<pass>unclosed", 'password="', "password='short'", "pass the salt: thanks"):
+        assert found(prose) == [], prose
+    assert found('password="x7$Kq9!vLm') == ["x7$Kq9!vLm"]  # never closed
+    found('password = "' * 20_000)  # ends
+
+
+def test_rows_of_the_query_are_those_of_a_plain_scan(spark):
+    docs = table(spark, SF, "documents")
+    ranks = secret_scan.word_ranks(secret_scan.vocabulary_path(secret_scan.WORDS))
+    got = {r["doc_id"]: r for r in secret_scan.secrets(docs).collect()}
+    texts = docs.select("doc_id", "text").collect()
+    assert len(got) == len(texts)
+    for row in texts:
+        base = plain_spans(row["text"] or "")
+        more = secret_scan.password_spans(row["text"] or "", ranks, secret_scan.LEAST_LOG10)
+        found = got[row["doc_id"]]
+        assert found["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) - {""} <= set(found["spans"].split(",")) and found["n_password"] == len(more)
