@@ -63,7 +63,8 @@ cut AS (SELECT g, l, s, metric, min(edge) FILTER (2 * seen >= total) AS half, mi
   FROM running WHERE total >= 100 GROUP BY ALL),
 limits AS (SELECT g, l, s, metric, greatest(CASE metric WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 500 WHEN 'repeats' THEN 400 WHEN 'capitals' THEN 200 ELSE 9000 END,
   most + 6 * (most - half)) AS cutoff FROM cut),
-chosen AS (SELECT rid, x.metric, x.v, x.place, coalesce(a.cutoff, b.cutoff, c.cutoff) AS cutoff
+chosen AS (SELECT rid, x.metric, x.v, x.place, coalesce(a.cutoff, b.cutoff, c.cutoff,
+    CASE x.metric WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 500 WHEN 'repeats' THEN 400 WHEN 'capitals' THEN 200 ELSE 9000 END) AS cutoff
   FROM (SELECT rid, lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'word_length']) AS metric,
     unnest([symbols, dup_lines, repeats, capitals, word_length]) AS v, unnest([1, 2, 3, 4, 5]) AS place FROM rated) x
   LEFT JOIN limits a ON a.g = 0 AND a.metric = x.metric AND a.l IS NOT DISTINCT FROM x.lang AND a.s IS NOT DISTINCT FROM x.source

@@ -93,8 +93,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``kept`` and ``rule`` (the first metric above its cutoff) of every document.
 
     Null text counts as empty, and fails. A null language or source is a group like any other. Repeated rows count each;
-    an empty table gives no row. In a table of fewer than ``LEAST_ROWS`` rows no group is large enough, not even everything: there
-    are no cutoffs then, the least ones of ``METRICS`` included, and only ``base_failed`` rejects. Columns other than ``doc_id, text, lang, source`` are not looked at.
+    an empty table gives no row. In a table of fewer than ``LEAST_ROWS`` rows no group is large enough, not even everything: the
+    least cutoffs of ``METRICS`` hold then. Columns other than ``doc_id, text, lang, source`` are not looked at.
     """
     rows = written(metrics(docs.select("doc_id", "text", "lang", "source")).drop("text"), "metrics")
     measured = rows.select("*", *thousandths())
@@ -106,7 +106,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         for k in keys:
             on = on & F.col(k).eqNullSafe(F.col(f"{k}_{level}"))
         joined = joined.join(side, on, "left") if keys else joined.join(F.broadcast(side), F.lit(True), "left")  # one row at most
-    limit = F.coalesce("limits_0", "limits_1", "limits_2")
+    least = F.create_map(*(F.lit(x).cast("bigint") if isinstance(x, int) else F.lit(x) for m, (_, low) in METRICS.items() for x in (m, low)))
+    limit = F.coalesce("limits_0", "limits_1", "limits_2", least)
     rule = F.coalesce(*(F.when(F.col(m) > limit[m], F.lit(m)) for m in METRICS))
     return joined.withColumn("rule", rule).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
