@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from askwell.functions.text import one_line
 from askwell.functions.vectors import norm
 from askwell.operators import ivf, nearest, pq, retrieval
 from askwell.operators.embedding import embed, hashed_grams, projection_2d
@@ -300,3 +301,29 @@ def layout_trust(spark, sf_dir):
     placed = spark.read.parquet(path)
     better = trustworthiness(rows, placed) > trustworthiness(rows, projection_2d(rows))
     return placed.agg(F.count("x").alias("placed")).withColumn("better_than_components", F.lit(better))
+
+
+@query("one_line", "SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents")
+def one_line_query(spark, sf_dir):
+    """Texts as they go to an embedding model."""
+    return inputs.table(spark, sf_dir, "documents").select("doc_id", one_line(F.col("text")).alias("text"))
+
+
+def sizing_model():
+    """A stand-in model that tells questions from documents: the text's length and line breaks, and 1 for a question."""
+    def call(texts, task):
+        return [[float(len(t)), float(t.count("\n")), float(task == "question")] for t in texts]
+
+    return call
+
+
+@query("embed_tasks", """
+    SELECT 'document' AS task, doc_id AS id, CAST(length(text) AS DOUBLE) AS n, CAST(0 AS DOUBLE) AS breaks, CAST(0 AS DOUBLE) AS asked FROM documents
+    UNION ALL SELECT 'question', item_id, CAST(length(text) AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM benchmark""")
+def embed_tasks(spark, sf_dir):
+    """Stored texts and questions are embedded as such, each on one line."""
+    stored = embed(inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "text", sizing_model)
+    asked = embed(inputs.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), "text", sizing_model, task="question")
+    rows = stored.select(F.lit("document").alias("task"), "id", "embedding").unionByName(asked.select(F.lit("question").alias("task"), "id", "embedding"))
+    parts = [F.col("embedding")[i].cast("double").alias(name) for i, name in enumerate(("n", "breaks", "asked"))]
+    return rows.select("task", "id", *parts)
