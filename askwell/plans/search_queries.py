@@ -218,12 +218,9 @@ def pq_recall(spark, sf_dir):
     """Codes are at most 1/16 of the vectors' bytes, and 95 % of the ten nearest rows are found."""
     asked, corpus, coded, found = _pq(spark, sf_dir)
     enough = pq.recall(found, nearest.knn(asked, corpus, 10)) >= 0.95
-    sizes = corpus.agg(F.sum(4 * F.size("embedding")).alias("vectors"))
-    row = coded.agg(F.count(F.lit(1)).alias("coded"), F.sum(F.length("code")).alias("codes"))
-    counted = asked.agg(F.count(F.lit(1)).alias("questions"))
-    one = F.broadcast
-    return row.join(one(sizes)).join(one(counted)).select(  # one row each
-        "questions", "coded", (F.col("codes") <= F.col("vectors") / 16).alias("codes_small"), F.lit(enough).alias("recall_95"))
+    most = corpus.agg(F.coalesce(F.sum(4 * F.size("embedding")), F.lit(0))).first()[0] / 16
+    return coded.agg(F.count(F.lit(1)).alias("coded"), F.sum(F.length("code")).alias("codes")).select(
+        F.lit(asked.count()).cast("bigint").alias("questions"), "coded", (F.col("codes") <= most).alias("codes_small"), F.lit(enough).alias("recall_95"))
 
 
 @query("starter_questions", f"""
