@@ -1,17 +1,25 @@
 """Content-defined line chunks: chunks of several lines that are found elsewhere already are removed.
 
 A rolling hash covers each pair of neighbouring line hashes; a chunk starts where it is smaller than its neighbours. A
-boundary so depends on four lines only and moves along when lines are put in before it, and a chunk has two lines or
-more. Everything is a DataFrame expression.
+boundary so depends on four lines only and moves along when lines are put in before it, and such a chunk has two lines or
+more. A line of many words is a passage by itself and always a chunk of its own, whatever stands around it. Everything is
+a DataFrame expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BREAK = "\n"
 WITH_WORD = r"[^\x20\x09-\x0D]"
+#: A line of more words is a chunk of its own.
+LINE_WORDS = 50
+
+
+def is_long(line) -> Column:
+    """More than ``LINE_WORDS`` words. Words are only counted where there are characters enough for them."""
+    return (F.length(line) > 2 * LINE_WORDS) & (F.regexp_count(line, F.lit(WITH_WORD + "+")) > LINE_WORDS)
 
 
 def with_chunks(docs: DataFrame, text: str) -> DataFrame:
@@ -26,15 +34,20 @@ def with_chunks(docs: DataFrame, text: str) -> DataFrame:
     less = F.greatest(F.size("hashes") - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice("hashes", F.lit(1), less).alias("a"), F.slice("hashes", F.lit(2), less).alias("b"))
     rolled = hashed.withColumn("rolled", F.transform(pairs, lambda p: F.md5(F.concat(p["a"], p["b"]))))
+    rolled = rolled.withColumn("long", F.transform("lines", is_long))
     beside = F.arrays_zip(
-        F.col("lines").alias("line"), F.concat("rolled", none).alias("here"), F.concat(none, "rolled").alias("before"),
+        F.col("lines").alias("line"), F.col("long").alias("long"), F.concat(F.array(F.lit(False)), "long").alias("after_long"),
+        F.concat("rolled", none).alias("here"), F.concat(none, "rolled").alias("before"),
         F.concat(F.slice("rolled", F.lit(2), F.greatest(F.size("rolled"), F.lit(0))), none, none).alias("after"),
     )
     low = lambda x: (x["here"] < x["before"]) & F.coalesce(x["here"] <= x["after"], F.lit(True))
-    mark = lambda x, i: F.concat(F.when((i == 0) | ((i >= 2) & low(x)), "B").otherwise("C"), x["line"])
+    begins = lambda x, i: (i == 0) | x["long"] | x["after_long"] | ((i >= 2) & low(x))
+    mark = lambda x, i: F.concat(F.when(begins(x, i), "B").otherwise("C"), x["line"])
     marked = rolled.withColumn("marked", F.array_join(F.transform(beside, mark), BREAK))
     bare = lambda c: F.regexp_replace(c, r"(\A|\n)[BC]", "$1")
-    return marked.withColumn("chunks", F.transform(F.split("marked", r"\n(?=B)", -1), bare)).drop("lines", "hashes", "rolled", "marked")
+    return marked.withColumn("chunks", F.transform(F.split("marked", r"\n(?=B)", -1), bare)).drop(
+        "lines", "hashes", "rolled", "long", "marked"
+    )
 
 
 def occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
@@ -42,7 +55,7 @@ def occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
     rows = docs.select("doc_id", F.md5("text").alias("version"), "text").where(F.col("text").isNotNull())
     # the outer form: for the inner one the optimizer tests that there are chunks, by making them once more at the scan
     exploded = with_chunks(rows, "text").select("doc_id", "version", F.posexplode_outer("chunks").alias("no", "chunk"))
-    fit = F.contains("chunk", F.lit(BREAK)) & (F.length("chunk") >= least_chars) & F.col("chunk").rlike(WITH_WORD)
+    fit = (F.contains("chunk", F.lit(BREAK)) | is_long("chunk")) & (F.length("chunk") >= least_chars) & F.col("chunk").rlike(WITH_WORD)
     return exploded.where(fit).withColumn("digest", F.unhex(F.sha2("chunk", 256)))
 
 
@@ -69,7 +82,7 @@ def without_repeats(docs: DataFrame, least_chars: int = 32) -> DataFrame:
     """All rows and columns of ``docs`` as ``row``, with ``kept_text``, ``n_chunks``, ``n_removed`` and ``n_removed_lines``.
 
     The first occurrence of a chunk stays, all later ones go, in other documents and in the same. Null text stays null;
-    empty text and one line stay as they are. Rows that repeat both id and text share their fate: all keep what the
+    empty text and one line of at most ``LINE_WORDS`` words stay as they are. Rows that repeat both id and text share their fate: all keep what the
     first occurrence keeps. Other columns may have any name.
     """
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))

@@ -5,14 +5,15 @@ from askwell.llm import url_filter
 OP7 = r"""
 WITH docs AS (SELECT doc_id, md5(text) AS version, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 line AS (SELECT DISTINCT doc_id, version, unnest(lines) AS line, unnest(range(len(lines))) AS i, len(lines) AS n FROM docs),
-rolled AS (SELECT *, CASE WHEN i < n - 1 THEN md5(md5(line) || md5(lead(line) OVER w)) END AS r
-  FROM line WINDOW w AS (PARTITION BY doc_id, version ORDER BY i)),
-begun AS (SELECT *, CASE WHEN i = 0 OR (i >= 2 AND r < lag(r) OVER w AND coalesce(r <= lead(r) OVER w, true)) THEN 1 ELSE 0 END AS b
-  FROM rolled WHERE n > 1 WINDOW w AS (PARTITION BY doc_id, version ORDER BY i)),
+rolled AS (SELECT *, CASE WHEN i < n - 1 THEN md5(md5(line) || md5(lead(line) OVER w)) END AS r,
+  len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50 AS long FROM line WINDOW w AS (PARTITION BY doc_id, version ORDER BY i)),
+begun AS (SELECT *, CASE WHEN i = 0 OR long OR lag(long) OVER w OR (i >= 2 AND r < lag(r) OVER w AND coalesce(r <= lead(r) OVER w, true)) THEN 1 ELSE 0 END AS b
+  FROM rolled WINDOW w AS (PARTITION BY doc_id, version ORDER BY i)),
 numbered AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, version ORDER BY i) - 1 AS no FROM begun),
-chunk AS (SELECT doc_id, version, no, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_lines FROM numbered GROUP BY ALL),
+chunk AS (SELECT doc_id, version, no, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_lines,
+  bool_or(long) AS long FROM numbered GROUP BY doc_id, version, no),
 counted AS (SELECT *, count(*) OVER (PARTITION BY chunk) AS n, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, version, no) AS place,
-  length(chunk) >= 32 AND regexp_matches(chunk, '[^\x20\x09-\x0D]') AS fit FROM chunk),
+  (n_lines > 1 OR long) AND length(chunk) >= 32 AND regexp_matches(chunk, '[^\x20\x09-\x0D]') AS fit FROM chunk),
 done AS (SELECT doc_id, version, count(*) FILTER (fit AND place > 1) AS n_removed,
   coalesce(sum(n_lines) FILTER (fit AND place > 1), 0)::BIGINT AS n_removed_lines,
   coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT (fit AND place > 1)), '') AS text FROM counted GROUP BY ALL)
