@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 BREAK = "\n"
 WITH_WORD = r"[^\x20\x09-\x0D]"
-#: A line of more words is a chunk of its own.
-LINE_WORDS = 50
-MANY_WORDS = rf"\A[\x20\x09-\x0D]*+(?:{WITH_WORD}++[\x20\x09-\x0D]++){{{LINE_WORDS}}}{WITH_WORD}"
+#: A line with as many spaces, and so of more words, is a chunk of its own.
+LINE_SPACES = 50
 
 
 def is_long(line) -> Column:
-    """More than ``LINE_WORDS`` words. The pattern reads these from the start once, without a list of the words."""
+    """``LINE_SPACES`` spaces or more in over twice as many characters. Spaces are counted by what is left without them:
+    a regular expression takes half as much time again for the whole operator."""
     line = F.col(line) if isinstance(line, str) else line
-    return (F.length(line) > 2 * LINE_WORDS) & line.rlike(MANY_WORDS)
+    without = F.replace(line, F.lit(" "), F.lit(""))
+    return (F.length(line) > 2 * LINE_SPACES) & (F.length(line) - F.length(without) >= LINE_SPACES)
 
 
 def with_chunks(docs: DataFrame, text: str) -> DataFrame:
@@ -84,7 +85,7 @@ def without_repeats(docs: DataFrame, least_chars: int = 32) -> DataFrame:
     """All rows and columns of ``docs`` as ``row``, with ``kept_text``, ``n_chunks``, ``n_removed`` and ``n_removed_lines``.
 
     The first occurrence of a chunk stays, all later ones go, in other documents and in the same. Null text stays null;
-    empty text and one line of at most ``LINE_WORDS`` words stay as they are. Rows that repeat both id and text share their fate: all keep what the
+    empty text and one line that is not long stay as they are. Rows that repeat both id and text share their fate: all keep what the
     first occurrence keeps. Other columns may have any name.
     """
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))

@@ -6,7 +6,7 @@ OP7 = r"""
 WITH docs AS (SELECT doc_id, md5(text) AS version, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 line AS (SELECT DISTINCT doc_id, version, unnest(lines) AS line, unnest(range(len(lines))) AS i, len(lines) AS n FROM docs),
 rolled AS (SELECT *, CASE WHEN i < n - 1 THEN md5(md5(line) || md5(lead(line) OVER w)) END AS r,
-  len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50 AS long FROM line WINDOW w AS (PARTITION BY doc_id, version ORDER BY i)),
+  length(line) > 100 AND length(line) - length(replace(line, ' ', '')) >= 50 AS long FROM line WINDOW w AS (PARTITION BY doc_id, version ORDER BY i)),
 begun AS (SELECT *, CASE WHEN i = 0 OR long OR lag(long) OVER w OR (i >= 2 AND r < lag(r) OVER w AND coalesce(r <= lead(r) OVER w, true)) THEN 1 ELSE 0 END AS b
   FROM rolled WINDOW w AS (PARTITION BY doc_id, version ORDER BY i)),
 numbered AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, version ORDER BY i) - 1 AS no FROM begun),

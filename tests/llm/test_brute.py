@@ -280,19 +280,19 @@ def plain_pipeline(docs, items):
     import hashlib
 
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
-    n_words = lambda s: len(re.findall(r"[^\x20\x09-\x0D]+", s))
+    is_long = lambda s: len(s) > 100 and s.count(" ") >= 50
     first, chunks = {}, {}
     for i, text in sorted(docs.items()):
         lines = text.split("\n")
         hashes = [md5(x) for x in lines]
         r = [md5(a + b) for a, b in zip(hashes, hashes[1:])]
         low = {k for k in range(2, len(r)) if r[k] < r[k - 1] and (k + 1 == len(r) or r[k] <= r[k + 1])}
-        long = {k for k, x in enumerate(lines) if n_words(x) > 50}
+        long = {k for k, x in enumerate(lines) if is_long(x)}
         begins = sorted(({0} | low | long | {k + 1 for k in long}) - {len(lines)}) + [len(lines)]
         chunks[i] = ["\n".join(lines[a:b]) for a, b in zip(begins, begins[1:])]
     kept = {}
     for i, parts in chunks.items():
-        fit = [len(c) >= 32 and ("\n" in c or n_words(c) > 50) and c.split() != [] for c in parts]
+        fit = [len(c) >= 32 and ("\n" in c or is_long(c)) and c.split() != [] for c in parts]
         left = [c for k, (c, ok) in enumerate(zip(parts, fit)) if not ok or first.setdefault(c, (i, k)) == (i, k)]
         if len(left) == len(parts) or "\n".join(left).strip(" \t\n\x0b\f\r"):
             kept[i] = "\n".join(left)
@@ -317,7 +317,7 @@ def test_line_chunks_move_with_what_is_before(spark):
     assert rows[1]["n_removed"] == 0 and all(rows[i]["n_removed_lines"] >= 25 for i in range(2, 9))
 
 
-def test_lines_of_many_words_go_whatever_stands_around_them(spark):
+def test_long_lines_go_whatever_stands_around_them(spark):
     long, short = " ".join(f"word{k}" for k in range(51)), " ".join(f"term{k}" for k in range(50))
     texts = ["\n".join([f"own {i}", long, f"more {i}", short, f"end {i}"]) for i in range(20)] + [long, short, "x\n" + long, long + "\n" + long]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
