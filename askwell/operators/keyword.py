@@ -61,7 +61,7 @@ def term_weights(questions: DataFrame, statistics: DataFrame, question_col: str)
     return weighted, float(mean) or 1.0
 
 
-def _score(mean_words: float, questions: pa.Table, rows: pa.Table, k: int):
+def _score(mean_words: float, questions: pa.Table, rows: pa.Table, k: int, least: np.ndarray):
     """BM25 of a batch of texts for a block of questions, from the words both have; all texts are one scope."""
     lists = questions["terms"].combine_chunks()
     flat = lists.flatten()
@@ -102,7 +102,7 @@ def _score(mean_words: float, questions: pa.Table, rows: pa.Table, k: int):
         start = stop
     # texts without a shared word are no hits, however few others there are
     distance = np.where(total > 0, -np.round(total, DIGITS), np.inf).reshape(n_rows, n_questions)
-    near = np.isfinite(distance)
+    near = np.isfinite(distance) & (distance <= least)
     if k < n_rows:
         near &= distance <= np.partition(distance, k - 1, axis=0)[k - 1]
     r, q = np.nonzero(near)

@@ -1,11 +1,14 @@
 """Search against brute force, hot lists and copies included."""
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from askwell.operators import ivf, nearest, retrieval
+from askwell.operators import blocks, ivf, nearest, retrieval
 from askwell.operators.embedding import embed, hashed_grams
 from askwell.operators.keyword import bm25, term_statistics
 
@@ -105,6 +108,53 @@ def test_lists_probed_fully_are_exact_and_partly_nearly(tables):
     assert len(found & wanted) / len(wanted) >= 0.9
 
 
+@pytest.mark.parametrize("metric", nearest.METRICS)
+def test_tiles_hold_few_hits_of_a_question(monkeypatch, metric):
+    """Questions and rows come in tiles, and a tile knows how near a row has to be after the ones before."""
+    monkeypatch.setattr(blocks, "MATRIX_ENTRIES", 8000)
+    monkeypatch.setattr(blocks, "QUESTIONS_HELD", 100)
+    rng = np.random.default_rng(8)
+    asked, stored = rng.normal(size=(450, DIM)), rng.normal(size=(900, DIM))
+    stored[300:500] = stored[7]
+    ids = [f"r{i:03d}" for i in rng.permutation(900)]
+    questions = pa.table({"question_id": [f"q{i:03d}" for i in range(450)], "embedding": asked.tolist()})
+    rows = pa.table({"id": ids, "training_data_type": ["sql"] * 900, "scope": ["all"] * 900, "embedding": stored.tolist()})
+    picked = []
+
+    def scorer(block, part, k, least):
+        assert block.num_rows <= 100 and block.num_rows * part.num_rows <= 8000
+        q, r, d = nearest.candidates(metric, block, part, k, least)
+        picked.append((bool(np.isfinite(least).all()), len(q)))
+        return q, r, d
+
+    want = [(f"q{q:03d}", *x[::-1]) for q in range(450) for x in sorted((round(distance(metric, asked[q], p), 6) + 0.0, i) for i, p in zip(ids, stored))[:3]]
+    for same in (None, nearest.equal_rows):
+        picked.clear()
+        hits = blocks._named(blocks._hits(scorer, questions, rows, 3, same), questions).to_pandas()
+        assert sorted(zip(hits["question_id"], hits["id"], hits["distance"])) == sorted(want)
+    later = [n for known, n in picked if known]
+    assert len(later) > len(picked) / 2 and sum(later) < 3 * 450 * len(picked) / 5  # before, each of 5 and more tiles gave 3 a question
+
+
+def test_batches_of_a_scan_hold_the_best_so_far():
+    rows = pa.table({"id": [f"r{i:03d}" for i in range(300)], "training_data_type": KINDS, "scope": KINDS, "embedding": [list(map(float, p)) for p in POINTS]})
+    questions = pa.table({"question_id": [f"q{i:02d}" for i in range(40)], "embedding": ASKED.tolist()})
+    k, kept = {"sql": 4, "ddl": 2, "documentation": 0}, None
+    for start in range(0, 300, 37):
+        kept = blocks._hits(partial(nearest.candidates, "l2"), questions, rows.slice(start, 37), k, nearest.equal_rows, kept if kept is not None else blocks.KEPT.empty_table())
+        assert kept.num_rows <= 40 * 6
+    hits = blocks._named(kept, questions).to_pandas()
+    assert sorted(zip(hits["question_id"], hits["id"], hits["distance"])) == [r[:3] for r in brute("l2", k, lambda kind: kind)]
+
+
+def test_questions_out_of_the_corpus_itself(tables):
+    """Both sides share columns then, which the co-grouped tasks have to see on either side."""
+    corpus = tables[1]
+    asked = corpus.filter("id >= 'r200'").select(F.col("id").alias("question_id"), "embedding")
+    assert got(nearest.knn(asked, corpus, 1, **CELLS)) == [(f"r{i}", f"r{i}", 0.0, 1) for i in range(200, 300)]
+    assert got(nearest.knn(asked, corpus, 3, **CELLS, cell_pairs=500)) == got(nearest.knn(asked, corpus, 3))
+
+
 def test_keywords(spark):
     texts = ["red fox", "red red fox jumps", "blue sky", "", "a fox and a dog", "red"] + ["filler the words"] * 30 + ["red fox"] * 10
     corpus = spark.createDataFrame([(f"d{i:02d}", "documentation", t) for i, t in enumerate(texts)], "id string, training_data_type string, content string").repartition(4)
