@@ -8,6 +8,7 @@ vectors. Codewords are fitted to a bounded sample of rows (``sample``), the rows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 
 from askwell.functions.vectors import l2
 from askwell.operators.blocks import MATRIX_ENTRIES, block_search
-from askwell.operators.nearest import DIGITS, EACH, matrix
+from askwell.operators.nearest import DIGITS, EACH, matrix, near_pairs
 from askwell.operators.ranking import top_k
 
 PART, WORDS = 4, 256
 SAMPLE = 8192
-RERANK = 10  # rows scored with their vectors, for each one that is wanted
+RERANK = 10  # rows scored with their vectors, for each one that is wanted, of so many rows:
+RERANK_OF, RERANK_GROWTH = 10_000, 0.4  # codes tell fewer of the nearest apart as rows get denser
 
 
 def split(vectors: np.ndarray, part: int = PART) -> np.ndarray:
@@ -81,26 +83,30 @@ def encode(corpus: DataFrame, codebooks: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "id string, training_data_type string, code binary")
 
 
-def _by_codes(books: np.ndarray, questions: pa.Table, rows: pa.Table, k: int):
-    """Squared distances from table entries; all rows are one scope."""
+def _by_codes(books: np.ndarray, questions: pa.Table, rows: pa.Table, k: int, least: np.ndarray):
+    """Squared distances to the codewords of a row, which are looked up and laid end to end; all rows are one scope."""
     asked = split(matrix(questions), books.shape[2])
     codes = np.frombuffer(b"".join(rows["code"].to_pylist()), dtype=np.uint8).reshape(-1, len(books))
-    distance = np.zeros((len(asked), len(codes)))
-    for p, book in enumerate(books):
-        entries = ((asked[:, p, None, :] - book[None]) ** 2).sum(axis=2)
-        distance += entries[:, codes[:, p]]
-    near = distance <= np.partition(distance, k - 1, axis=1)[:, k - 1 : k] if k < len(codes) else np.ones(distance.shape, dtype=bool)
-    q, r = np.nonzero(near)
-    return q, r, distance[q, r]
+    stored = books[np.arange(len(books)), codes]
+    return near_pairs("l2sq", asked.reshape(len(asked), -1), stored.reshape(len(codes), -1), k, least)
+
+
+def _equal_codes(rows: pa.Table) -> np.ndarray:
+    return rows["code"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
+def rescored(k: int, n: int) -> int:
+    """How many rows of ``n`` are scored with their vectors for ``k`` that are wanted."""
+    return math.ceil(RERANK * k * max(1.0, n / RERANK_OF) ** RERANK_GROWTH)
 
 
 def pq_knn(questions: DataFrame, coded: DataFrame, corpus: DataFrame, codebooks: np.ndarray, k: int = 10, rerank: int | None = None, **sizes) -> DataFrame:
     """About the ``k`` nearest rows (l2) of every question: question_id, training_data_type, id, distance, rank. ``coded`` holds the
-    codes of ``corpus``; distances given out are exact. With ``rerank`` as large as the corpus all hits are."""
+    codes of ``corpus``; distances given out are exact. Without ``rerank``, :func:`rescored` rows are scored with their vectors. With ``rerank`` as large as the corpus all hits are."""
     entries = F.size("embedding")
     asked = questions.select(F.col("question_id").cast("string").alias("question_id"), "embedding").filter("embedding IS NOT NULL")
     stored = coded.select("id", "training_data_type", F.lit(EACH).alias("scope"), "code")
-    hits = block_search(partial(_by_codes, codebooks), asked, stored, rerank or RERANK * k, (F.length("code"), entries), **sizes)
+    hits = block_search(partial(_by_codes, codebooks), asked, stored, rerank or rescored(k, coded.count()), (F.length("code"), entries), **{"same": _equal_codes} | sizes)
     vectors = corpus.select(F.col("id").cast("string").alias("id"), F.col("embedding").alias("stored"))
     pairs = hits.select("question_id", "training_data_type", "id").join(vectors, "id").join(asked, "question_id")
     scored = pairs.select("question_id", "training_data_type", "id", F.round(l2(F.col("embedding"), F.col("stored")), DIGITS).alias("distance"))
