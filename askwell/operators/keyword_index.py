@@ -46,59 +46,62 @@ class KeywordIndex:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
 
-def _numbered(tokens: DataFrame, size: int) -> DataFrame:
-    """Rows in order of their ids, with range and place. A task numbers its own ranges, so a range may be short."""
-    kind = "range bigint, place int, id string, training_data_type string, tokens array<string>"
+# numbers of a term's rows as bytes (int32), which Spark moves as they are, and not one by one
+POSTINGS = "term string, range bigint, places binary, counts binary, words binary, ids array<string>, kinds array<string>, lengths array<int>"
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, done = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            at = done + np.arange(batch.num_rows)
-            done += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(first + at // size), pa.array((at % size).astype(np.int32)), *batch.columns], names=["range", "place", *batch.schema.names])
 
-    return tokens.mapInArrow(number, kind)
+def _as_bytes(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Stretches of ``values`` as binary values."""
+    offsets = np.r_[starts, len(values)] * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
 
+def _numbers(column, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of binary values end to end, and how many each has."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind), pc.binary_length(column).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize
 
-def _postings(rows: DataFrame) -> DataFrame:
-    """Term, range, places and counts, from rows in order of range and place."""
+
+def _postings(tokens: DataFrame, size: int) -> DataFrame:
+    """Term, range, places, counts and words of the rows, from rows in order of their ids (id, training_data_type, tokens); and for each range a row
+    without a term that has the ids and kinds of its rows. A task numbers its own ranges, so a range may be short."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        number, held, n = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            ranges = np.concatenate([b.column("range").to_numpy() for b in held])
-            whole = int(np.searchsorted(ranges, ranges[-1]))  # the last range may go on
-            if whole:
-                table = pa.Table.from_batches(held).combine_chunks()
-                yield from blocks(table.slice(0, whole))
-                held = table.slice(whole).to_batches()
-        if held:
-            yield from blocks(pa.Table.from_batches(held).combine_chunks())
-
-    def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        ranges, cuts = np.unique(table["range"].to_numpy(), return_index=True)
-        for number, start, stop in zip(ranges, cuts, np.r_[cuts[1:], table.num_rows]):
-            part = table.slice(start, stop - start)
-            tokens = pa.concat_arrays(part["tokens"].chunks)
-            flat = tokens.flatten().dictionary_encode()
-            lengths = tokens.value_lengths().to_numpy(zero_copy_only=False)
-            place = np.repeat(part["place"].to_numpy().astype(np.int64), lengths)
-            n_words = np.zeros(int(part["place"].to_numpy().max()) + 1, dtype=np.int64)
-            n_words[part["place"].to_numpy()] = lengths
-            key, count = np.unique((flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 32) | place, return_counts=True)
-            term, place = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
-            if not len(term):
-                continue
-            starts = np.flatnonzero(np.r_[True, np.diff(term) != 0])
-            offsets = pa.array(np.r_[starts, len(term)], pa.int32())
-            as_lists = lambda x, kind: pa.ListArray.from_arrays(offsets, pa.array(x, kind))
-            yield pa.RecordBatch.from_arrays([
-                flat.dictionary.take(pa.array(term[starts])), pa.array(np.full(len(starts), number)), as_lists(place, pa.int32()),
-                as_lists(count, pa.int32()), as_lists(n_words[place], pa.int32())], names=["term", "range", "places", "counts", "words"])
-
-    return rows.mapInArrow(run, "term string, range bigint, places array<int>, counts array<int>, words array<int>")
+            for start in range(0, batch.num_rows, size):
+                held.append(batch.slice(start, size))
+                n += held[-1].num_rows
+                while n >= size:
+                    table = pa.Table.from_batches(held)
+                    yield from blocks(number, table.slice(0, size))
+                    held, n, number = table.slice(size).to_batches(), n - size, number + 1
+        if n:
+            yield from blocks(number, pa.Table.from_batches(held))
+
+    def blocks(number: int, part: pa.Table) -> Iterator[pa.RecordBatch]:
+        part = part.combine_chunks()
+        tokens = pa.concat_arrays(part["tokens"].chunks)
+        lengths = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+        whole = lambda x, kind: pa.array([x], pa.list_(kind))
+        ids, kinds = (part[c].cast(pa.string()).to_pylist() for c in ("id", "training_data_type"))
+        no_bytes = pa.nulls(1, pa.binary())
+        yield pa.RecordBatch.from_arrays([
+            pa.array([None], pa.string()), pa.array([number]), no_bytes, no_bytes, no_bytes, whole(ids, pa.string()), whole(kinds, pa.string()),
+            whole(lengths, pa.int32())], names=names)
+        flat = tokens.flatten().dictionary_encode()
+        place = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+        key, count = np.unique((flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 32) | place, return_counts=True)
+        term, place = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+        if not len(term):
+            return
+        starts = np.flatnonzero(np.r_[True, np.diff(term) != 0])
+        none = pa.nulls(len(starts), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([
+            flat.dictionary.take(pa.array(term[starts])), pa.array(np.full(len(starts), number)), _as_bytes(place, starts),
+            _as_bytes(count.astype(np.int32), starts), _as_bytes(lengths[place], starts), none, none, none.cast(pa.list_(pa.int32()))], names=names)
+
+    names = ["term", "range", "places", "counts", "words", "ids", "kinds", "lengths"]
+    return tokens.mapInArrow(run, POSTINGS)
 
 
 def _impacts(postings: DataFrame, mean: float) -> DataFrame:
@@ -106,15 +109,15 @@ def _impacts(postings: DataFrame, mean: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            count, n = (batch.column(x).flatten().to_numpy().astype(np.float64) for x in ("counts", "words"))
+            (place, sizes), (count, _), (n, _) = (_numbers(batch.column(x), np.int32) for x in ("places", "counts", "words"))
             impact = count * (K1 + 1.0) / (count + K1 * ((1.0 - B) + B * n / mean))
-            sizes = batch.column("places").value_lengths().to_numpy()
-            offsets = np.r_[0, np.cumsum(sizes)]
+            starts = np.cumsum(sizes) - sizes
+            places = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(place)], pa.int32()), pa.array(place))
             yield pa.RecordBatch.from_arrays([
-                batch.column("term"), batch.column("range"), pa.array(np.maximum.reduceat(impact, offsets[:-1])), batch.column("places"),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(impact))], names=["term", "range", "largest", "places", "impacts"])
+                batch.column("term"), batch.column("range"), pa.array(np.maximum.reduceat(impact, starts)), places, _as_bytes(impact, starts)],
+                names=["term", "range", "largest", "places", "impacts"])
 
-    return postings.mapInArrow(run, "term string, range bigint, largest double, places array<int>, impacts array<double>")
+    return postings.mapInArrow(run, "term string, range bigint, largest double, places array<int>, impacts binary")
 
 
 def build_index(corpus: DataFrame, text_col: str = "content", folder: str | None = None, range_rows: int = RANGE) -> KeywordIndex:
@@ -122,18 +125,22 @@ def build_index(corpus: DataFrame, text_col: str = "content", folder: str | None
     no words. Without ``folder`` it goes below the shared folder and lasts as long as the application."""
     spark = corpus.sparkSession
     folder = folder or shared_folder(spark, "keyword-index")
-    tokens = corpus.select("id", "training_data_type", F.coalesce(words(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
     count = corpus.count()
     tasks = max(math.ceil(count / (range_rows * RANGES_PER_TASK)), min(spark.sparkContext.defaultParallelism, math.ceil(count / range_rows)), 1)
-    # the number of tasks is given, so that numbers are by id over all of them
-    ordered = tokens.repartitionByRange(tasks, "id").sortWithinPartitions("id")
-    raw = shared_folder(spark, "keyword-rows")
-    _numbered(ordered, range_rows).write.parquet(raw)
-    numbered = spark.read.parquet(raw)
-    numbered.select("range", "place", "id", "training_data_type", F.size("tokens").alias("words")).write.parquet(f"{folder}/rows")
+    # the number of tasks is given, so that numbers are by id over all of them; texts are moved, which are smaller than their words, and the sample
+    # that the ranges of ids are cut by needs no words
+    ordered = corpus.select("id", "training_data_type", F.col(text_col).alias("_text")).repartitionByRange(tasks, "id").sortWithinPartitions("id")
+    tokens = ordered.select("id", "training_data_type", F.coalesce(words(F.col("_text")), F.array().cast("array<string>")).alias("tokens"))
+    raw = shared_folder(spark, "keyword-postings")
+    _postings(tokens, range_rows).write.parquet(raw)
+    postings = spark.read.schema(POSTINGS).parquet(raw)
+    rows = postings.filter("term IS NULL").select("range", F.posexplode(F.arrays_zip("ids", "kinds", "lengths")).alias("place", "r"))
+    rows.select("range", "place", F.col("r.ids").alias("id"), F.col("r.kinds").alias("training_data_type"), F.col("r.lengths").alias("words")).write.parquet(f"{folder}/rows")
     n, mean, ranges = spark.read.parquet(f"{folder}/rows").agg(F.count(F.lit(1)), F.avg("words"), F.count_distinct("range")).first()
-    by_range = numbered.repartition("range").sortWithinPartitions("range", "place")
-    blocks = _impacts(_postings(by_range), mean or 1.0)
+    blocks = _impacts(postings.filter("term IS NOT NULL").select("term", "range", "places", "counts", "words"), mean or 1.0)
+    impacts = shared_folder(spark, "keyword-impacts")
+    blocks.write.parquet(impacts)  # read twice: for a sample of the terms, and to be dealt out by them
+    blocks = spark.read.schema(blocks.schema).parquet(impacts)
     blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.parquet(f"{folder}/blocks")
     index = KeywordIndex(spark, folder, n, ranges)
     index.table("blocks").groupBy("term").agg(F.sum(F.size("places")).alias("texts")).write.parquet(f"{folder}/terms")
@@ -155,7 +162,7 @@ def _scored(k: int):
         lists = blocks["places"].combine_chunks()
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.cumsum(sizes) - sizes
-        place, impact = lists.flatten().to_numpy(), blocks["impacts"].combine_chunks().flatten().to_numpy()
+        place, impact = lists.flatten().to_numpy(), _numbers(blocks["impacts"], np.float64)[0]
         width = int(place.max(initial=-1)) + 1
         n = len(questions.dictionary)
         total = np.zeros(n * width)
