@@ -104,3 +104,13 @@ def test_denser_rows_are_rescored_more():
     """At 51,000 vectors ten times as many as wanted found 0.92 of the nearest, at 103,000 0.93; twenty times 0.97 and 0.98."""
     assert pq.rescored(10, 2000) == 100
     assert pq.rescored(10, 51_282) >= 190 and pq.rescored(10, 102_564) >= 240
+
+
+def test_postings_are_kept_as_bytes(texts):
+    """As many impacts as places, the largest of them kept beside; each row in one range, in order of ids."""
+    index = keyword_index.build_index(texts, range_rows=16)
+    for row in index.table("blocks").filter("term IN ('all', 'w250')").collect():
+        impacts = np.frombuffer(row["impacts"], dtype=np.float64)
+        assert len(impacts) == len(row["places"]) and impacts.max() == row["largest"]
+    rows = index.table("rows").orderBy("range", "place").toPandas()
+    assert list(rows["id"]) == sorted(rows["id"]) and len(rows) == 763 and rows["place"].max() == 15
