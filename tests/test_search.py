@@ -1,5 +1,7 @@
 """Search against brute force, hot lists and copies included."""
 
+import os
+import tracemalloc
 from functools import partial
 
 import numpy as np
@@ -155,6 +157,42 @@ def test_questions_out_of_the_corpus_itself(tables):
     assert got(nearest.knn(asked, corpus, 3, **CELLS, cell_pairs=500)) == got(nearest.knn(asked, corpus, 3))
 
 
+def test_vectors_are_made_once(spark, tmp_path):
+    """What has no vector is left out without making the others twice, and questions are made once for all that reads them."""
+    def model():
+        def run(texts, task):
+            with (tmp_path / f"{task}-{os.getpid()}").open("a") as said:
+                said.write("x" * len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return run
+
+    rows = spark.createDataFrame([(str(i), "sql", "a" * i if i else None) for i in range(30)], "id string, training_data_type string, t string")
+    asked = spark.createDataFrame([("n", None), ("p", "aaa"), ("q", "aaaa")], "question_id string, t string")
+    made = lambda task: sum(p.stat().st_size for p in tmp_path.glob(f"{task}-*"))
+    for sizes, questions, stored in (({}, 2, 29), ({"max_broadcast": 0, "cell_weight": 20}, 4, 29 * 3)):  # cells weigh the rows first
+        hits = nearest.knn(embed(asked, "t", model, task="question"), embed(rows, "t", model), 1, **sizes)
+        assert sorted((r["question_id"], r["id"]) for r in hits.collect()) == [("p", "3"), ("q", "4")]
+        assert (made("question"), made("document")) == (questions, stored)
+
+
+def test_memory_of_a_cell():
+    """Equal rows are found without a wider copy of the vectors, distances are worked out for a bounded number of pairs."""
+    def peak(work, *args):
+        tracemalloc.start()
+        try:
+            work(*args)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    vectors = np.random.default_rng(3).normal(size=(20_000, 64)).astype(np.float32)
+    rows = pa.table({"embedding": pa.ListArray.from_arrays(np.arange(0, vectors.size + 1, 64, dtype=np.int32), vectors.ravel())})
+    assert peak(nearest.equal_rows, rows) < 4 * vectors.nbytes
+    asked, stored = vectors[:100].astype(float), np.repeat(vectors[:1].astype(float), 1000, axis=0)
+    assert peak(nearest.near_pairs, "l2", asked, stored, 1) < 40e6
+
+
 def test_keywords(spark):
     texts = ["red fox", "red red fox jumps", "blue sky", "", "a fox and a dog", "red"] + ["filler the words"] * 30 + ["red fox"] * 10
     corpus = spark.createDataFrame([(f"d{i:02d}", "documentation", t) for i, t in enumerate(texts)], "id string, training_data_type string, content string").repartition(4)
